@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import op6_urls, op8_simhash, op10_exact
+from tessera.llm import op1_toxicity, op3_quality, op6_urls, op8_simhash, op10_exact
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity.op1_toxicity,
+    "op3_quality": op3_quality.op3_quality,
     "op6_url_filters": op6_urls.op6_url_filters,
     "op8_simhash": op8_simhash.op8_simhash,
     "op10_exact_dedup": op10_exact.op10_exact_dedup,
