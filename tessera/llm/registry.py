@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from tessera.llm import op1_toxicity, op3_quality, op6_urls, op8_simhash, op10_exact
+from tessera.llm import op1_toxicity, op3_quality, op4_licenses, op6_urls, op8_simhash, op10_exact
 
 QUERIES = {
     "op1_toxicity": op1_toxicity.op1_toxicity,
     "op3_quality": op3_quality.op3_quality,
+    "op4_licenses": op4_licenses.op4_licenses,
     "op6_url_filters": op6_urls.op6_url_filters,
     "op8_simhash": op8_simhash.op8_simhash,
     "op10_exact_dedup": op10_exact.op10_exact_dedup,
 }
 
 ORACLES = {
+    "op4_licenses": op4_licenses.ORACLE,
     "op6_url_filters": op6_urls.ORACLE,
     "op10_exact_dedup": op10_exact.ORACLE,
 }
