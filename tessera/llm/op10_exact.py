@@ -38,9 +38,10 @@ def refine(docs: DataFrame, text: str = "text", id_col: str = "doc_id", digest_a
     `full` is the SHA-256 of a text that survived every step, else null (such a row equals no other);
     `digest` is the SHA-256 of every text where digest_all asks for it, else null.
     """
-    rows = docs.select(F.col(id_col).alias("id"), _norm(text).alias("t")).withColumn("len", F.char_length("t"))
-    head = F.xxhash64(F.substring("t", 1, PREFIX))
-    full = F.unhex(F.sha2("t", 256))
+    # lower-casing A-Z keeps lengths, so only what is hashed needs it
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("len", F.char_length("t"))
+    head = F.xxhash64(lower_az(F.substring("t", 1, PREFIX)))
+    full = F.unhex(F.sha2(lower_az(F.col("t")), 256))
 
     twice = rows.groupBy("len").count().filter("count > 1").select("len", F.lit(True).alias("l2"))
     if is_small(twice, MAX_KEYS):

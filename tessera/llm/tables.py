@@ -28,8 +28,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def lower_az(text: Column) -> Column:
-    """A-Z only to a-z; other letters stay."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z only to a-z; other letters stay. Pure ASCII takes the faster built-in, which does the same there."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
