@@ -59,14 +59,15 @@ def path_of(url: Column) -> Column:
 
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", id_col: str = "page_id") -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages."""
-    lengths = rules.select(F.char_length("r_path").alias("r_len")).distinct()
+    # at most as many numbers as the longest rule has characters
+    lengths = [r[0] for r in rules.select(F.char_length("r_path").alias("n")).distinct().orderBy("n").collect()]
     urls = pages.select(F.col(url).alias("url")).filter("url is not null").distinct()
     parts = urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).filter("host <> '' or path <> ''")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     expanded = (
         parts.withColumn("suffix", F.explode(suffixes))
-        .join(broadcast_if_small(lengths, 10_000), F.col("r_len") <= F.char_length("path"))
+        .withColumn("r_len", F.explode(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.char_length("path"))))
         .withColumn("digest", F.sha2(_expression(F.col("suffix"), F.expr("substring(path, 1, r_len)")), 256))
         .withColumn("short", F.substring("digest", 1, SHORT))
     )
