@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import op1_toxicity, op3_quality, op4_licenses, op6_urls, op8_simhash, op10_exact
+from tessera.llm import op1_toxicity, op2_decontaminate, op3_quality, op4_licenses, op6_urls, op7_mixing, op8_simhash, op10_exact
 
 QUERIES = {
     "op1_toxicity": op1_toxicity.op1_toxicity,
+    "op2_decontaminate": op2_decontaminate.op2_decontaminate,
     "op3_quality": op3_quality.op3_quality,
     "op4_licenses": op4_licenses.op4_licenses,
     "op6_url_filters": op6_urls.op6_url_filters,
+    "op7_mixing": op7_mixing.op7_mixing,
     "op8_simhash": op8_simhash.op8_simhash,
     "op10_exact_dedup": op10_exact.op10_exact_dedup,
 }
@@ -16,5 +18,6 @@ QUERIES = {
 ORACLES = {
     "op4_licenses": op4_licenses.ORACLE,
     "op6_url_filters": op6_urls.ORACLE,
+    "op7_mixing": op7_mixing.ORACLE,
     "op10_exact_dedup": op10_exact.ORACLE,
 }
