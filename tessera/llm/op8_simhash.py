@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import text as tx
 from tessera.llm.components import components
-from tessera.llm.tables import cells, checkpoint, grouped, table
+from tessera.llm.setjoin import verified
+from tessera.llm.tables import broadcast_if_small, cells, checkpoint, grouped, table
 
 SHINGLE = 3
 SEED = 42
@@ -38,23 +39,23 @@ RADIUS = 3
 CELL = 1024
 
 
-def fingerprint_of(joined: bytes, words: list[bytes]) -> int:
+def fingerprint_of(joined: bytes, words: list[bytes], shingle: int = SHINGLE) -> int:
     """Of one text: its words, and the words joined by single spaces."""
     import xxhash
 
     if not words:
         return 0
-    if len(words) <= SHINGLE:
+    if len(words) <= shingle:
         return xxhash.xxh64_intdigest(joined, SEED)
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
     ends = np.cumsum(sizes) - 1
     starts = ends - sizes + 1
     digest, view = xxhash.xxh64_intdigest, memoryview(joined)
-    n = len(words) - SHINGLE + 1
+    n = len(words) - shingle + 1
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, n, 1 << 16):
         stop = min(at + (1 << 16), n)
-        h = np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts[at:stop].tolist(), ends[at + SHINGLE - 1 : stop + SHINGLE - 1].tolist(), strict=True)), dtype=np.uint64, count=stop - at)
+        h = np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts[at:stop].tolist(), ends[at + shingle - 1 : stop + shingle - 1].tolist(), strict=True)), dtype=np.uint64, count=stop - at)
         ones += _set_bits(h)
     return int(np.bitwise_or.reduce(np.where(2 * ones > n, np.uint64(1) << np.arange(64, dtype=np.uint64), np.uint64(0))))
 
@@ -64,20 +65,21 @@ def _set_bits(h: np.ndarray) -> np.ndarray:
     return np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = tx.strings(batch.column("text"))
         raw = tx.LOWER[data].tobytes()
         out = np.zeros(batch.num_rows, dtype=np.uint64)
         for i in range(batch.num_rows):
             words = raw[offsets[i] : offsets[i + 1]].split()
-            out[i] = fingerprint_of(b" ".join(words), words)
+            out[i] = fingerprint_of(b" ".join(words), words, shingle)
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out.view(np.int64))], names=["id", "fp"])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """(id, fp): fp holds the 64 bits as a signed number."""
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(_fingerprint_batches, "id bigint, fp bigint")
+    make = lambda batches: _fingerprint_batches(batches, shingle)
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(make, "id bigint, fp bigint")
 
 
 def block_masks(n: int, radius: int = RADIUS) -> list[int]:
@@ -91,27 +93,26 @@ def block_masks(n: int, radius: int = RADIUS) -> list[int]:
 
 
 def within(planes_a: np.ndarray, planes_b: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes (bits of uint64 words) whose distance is at most radius (below 4), from bit planes along axis 0.
+    """Lanes (bits of uint64 words) whose distance is at most radius, from bit planes along axis 0.
 
-    Two counter planes and a sticky overflow hold 64 distances a word; after every eight planes the block is
-    abandoned if all lanes are beyond the radius.
+    Counter planes hold 64 distances a word and start at 2**planes - 1 - radius, so that the carry out of the last
+    plane (kept in a sticky plane) says that a distance exceeds the radius; after every eight bit planes the block is
+    abandoned if all lanes have overflowed.
     """
     shape = np.broadcast_shapes(planes_a.shape[1:], planes_b.shape[1:])
-    ones, twos, over = (np.zeros(shape, dtype=np.uint64) for _ in range(3))
-    full = ~np.uint64(0)
+    depth = max(int(radius).bit_length(), 1)
+    start, full = (1 << depth) - 1 - radius, ~np.uint64(0)
+    counter = [np.full(shape, full if start >> d & 1 else 0, dtype=np.uint64) for d in range(depth)]
+    over = np.zeros(shape, dtype=np.uint64)
     for k in range(64):
-        x = planes_a[k] ^ planes_b[k]
-        carry = ones & x
-        ones ^= x
-        over |= twos & carry
-        twos ^= carry
-        if k % 8 == 7 and (over == full).all():
+        carry = planes_a[k] ^ planes_b[k]
+        for d in range(depth):
+            now = counter[d]
+            counter[d] = now ^ carry
+            carry = now & carry
+        over |= carry
+        if k % 8 == 7 and k >= radius and (over == full).all():
             return np.zeros(shape, dtype=np.uint64)
-    if radius < 3:
-        for k in range(radius + 1, 4):
-            a = ones if k & 1 else ~ones
-            b = twos if k & 2 else ~twos
-            over |= a & b
     return ~over
 
 
@@ -185,34 +186,33 @@ def _forest(fp: np.ndarray, chunk: np.ndarray | None, radius: int) -> tuple[np.n
     return np.array(out_a, dtype=np.int64), np.array(out_b, dtype=np.int64)
 
 
-def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare_batches(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     for t, bounds in grouped(batches, ["mask", "bits", "cell_a", "cell_b"]):
         fp = t.column("fp").to_numpy().view(np.uint64)
         chunk = t.column("chunk").to_numpy()
         cross = (t.column("cell_a").to_numpy() != t.column("cell_b").to_numpy())[bounds[:-1]]
-        a, b = pairs_within(fp, bounds, chunk, cross)
+        a, b = pairs_within(fp, bounds, chunk, cross, radius)
         yield pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], names=["a", "b"])
 
 
-def links(fps: DataFrame, count: int) -> DataFrame:
-    """(a, b): links between distinct fingerprints that connect what the radius connects."""
-    masks = [m - (1 << 64) if m >> 63 else m for m in block_masks(count)]
-    spread = fps.select("fp", F.posexplode(F.array(*[F.lit(m).cast("bigint") for m in masks])).alias("mask", "m"))
+def links(fps: DataFrame, masks: list[int], radius: int = RADIUS) -> DataFrame:
+    """(a, b): links between distinct fingerprints that connect what the radius connects in the masks' buckets."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    spread = fps.select("fp", F.posexplode(F.array(*[F.lit(m).cast("bigint") for m in signed])).alias("mask", "m"))
     spread = spread.select("fp", "mask", F.col("fp").bitwiseAND(F.col("m")).alias("bits"))
-    sizes = spread.groupBy("mask", "bits").count().filter("count > 1")
-    big = sizes.filter(F.col("count") > 1)
-    near = spread.join(big.select(F.col("mask").alias("k"), F.col("bits").alias("v"), "count"), (F.col("mask") == F.col("k")) & (F.col("bits") == F.col("v")))
-    dealt = cells(near.select("fp", "mask", "bits", "count"), "bits", "count", "fp", CELL).select("mask", "bits", "cell_a", "cell_b", "chunk", "fp")
+    sizes = spread.groupBy("mask", "bits").count().filter("count > 1").select(F.col("mask").alias("k"), F.col("bits").alias("v"), "count")
+    near = spread.join(sizes, (F.col("mask") == F.col("k")) & (F.col("bits") == F.col("v")))
     keys = ["mask", "bits", "cell_a", "cell_b"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare_batches, "a bigint, b bigint").distinct()
+    dealt = cells(near.select("fp", "mask", "bits", "count"), "bits", "count", "fp", CELL).select(*keys, "chunk", "fp")
+    compare = lambda batches: _compare_batches(batches, radius)
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def group(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, fp, component): component is the smallest id of the group."""
     prints = checkpoint(fingerprints(docs, text, id_col))
     nodes = prints.groupBy("fp").agg(F.min("id").alias("first"))
-    n = nodes.count()
-    found = components(links(nodes.select("fp"), n))
+    found = components(links(nodes.select("fp"), block_masks(nodes.count())))
     # the smallest id of each component of fingerprints
     named = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("root"), "first")
     lowest = named.groupBy("root").agg(F.min("first").alias("component"))
@@ -220,13 +220,50 @@ def group(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFr
     return prints.join(label, prints["fp"] == label["f"], "left").select("id", "fp", "component")
 
 
+#: Near-duplicate stages: five-word shingles, similarity 0.8 or more, and the recall that the search is tuned for.
+STAGE_SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.98
+
+
+def sampled_masks(n: int, similarity: float = SIMILARITY, recall: float = RECALL, seed: int = 5) -> tuple[list[int], int]:
+    """Bit samples that find a pair of the given Jaccard similarity with the recall, and the radius that keeps it.
+
+    Two sets of Jaccard j have a cosine of about 2 j / (1 + j); each bit of their fingerprints differs with probability
+    angle / pi.  A sample has log2(n) bits, so that buckets of unrelated fingerprints stay about single; the number of
+    samples grows as n ** 0.24.
+    """
+    differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    k = int(min(max(np.ceil(np.log2(max(n, 2))), 8), 40))
+    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - differ) ** k)))
+    rng = np.random.default_rng(seed)
+    masks = [sum(1 << int(i) for i in rng.choice(64, k, replace=False)) for _ in range(tables)]
+    return masks, int(np.ceil(64 * differ + 2.7 * np.sqrt(64 * differ * (1 - differ))))
+
+
+def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(node, component) of the documents that have a near copy; component is the smallest id of the group.
+
+    Fingerprints of five-word shingles are compared in buckets of sampled bits, bit-sliced, within the radius that a
+    similarity of 0.8 has; what that connects is a coarse component, in which exact Jaccard decides.
+    """
+    prints = checkpoint(fingerprints(docs.filter(F.col(id_col).isNotNull()), text, id_col, STAGE_SHINGLE))
+    nodes = prints.groupBy("fp").agg(F.count("*").alias("rows"))
+    masks, radius = sampled_masks(nodes.count())
+    found = components(links(nodes.select("fp"), masks, radius))
+    coarse = nodes.join(found, nodes["fp"] == found["node"], "left").filter("component is not null or rows > 1")
+    coarse = coarse.select(F.col("fp").alias("f"), F.coalesce("component", "fp").alias("coarse"))
+    inside = checkpoint(prints.join(coarse, prints["fp"] == coarse["f"]).select(F.col("id").alias("i"), "coarse").distinct())
+    texts = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text).alias("text"))
+    members = texts.join(broadcast_if_small(inside), F.col("node") == F.col("i")).select("coarse", "node", "text")
+    return verified(members, SIMILARITY, STAGE_SHINGLE)
+
+
 def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One document of each group, the one with the smallest id, with all its columns."""
-    g = group(docs, text, id_col)
-    drop = checkpoint(g.filter("id is not null and id <> component").select(F.col("id").alias("_x")).distinct())
-    from tessera.llm.tables import broadcast_if_small
+    """One document of each group of near copies, the one with the smallest id, with all its columns.
 
-    return docs.join(broadcast_if_small(drop), docs[id_col] == drop["_x"], "left_anti")
+    Rows with a null id are kept; rows that share an id are one document.
+    """
+    drop = checkpoint(near_groups(docs, text, id_col).filter("node <> component").select(F.col("node").alias("_x_node")))
+    return docs.join(broadcast_if_small(drop), docs[id_col] == drop["_x_node"], "left_anti")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
