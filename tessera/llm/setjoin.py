@@ -121,3 +121,82 @@ def verified(members: DataFrame, threshold: float, shingle: int = SHINGLE) -> Da
 
     links = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(check, "a bigint, b bigint")
     return components(links)
+
+
+def lines_at(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, key_of) -> DataFrame:
+    """wanted (at_id, at_line, node, ...) with the text of that line; key_of(column of texts) must give the node.
+
+    The check by key_of drops other lines of rows that share an id, so repeated ids do no harm.
+    """
+    from tessera.llm.tables import broadcast_if_small
+
+    source = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text).alias("_text"))
+    found = source.join(broadcast_if_small(wanted), F.col("_id").eqNullSafe(F.col("at_id")))
+    found = found.withColumn("text", F.get(F.split("_text", "\n"), F.col("at_line"))).drop("_id", "_text").filter("text is not null")
+    at_node, at_text = found.columns.index("node"), found.columns.index("text")
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(key_of(batch.column(at_text)).view(np.int64) == batch.column(at_node).to_numpy()))
+
+    return found.mapInArrow(same, found.schema).dropDuplicates(["node"])
+
+
+def linked(members: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """(node, links, low): for each member of (coarse, node, text, rank) with a link of at least the threshold, the
+    number of its links and the least rank at their other ends.  Linear output: no pair leaves a task."""
+    sizes = members.groupBy("coarse").agg(F.count("*").alias("size")).filter("size > 1")
+    near = members.join(sizes.withColumnRenamed("coarse", "c"), F.col("coarse") == F.col("c")).select("coarse", "node", "rank_id", "rank_line", "text", "size")
+    keys = ["coarse", "cell_a", "cell_b"]
+    dealt = cells(near, "coarse", "size", "node", CELL).select(*keys, "chunk", "node", "rank_id", "rank_line", "text")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in grouped(batches, keys):
+            node, chunk = t.column("node").to_numpy(), t.column("chunk").to_numpy()
+            rank_id, rank_line = t.column("rank_id").to_numpy(), t.column("rank_line").to_numpy()
+            sets = shingle_sets(t.column("text"), shingle)
+            cross = t.column("cell_a").to_numpy() != t.column("cell_b").to_numpy()
+            out_node, out_links, out_id, out_line = [], [], [], []
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                order = np.lexsort((rank_line[lo:hi], rank_id[lo:hi])) + lo
+                for x, near in neighbours([sets[i] for i in order], threshold, chunk[order] if cross[lo] else None):
+                    low = order[near[0]]
+                    out_node.append(int(node[order[x]]))
+                    out_links.append(len(near))
+                    out_id.append(int(rank_id[low]))
+                    out_line.append(int(rank_line[low]))
+            yield pa.RecordBatch.from_arrays([pa.array(out_node, pa.int64()), pa.array(out_links, pa.int64()), pa.array(out_id, pa.int64()), pa.array(out_line, pa.int64())], names=["node", "links", "low_id", "low_line"])
+
+    made = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(check, "node bigint, links bigint, low_id bigint, low_line bigint")
+    return made.groupBy("node").agg(F.sum("links").alias("links"), F.min(F.struct("low_id", "low_line")).alias("low"))
+
+
+def neighbours(sets: list[np.ndarray], threshold: float, chunk: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(x, ascending positions of the other sets that reach the threshold) for each x that has any; sets not empty."""
+    m = len(sets)
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(m), size)
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    ranked, by = flat[order], owner[order]
+    new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+    at = np.flatnonzero(new)
+    end = np.concatenate((at[1:], [len(flat)]))
+    group = np.empty(len(flat), dtype=np.int64)
+    group[order] = np.cumsum(new) - 1
+    edge = np.concatenate(([0], np.cumsum(size)))
+    for x in range(m):
+        g = group[edge[x] : edge[x + 1]]
+        many = end[g] - at[g]
+        total = int(many.sum())
+        if total == len(g):
+            continue
+        k = np.arange(total) + np.repeat(at[g] - (np.cumsum(many) - many), many)
+        shared = np.bincount(by[k], minlength=m)
+        ok = shared >= threshold * (size + size[x] - shared) - 1e-9
+        ok[x] = False
+        if chunk is not None:
+            ok &= chunk != chunk[x]
+        near = np.flatnonzero(ok)
+        if len(near):
+            yield x, near

@@ -113,3 +113,25 @@ def sparse_rows(row: np.ndarray, bucket: np.ndarray, bits: int) -> tuple[np.ndar
     """Distinct (row, bucket) with counts, in order of row; bucket < 2**bits."""
     key, count = np.unique((row.astype(np.int64) << bits) | bucket.astype(np.int64), return_counts=True)
     return key >> bits, key & ((1 << bits) - 1), count
+
+
+def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of the lines (and the end), the row of each line, and its number in the row (as split on x0A)."""
+    breaks = np.flatnonzero(data == 10) + 1
+    rows = len(offsets) - 1
+    of = np.concatenate((np.arange(rows), np.searchsorted(offsets, breaks - 1, "right") - 1))
+    at = np.concatenate((offsets[:-1], breaks))
+    order = np.lexsort((at, of))
+    of, at = of[order], at[order]
+    number = np.arange(len(of)) - np.searchsorted(of, of, "left")
+    return np.concatenate((at, [len(data)])), of, number
+
+
+def sequence_hashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One hash for the sequence of words of each row."""
+    n = len(h)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(h * powers(BASE, n), out=sums[1:])
+        out = (sums[first[1:]] - sums[first[:-1]]) * powers(INVERSE, n + 1)[first[:-1]]
+        return mix64(out ^ np.diff(first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
