@@ -26,8 +26,8 @@ from tessera.llm.tables import broadcast_if_small, lower_az, table
 RULES = (
     ("block", "com/en/"),
     ("allow", "example.com/en/7"),
-    ("block", "net/de/"),
-    ("allow", "example.net/de/8"),
+    ("allow", "net/de/"),
+    ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
 SHORT = 8
@@ -87,7 +87,7 @@ with u as (
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
   from pages),
 r(action, rule, h, p) as (values ('block', 'com/en/', 'com', '/en/'), ('allow', 'example.com/en/7', 'example.com', '/en/7'),
-  ('block', 'net/de/', 'net', '/de/'), ('allow', 'example.net/de/8', 'example.net', '/de/8'), ('block', 'org/es/', 'org', '/es/'))
+  ('allow', 'net/de/', 'net', '/de/'), ('block', 'example.net/de/8', 'example.net', '/de/8'), ('block', 'org/es/', 'org', '/es/'))
 select page_id, host, path,
   (select r.rule from r where (u.host = r.h or ends_with(u.host, '.' || r.h)) and starts_with(u.path, r.p) order by length(r.rule) desc limit 1) as rule,
   coalesce((select r.action from r where (u.host = r.h or ends_with(u.host, '.' || r.h)) and starts_with(u.path, r.p) order by length(r.rule) desc limit 1), 'allow') as verdict
