@@ -4,8 +4,8 @@ A paragraph is a line of at least `MIN_WORDS` words, as a set of five-word shing
 
 1. One pass hashes every paragraph of every text: a key of its word sequence and the bands of its MinHash.  The
    number of bands is tuned so that a pair of Jaccard `SIMILARITY` meets in a band with probability `RECALL`.
-2. Equal paragraphs become one row (combined before the shuffle).  In each bucket of a band, members link to the least
-   key; components of these links are coarse, unverified groups.
+2. Equal paragraphs become one row (combined before the shuffle).  In each bucket of a band, members link to one
+   of them, within tasks before the shuffle; components of these links are coarse, unverified groups.
 3. Texts of grouped paragraphs only are fetched, and exact Jaccard of every pair of a group is computed in cells of
    bounded size; verified links give the final components.
 4. Of each component, or of equal paragraphs, the first occurrence by (doc_id, paragraph) stays.
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import text as tx
 from tessera.llm.components import components
-from tessera.llm.setjoin import lines_at, verified
-from tessera.llm.tables import broadcast_if_small, checkpoint, table
+from tessera.llm.setjoin import lines_at, sized, verified
+from tessera.llm.tables import bounded_batches, broadcast_if_small, checkpoint, stored, table
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.995
 MIN_WORDS = 20
@@ -58,6 +58,7 @@ def key_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 def paragraphs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """(id, line, words, key, bands) of every paragraph."""
+    bounded_batches(docs.sparkSession)
     bands = bands_for()
 
     def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,17 +93,53 @@ def paragraphs(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(hash_all, "id bigint, line int, words int, key bigint, bands array<bigint>")
 
 
+def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of a bucket within a batch link to one of them (root set); only that one goes on (root null)."""
+    for batch in batches:
+        bands = batch.column(1)
+        if not batch.num_rows:
+            continue
+        bucket = bands.flatten().to_numpy()
+        key = np.repeat(batch.column(0).to_numpy(), len(bucket) // batch.num_rows)
+        order = np.lexsort((key, bucket))
+        bucket, key = bucket[order], key[order]
+        new = np.ones(len(bucket), dtype=bool)
+        new[1:] = bucket[1:] != bucket[:-1]
+        root = key[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        keep = new | (root != key)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(key[keep]), pa.array(root[keep], mask=new[keep])], names=["bucket", "key", "root"])
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of bucket: each links to the bucket's first key, and to its local root. Nothing is held but that key."""
+    last, root = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        local = batch.column(2)
+        new = np.ones(len(bucket), dtype=bool)
+        new[1:] = bucket[1:] != bucket[:-1]
+        lead = key[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        if bucket[0] == last:
+            lead[: int(np.argmin(bucket == last)) if (bucket != last).any() else len(bucket)] = root
+        last, root = bucket[-1], lead[-1]
+        linked = ~local.is_null().to_numpy(zero_copy_only=False)
+        a = np.concatenate((lead, local.fill_null(0).to_numpy()[linked]))
+        b = np.concatenate((key, key[linked]))
+        yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+
+
 def repeated(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """Every occurrence of a repeated paragraph: id, line, words, keep_id, keep_line, copies, removed."""
-    all_rows = checkpoint(paragraphs(docs, text, id_col, min_words))
+    all_rows = stored(paragraphs(docs, text, id_col, min_words))
     place = F.struct(F.coalesce("id", F.lit(LAST)).alias("id"), F.col("line").alias("line"))
     distinct = all_rows.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("rows"))
-    buckets = all_rows.select("key", F.explode("bands").alias("bucket")).distinct()
-    roots = buckets.groupBy("bucket").agg(F.min("key").alias("root"), F.max("key").alias("top")).filter("root < top").select(F.col("bucket").alias("b"), "root")
-    stars = buckets.join(roots, F.col("bucket") == F.col("b")).filter("key <> root").select(F.col("root").alias("a"), F.col("key").alias("b"))
+    dealt = all_rows.select("key", "bands").mapInArrow(_local_stars, "bucket bigint, key bigint, root bigint")
+    stars = dealt.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(_stars, "a bigint, b bigint")
     coarse = checkpoint(components(stars).select(F.col("node").alias("n"), F.col("component").alias("coarse")))
-    wanted = distinct.join(coarse, F.col("key") == F.col("n")).select(F.when(F.col("first.id") != LAST, F.col("first.id")).alias("at_id"), F.col("first.line").alias("at_line"), F.col("key").alias("node"), "coarse")
-    final = verified(lines_at(docs, checkpoint(wanted), id_col, text, key_of).select("coarse", "node", "text"), SIMILARITY, SHINGLE)
+    wanted = distinct.join(coarse, F.col("key") == F.col("n")).select(F.col("first.id").alias("at_id"), F.col("first.line").alias("at_line"), F.col("key").alias("node"), "coarse")
+    final = verified(lines_at(docs, checkpoint(sized(wanted)), id_col, text, key_of), SIMILARITY, SHINGLE)
     named = distinct.join(final, F.col("key") == F.col("node"), "left").filter("rows > 1 or component is not null").select("key", "first", "rows", F.coalesce("component", "key").alias("group"))
     groups = named.groupBy("group").agg(F.min("first").alias("keep"), F.sum("rows").alias("copies"))
     labels = checkpoint(named.select("key", F.col("group").alias("g")).join(groups, F.col("g") == F.col("group")).select(F.col("key").alias("k"), F.col("keep.id").alias("k_id"), F.col("keep.line").alias("keep_line"), "copies"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import text as tx
 from tessera.llm.components import components
-from tessera.llm.tables import cells, grouped
+from tessera.llm.tables import bitmap, cells, grouped, in_bitmap
 
 #: Members of a cell's chunk at most.
 CELL = 512
@@ -96,15 +96,19 @@ def forest(sets: list[np.ndarray], threshold: float, chunk: np.ndarray | None =
     return left, right
 
 
+def sized(members: DataFrame) -> DataFrame:
+    """members with the number of rows of their coarse component, from narrow rows, before any text is fetched."""
+    sizes = members.groupBy("coarse").agg(F.count("*").alias("size"))
+    return members.join(sizes.select(F.col("coarse").alias("c"), "size"), F.col("coarse") == F.col("c")).drop("c")
+
+
 def verified(members: DataFrame, threshold: float, shingle: int = SHINGLE) -> DataFrame:
-    """(node, component) of members (coarse, node, text) whose links reach the threshold exactly.
+    """(node, component) of members (coarse, size of coarse, node, text) whose links reach the threshold exactly.
 
     Only nodes with a link appear.
     """
-    sizes = members.groupBy("coarse").agg(F.count("*").alias("size")).filter("size > 1")
-    near = members.join(sizes.withColumnRenamed("coarse", "c"), F.col("coarse") == F.col("c")).select("coarse", "node", "text", "size")
     keys = ["coarse", "cell_a", "cell_b"]
-    dealt = cells(near, "coarse", "size", "node", CELL).select(*keys, "chunk", "node", "text")
+    dealt = cells(members.filter("size > 1"), "coarse", "size", "node", CELL).select(*keys, "chunk", "node", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in grouped(batches, keys):
@@ -123,32 +127,51 @@ def verified(members: DataFrame, threshold: float, shingle: int = SHINGLE) -> Da
     return components(links)
 
 
+def _spot(ids: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return tx.mix64(ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + lines.astype(np.uint64))
+
+
 def lines_at(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, key_of) -> DataFrame:
     """wanted (at_id, at_line, node, ...) with the text of that line; key_of(column of texts) must give the node.
 
-    The check by key_of drops other lines of rows that share an id, so repeated ids do no harm.
+    A bitmap of the wanted places, of bounded size, goes to the scan, so that hardly more than the wanted lines move.
+    The check by key_of drops other lines of rows that share an id, so repeated ids do no harm; a null id is 2**63 - 1.
     """
-    from tessera.llm.tables import broadcast_if_small
+    last = (1 << 63) - 1
 
-    source = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text).alias("_text"))
-    found = source.join(broadcast_if_small(wanted), F.col("_id").eqNullSafe(F.col("at_id")))
-    found = found.withColumn("text", F.get(F.split("_text", "\n"), F.col("at_line"))).drop("_id", "_text").filter("text is not null")
-    at_node, at_text = found.columns.index("node"), found.columns.index("text")
-
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(key_of(batch.column(at_text)).view(np.int64) == batch.column(at_node).to_numpy()))
+            h = _spot(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select("at_id", "at_line").mapInArrow(spots, "h bigint"), wanted.count()))
 
-    return found.mapInArrow(same, found.schema).dropDuplicates(["node"])
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        for batch in batches:
+            data, offsets = tx.strings(batch.column(1))
+            ids = batch.column(0).fill_null(last).to_numpy(zero_copy_only=False)
+            for lo, _, part, at in tx.pieces(data, offsets):
+                edges, row, number = tx.lines(part, at)
+                own = ids[row + lo]
+                hit = np.flatnonzero(in_bitmap(table, _spot(own, number)))
+                if len(hit):
+                    raw = part.tobytes()
+                    ends = edges[1:] - (np.append(part, 0)[np.maximum(edges[1:] - 1, 0)] == 10) * (edges[1:] > edges[:-1])
+                    texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(edges[hit].tolist(), ends[hit].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(own[hit], pa.int64()), pa.array(number[hit], pa.int32()), pa.array(key_of(pa.array(texts, pa.string())).view(np.int64)), pa.array(texts, pa.string())], names=["f_id", "f_line", "f_key", "text"])
+
+    found = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text).alias("_text")).mapInArrow(fetch, "f_id bigint, f_line int, f_key bigint, text string")
+    on = (F.col("f_id") == F.col("at_id")) & (F.col("f_line") == F.col("at_line")) & (F.col("f_key") == F.col("node"))
+    return found.join(wanted, on).drop("f_id", "f_line", "f_key").dropDuplicates(["node"])
 
 
 def linked(members: DataFrame, threshold: float, shingle: int) -> DataFrame:
-    """(node, links, low): for each member of (coarse, node, text, rank) with a link of at least the threshold, the
+    """(node, links, low): for each member of (coarse, size, node, text, rank_id, rank_line) with a link of at least the threshold, the
     number of its links and the least rank at their other ends.  Linear output: no pair leaves a task."""
-    sizes = members.groupBy("coarse").agg(F.count("*").alias("size")).filter("size > 1")
-    near = members.join(sizes.withColumnRenamed("coarse", "c"), F.col("coarse") == F.col("c")).select("coarse", "node", "rank_id", "rank_line", "text", "size")
     keys = ["coarse", "cell_a", "cell_b"]
-    dealt = cells(near, "coarse", "size", "node", CELL).select(*keys, "chunk", "node", "rank_id", "rank_line", "text")
+    dealt = cells(members.filter("size > 1"), "coarse", "size", "node", CELL).select(*keys, "chunk", "node", "rank_id", "rank_line", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in grouped(batches, keys):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,20 +9,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import checkpoint
+
 #: Rows of a side that may be broadcast after its size was counted; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
 
 
+#: Rows and bytes of an Arrow batch where the session leaves the defaults: a batch of long texts stays small in workers.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches where the session has not set its own; they only bound the memory of Python workers."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(key, None) is None:  # None: not set by anyone
+            spark.conf.set(key, str(value))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage into the shared folder that the cluster names in spark.checkpoint.dir (set here only where unset)."""
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet under the shared checkpoint folder and read back: columnar and compressed, for tables that
+    are read more than once."""
+    from uuid import uuid4
+
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tessera-checkpoints"))
-    return df.checkpoint(eager=True)
+        checkpoint(df.sparkSession.range(1))
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/stored-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def lower_az(text: Column) -> Column:
@@ -103,3 +119,39 @@ def _bounds(t: pa.Table, keys: list[str]) -> np.ndarray:
 
 def _same(a: pa.Table, b: pa.Table, keys: list[str]) -> bool:
     return all(a.column(k)[a.num_rows - 1].as_py() == b.column(k)[0].as_py() for k in keys)
+
+
+def bitmap(hashes: DataFrame, rows: int) -> np.ndarray:
+    """Bits of the values (one bigint column, well mixed) in a bitmap of bounded size: 8 bits a row, at most 2**29 bits.
+
+    A bit that is not set proves that a value is absent; one that is set proves nothing.
+    """
+    bits = min(max(int(np.ceil(np.log2(max(rows, 1) * 8))), 16), 29)
+    block = 1 << 15  # bits of a block
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((1 << bits) // 8, dtype=np.uint8)
+        for batch in batches:
+            at = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        parts = table.reshape(-1, block // 8)
+        used = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([parts[k].tobytes() for k in used], pa.binary())], names=["block", "bits"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                now = np.frombuffer(b, np.uint8)
+                total[k] = total[k] | now if k in total else now
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["block", "bits"])
+
+    out = np.zeros(((1 << bits) // block, block // 8), dtype=np.uint8)
+    for r in hashes.mapInArrow(mark, "block bigint, bits binary").repartition("block").mapInArrow(merge, "block bigint, bits binary").toLocalIterator():
+        out[r["block"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out.ravel()
+
+
+def in_bitmap(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = (hashes >> np.uint64(64 - int(np.log2(len(table) * 8)))).astype(np.int64)
+    return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
