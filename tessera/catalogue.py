@@ -267,3 +267,45 @@ def _service(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 plain("service_local", _service, "select s_name as sn, n_name as nn from supplier join nation on s_nationkey = n_nationkey")
+
+
+# --- more of the language
+add("select_star", "SELECT * WHERE { ?n t:n_name ?nn ; t:region [ t:r_name ?rn ] }", f"select '{DATA}nation/' || n_nationkey as n, n_name as nn, r_name as rn from nation join region on n_regionkey = r_regionkey")
+add("values_trailing", "SELECT ?k ?n WHERE { ?x t:n_nationkey ?k ; t:n_name ?n } VALUES ?k { 3 5 7 99 }", "select n_nationkey::bigint as k, n_name as n from nation where n_nationkey in (3, 5, 7, 99)")
+add("agg_sum_distinct", "SELECT ?br (SUM(DISTINCT ?s) AS ?d) (COUNT(DISTINCT ?s) AS ?n) (GROUP_CONCAT(DISTINCT ?s; SEPARATOR='|') AS ?g) WHERE { ?p t:p_brand ?br ; t:p_size ?s } GROUP BY ?br", "select p_brand as br, sum(distinct p_size)::bigint as d, count(distinct p_size) as n, string_agg(distinct p_size::varchar, '|' order by p_size::varchar) as g from part group by all")
+add("having_order_aggregate", "SELECT ?s WHERE { ?c t:c_mktsegment ?s ; t:c_acctbal ?b } GROUP BY ?s HAVING (MAX(?b) > 0 && COUNT(*) > 1) ORDER BY DESC(COUNT(?b)) ?s LIMIT 3", "select c_mktsegment as s from customer group by c_mktsegment having max(c_acctbal) > 0 and count(*) > 1 order by count(*) desc, s limit 3")
+add("subquery_scope", "SELECT ?k ?m WHERE { ?c t:c_custkey ?k ; t:c_mktsegment ?s ; t:c_acctbal ?b { SELECT ?s (MAX(?b) AS ?m) WHERE { ?x t:c_mktsegment ?s ; t:c_acctbal ?b } GROUP BY ?s } FILTER(?b = ?m) }", "select c_custkey as k, m from customer join (select c_mktsegment as s, max(c_acctbal) as m from customer group by all) on s = c_mktsegment where c_acctbal = m")
+add("path_nested", "SELECT ?a ?b WHERE { ?a t:c_name ?x ; (t:c_nation/t:region)/(t:r_name|rdfs:label) ?b FILTER(STRENDS(?x, '7')) }", f"with r as (select c_custkey as k, r_name as n from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where ends_with(c_name, '7')) select '{DATA}customer/' || k as a, n as b from r union all select '{DATA}customer/' || k, n from r")
+add("ask_false", "ASK { ?c t:c_acctbal ?b FILTER(?b > 1e12) }", "select false as boolean")
+add("construct_blank", "CONSTRUCT { ?n t:place [ t:inside ?r ] } WHERE { ?n t:region ?r }", "select 2 * count(*) as n, count(*) as nodes from nation", after=lambda df: df.agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("s.kind") == 0, F.col("s.lex"))).alias("nodes")))
+add("describe_var", "DESCRIBE ?r WHERE { ?r t:r_regionkey 1 }", f"select '{DATA}region/1' as s, p, o from (select 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' as p, 'http://example.org/tables#Region' as o union all select 'http://example.org/tables#r_regionkey', '1' union all select 'http://example.org/tables#r_name', (select r_name from region where r_regionkey = 1) union all select 'http://www.w3.org/2000/01/rdf-schema#label', (select r_name from region where r_regionkey = 1))", after=_spo)
+plain("quoted_triple", _updated("INSERT { << ?n t:region ?r >> t:certainty ?k } WHERE { ?n t:region ?r ; t:n_nationkey ?k }", "SELECT ?n ?k WHERE { << ?n t:region <http://example.org/data/region/2> >> t:certainty ?k }"), f"select '{DATA}nation/' || n_nationkey as n, n_nationkey::varchar as k from nation where n_regionkey = 2")
+plain("rdf_list", _updated("INSERT DATA { d:x t:items (10 20 30) }", f"SELECT ?i WHERE {{ <{DATA}x> t:items/rdf:rest*/rdf:first ?i }}"), "select unnest(['10', '20', '30']) as i")
+plain("update_using", _updated(_G + "INSERT { ?s t:seen ?n } USING d:g1 USING d:g2 WHERE { ?s t:n_name ?n }", "SELECT ?s ?n WHERE { ?s t:seen ?n }"), f"{_N} where n_regionkey in (1, 2)")
+plain("path_both_ways", lambda s, d: _numbers(_edges(s, d, *_CYCLE).dataframe(f"SELECT ?y WHERE {{ <{DATA}node/3> (t:next|^t:next)* ?y }}")), "with recursive e as (select n_nationkey::bigint as a, ((7 * n_nationkey + 1) % 25)::bigint as b from nation), f as (select a, b from e union select b, a from e), r as (select 3::bigint as y union select f.b from r join f on r.y = f.a) select y from r")
+
+
+def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON of events as records, to triples, matched."""
+    from tessera.sources.catalog import quads_of
+    from tessera.sources.json_etl import Entity, json_triples
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.from_json("props", "k long").alias("props"))
+    triples = json_triples(events, [Entity("event/{event_id}", (T.Event,), values={T.k: ("props.k", "http://www.w3.org/2001/XMLSchema#integer")})], DATA)
+    df = Engine(Catalog(spark, quads=quads_of(triples)), PREFIXES).dataframe("SELECT ?e ?k WHERE { ?e a t:Event ; t:k ?k FILTER(?k > 50) }")
+    return df.select(F.col("e.lex").alias("e"), F.col("k.lex").cast("bigint").alias("k"))
+
+
+plain("json_etl", _json, f"select '{DATA}event/' || event_id as e, (props->>'k')::bigint as k from events where (props->>'k')::bigint > 50")
+
+
+def _ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instances of a class as rows of the record type that an ontology gives it."""
+    from tessera.ontology import read_ontology, records
+
+    e = Engine(Catalog(spark, quads=quads_of_tables(spark, sf_dir)), PREFIXES)
+    e.update(f"PREFIX t: <{T}> INSERT DATA {{ t:Nation a owl:Class . t:n_name a owl:DatatypeProperty , owl:FunctionalProperty ; rdfs:domain t:Nation ; rdfs:range xsd:string . t:n_regionkey a owl:DatatypeProperty , owl:FunctionalProperty ; rdfs:domain t:Nation ; rdfs:range xsd:integer }}")
+    return records(e, read_ontology(e)[T.Nation])
+
+
+plain("ontology_records", _ontology, f"select '{DATA}nation/' || n_nationkey as iri, n_name, n_regionkey::bigint as n_regionkey from nation")

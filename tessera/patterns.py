@@ -7,6 +7,7 @@ literals unless they start with ? or $.
 from __future__ import annotations
 
 import re
+import zlib
 from itertools import count as _count
 from typing import Any
 
@@ -158,7 +159,7 @@ class Rel:
         p = predicate(self.p)
         out = [a.Triple(s, p, o)]
         if self.props:
-            statement = t.BNode(f"rel{abs(hash((repr(s), repr(p), repr(o)))) % 10**9}")
+            statement = t.BNode(f"rel{zlib.crc32(repr((s, p, o)).encode()):08x}")
             out += [a.Triple(statement, t.IRI(RDF.type), t.IRI(RDF.Statement)), a.Triple(statement, t.IRI(RDF.subject), s), a.Triple(statement, t.IRI(RDF.predicate), p), a.Triple(statement, t.IRI(RDF.object), o)]
             for q, x in self.props:
                 out += triple(statement, q, x)
