@@ -19,7 +19,7 @@ from tessera.llm.tables import checkpoint
 
 
 #: Links that one task holds at most.
-ONE_TASK = 1_000_000
+ONE_TASK = 2_000_000
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:

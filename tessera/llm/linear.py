@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import text as tx
+from tessera.llm.tables import bounded_batches
 
 #: Labelled rows that training reads at most.
 SAMPLE = 6000
@@ -56,6 +57,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, features: Features, bi
 
     Without a labelled row all weights are zero, so every score is 0.5.
     """
+    bounded_batches(docs.sparkSession)
     chosen = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label).cast("double").alias("_y"))
     chosen = chosen.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64(F.col("_id"), F.lit(1)), "_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id")

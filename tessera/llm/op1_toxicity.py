@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import linear
 from tessera.llm import text as tx
-from tessera.llm.tables import table
+from tessera.llm.tables import bounded_batches, table
 
 BITS = 20
 #: Lengths of stems in bytes.
@@ -77,6 +77,7 @@ def count_trigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["code", "n"])
 
+    bounded_batches(docs.sparkSession)
     out = np.zeros(27**3, dtype=np.float64)
     for r in docs.select(F.col(text).alias("t")).mapInArrow(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect():  # at most 27**3 rows
         out[r["code"]] = r["n"]

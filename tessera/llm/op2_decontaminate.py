@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import text as tx
-from tessera.llm.tables import table
+from tessera.llm.tables import bounded_batches, table
 
 SIMILARITY = 0.8
 REPEATS = 3
@@ -229,6 +229,7 @@ def blocks(items: DataFrame, text: str = "text", id_col: str = "item_id") -> Ite
 
 def contaminations(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, item_id, edits, similarity, start): each item found in each row of docs, at its best place."""
+    bounded_batches(docs.sparkSession)
     out = None
     for block in blocks(items):
         sent = docs.sparkSession.sparkContext.broadcast(block)
@@ -253,6 +254,7 @@ def contaminations(docs: DataFrame, items: DataFrame, text: str = "text", id_col
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text)
     for block in blocks(items):
         sent = docs.sparkSession.sparkContext.broadcast(block)

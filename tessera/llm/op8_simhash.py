@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import text as tx
 from tessera.llm.components import components
-from tessera.llm.setjoin import verified
-from tessera.llm.tables import broadcast_if_small, cells, checkpoint, grouped, table
+from tessera.llm.setjoin import sized, verified
+from tessera.llm.tables import bounded_batches, broadcast_if_small, cells, checkpoint, grouped, table
 
 SHINGLE = 3
 SEED = 42
@@ -39,25 +39,27 @@ RADIUS = 3
 CELL = 1024
 
 
-def fingerprint_of(joined: bytes, words: list[bytes], shingle: int = SHINGLE) -> int:
-    """Of one text: its words, and the words joined by single spaces."""
+def fingerprint_of(joined: bytes, words: list[bytes], shingle: int = SHINGLE, size: int = 1) -> list[int]:
+    """Of one text (its words, and the words joined by single spaces): `size` words of 64 bits, the first from the
+    shingles' XXH64 itself, further ones from a mix of it."""
     import xxhash
 
     if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-    ends = np.cumsum(sizes) - 1
-    starts = ends - sizes + 1
+        return [0] * size
+    n = max(len(words) - shingle + 1, 1)
+    spans = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+    ends = np.cumsum(spans) - 1
+    starts = ends - spans + 1
+    last = ends[shingle - 1 :] if len(words) > shingle else ends[-1:]
     digest, view = xxhash.xxh64_intdigest, memoryview(joined)
-    n = len(words) - shingle + 1
-    ones = np.zeros(64, dtype=np.int64)
+    ones = np.zeros((size, 64), dtype=np.int64)
     for at in range(0, n, 1 << 16):
         stop = min(at + (1 << 16), n)
-        h = np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts[at:stop].tolist(), ends[at + shingle - 1 : stop + shingle - 1].tolist(), strict=True)), dtype=np.uint64, count=stop - at)
-        ones += _set_bits(h)
-    return int(np.bitwise_or.reduce(np.where(2 * ones > n, np.uint64(1) << np.arange(64, dtype=np.uint64), np.uint64(0))))
+        h = np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts[at:stop].tolist(), last[at:stop].tolist(), strict=True)), dtype=np.uint64, count=stop - at)
+        for k in range(size):
+            ones[k] += _set_bits(h)
+            h = tx.mix64(h + np.uint64(0x9E3779B97F4A7C15)) if k + 1 < size else h
+    return [int(np.bitwise_or.reduce(np.where(2 * x > n, np.uint64(1) << np.arange(64, dtype=np.uint64), np.uint64(0)))) for x in ones]
 
 
 def _set_bits(h: np.ndarray) -> np.ndarray:
@@ -65,26 +67,33 @@ def _set_bits(h: np.ndarray) -> np.ndarray:
     return np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int, size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = tx.strings(batch.column("text"))
         raw = tx.LOWER[data].tobytes()
-        out = np.zeros(batch.num_rows, dtype=np.uint64)
+        out = np.zeros((size, batch.num_rows), dtype=np.uint64)
         for i in range(batch.num_rows):
             words = raw[offsets[i] : offsets[i + 1]].split()
-            out[i] = fingerprint_of(b" ".join(words), words, shingle)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out.view(np.int64))], names=["id", "fp"])
+            out[:, i] = fingerprint_of(b" ".join(words), words, shingle, size)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x.view(np.int64)) for x in out)], names=["id", *_WORDS[:size]])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): fp holds the 64 bits as a signed number."""
-    make = lambda batches: _fingerprint_batches(batches, shingle)
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(make, "id bigint, fp bigint")
+_WORDS = ["fp", "fp2", "fp3", "fp4"]
+
+
+def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, size: int = 1) -> DataFrame:
+    """(id, fp, ...): each word of the fingerprint holds 64 bits as a signed number."""
+    bounded_batches(docs.sparkSession)
+    make = lambda batches: _fingerprint_batches(batches, shingle, size)
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(make, ", ".join(["id bigint", *(f"{w} bigint" for w in _WORDS[:size])]))
 
 
 def block_masks(n: int, radius: int = RADIUS) -> list[int]:
-    """Bit masks of the buckets' keys for n fingerprints: b blocks, every choice of b - radius of them."""
-    b = radius + 1
+    """Bit masks of the buckets' keys for n fingerprints: b blocks, every choice of b - radius of them.
+
+    Five blocks at least (for radius 3: ten keys of about 26 bits), more where n asks for longer keys.
+    """
+    b = radius + 2
     while b < radius + 5 and 64 * (b - radius) / b < np.log2(max(n, 2)):
         b += 1
     edge = [round(64 * i / b) for i in range(b + 1)]
@@ -104,7 +113,7 @@ def within(planes_a: np.ndarray, planes_b: np.ndarray, radius: int) -> np.ndarra
     start, full = (1 << depth) - 1 - radius, ~np.uint64(0)
     counter = [np.full(shape, full if start >> d & 1 else 0, dtype=np.uint64) for d in range(depth)]
     over = np.zeros(shape, dtype=np.uint64)
-    for k in range(64):
+    for k in range(len(planes_a)):
         carry = planes_a[k] ^ planes_b[k]
         for d in range(depth):
             now = counter[d]
@@ -117,10 +126,10 @@ def within(planes_a: np.ndarray, planes_b: np.ndarray, radius: int) -> np.ndarra
 
 
 def planes_of(fp: np.ndarray) -> np.ndarray:
-    """(64, ceil(n / 64)): word w of plane k holds bit k of fingerprints 64 w ... 64 w + 63."""
-    n = len(fp)
-    bits = np.unpackbits(fp.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    lanes = np.zeros((64, -(-n // 64) * 64), dtype=np.uint8)
+    """(bits, ceil(n / 64)) of (n, words): word w of plane k holds bit k of fingerprints 64 w ... 64 w + 63."""
+    n, size = fp.shape
+    bits = np.unpackbits(np.ascontiguousarray(fp).astype("<u8").view(np.uint8).reshape(n, 8 * size), axis=1, bitorder="little")
+    lanes = np.zeros((64 * size, -(-n // 64) * 64), dtype=np.uint8)
     lanes[:, :n] = bits.T
     return np.packbits(lanes, axis=1, bitorder="little").view("<u8").astype(np.uint64)
 
@@ -167,7 +176,8 @@ def _forest(fp: np.ndarray, chunk: np.ndarray | None, radius: int) -> tuple[np.n
     every = ~np.uint64(0)
     for s in range(0, n, 64):
         rows = fp[s : s + 64]
-        asked = np.where((rows[None, :, None] >> np.arange(64, dtype=np.uint64)[:, None, None]) & np.uint64(1), every, np.uint64(0))
+        bit = (rows.T[:, None, :] >> np.arange(64, dtype=np.uint64)[None, :, None]) & np.uint64(1)
+        asked = np.where(bit.reshape(-1, len(rows), 1), every, np.uint64(0))
         near = within(asked, planes[:, None, s // 64 :], radius)
         if not near.any():
             continue
@@ -187,25 +197,26 @@ def _forest(fp: np.ndarray, chunk: np.ndarray | None, radius: int) -> tuple[np.n
 
 
 def _compare_batches(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    for t, bounds in grouped(batches, ["mask", "bits", "cell_a", "cell_b"]):
-        fp = t.column("fp").to_numpy().view(np.uint64)
+    for t, bounds in grouped(batches, ["bucket", "cell_a", "cell_b"]):
+        fp = np.stack([t.column(w).to_numpy().view(np.uint64) for w in _WORDS if w in t.column_names], axis=1)
         chunk = t.column("chunk").to_numpy()
         cross = (t.column("cell_a").to_numpy() != t.column("cell_b").to_numpy())[bounds[:-1]]
         a, b = pairs_within(fp, bounds, chunk, cross, radius)
-        yield pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(fp[a, 0].view(np.int64)), pa.array(fp[b, 0].view(np.int64))], names=["a", "b"])
 
 
 def links(fps: DataFrame, masks: list[int], radius: int = RADIUS) -> DataFrame:
-    """(a, b): links between distinct fingerprints that connect what the radius connects in the masks' buckets."""
+    """(a, b): links between fingerprints (distinct by fp; further words count in distances) that connect what the radius connects in the masks' buckets."""
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    spread = fps.select("fp", F.posexplode(F.array(*[F.lit(m).cast("bigint") for m in signed])).alias("mask", "m"))
-    spread = spread.select("fp", "mask", F.col("fp").bitwiseAND(F.col("m")).alias("bits"))
-    sizes = spread.groupBy("mask", "bits").count().filter("count > 1").select(F.col("mask").alias("k"), F.col("bits").alias("v"), "count")
-    near = spread.join(sizes, (F.col("mask") == F.col("k")) & (F.col("bits") == F.col("v")))
-    keys = ["mask", "bits", "cell_a", "cell_b"]
-    dealt = cells(near.select("fp", "mask", "bits", "count"), "bits", "count", "fp", CELL).select(*keys, "chunk", "fp")
+    words = [w for w in _WORDS if w in fps.columns]
+    spread = fps.select(*words, F.posexplode(F.array(*[F.lit(m).cast("bigint") for m in signed])).alias("mask", "m"))
+    spread = spread.select(*words, F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("m"))).alias("bucket"))
+    hot = checkpoint(spread.groupBy("bucket").count().filter(F.col("count") > CELL).select(F.col("bucket").alias("b"), "count"))
+    sizes = spread.join(broadcast_if_small(hot), F.col("bucket") == F.col("b"), "left").withColumn("count", F.coalesce("count", F.lit(1)))
+    keys = ["bucket", "cell_a", "cell_b"]
+    dealt = cells(sizes.select(*words, "bucket", "count"), "bucket", "count", "fp", CELL).select(*keys, "chunk", *words)
     compare = lambda batches: _compare_batches(batches, radius)
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a bigint, b bigint").distinct()
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a bigint, b bigint")
 
 
 def group(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -221,22 +232,24 @@ def group(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFr
 
 
 #: Near-duplicate stages: five-word shingles, similarity 0.8 or more, and the recall that the search is tuned for.
-STAGE_SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.98
+STAGE_SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.96
+#: Words of 64 bits in the stage's fingerprints: the first is sampled, all count in distances.
+STAGE_WORDS = 2
 
 
 def sampled_masks(n: int, similarity: float = SIMILARITY, recall: float = RECALL, seed: int = 5) -> tuple[list[int], int]:
     """Bit samples that find a pair of the given Jaccard similarity with the recall, and the radius that keeps it.
 
     Two sets of Jaccard j have a cosine of about 2 j / (1 + j); each bit of their fingerprints differs with probability
-    angle / pi.  A sample has log2(n) bits, so that buckets of unrelated fingerprints stay about single; the number of
+    angle / pi.  A sample has log2(n) - 2 bits, so that buckets hold about four unrelated fingerprints; the number of
     samples grows as n ** 0.24.
     """
     differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    k = int(min(max(np.ceil(np.log2(max(n, 2))), 8), 40))
+    k = int(min(max(np.ceil(np.log2(max(n, 2))) - 2, 8), 40))
     tables = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - differ) ** k)))
     rng = np.random.default_rng(seed)
     masks = [sum(1 << int(i) for i in rng.choice(64, k, replace=False)) for _ in range(tables)]
-    return masks, int(np.ceil(64 * differ + 2.7 * np.sqrt(64 * differ * (1 - differ))))
+    return masks, int(np.ceil(64 * STAGE_WORDS * differ + 2.7 * np.sqrt(64 * STAGE_WORDS * differ * (1 - differ))))
 
 
 def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -245,15 +258,15 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     Fingerprints of five-word shingles are compared in buckets of sampled bits, bit-sliced, within the radius that a
     similarity of 0.8 has; what that connects is a coarse component, in which exact Jaccard decides.
     """
-    prints = checkpoint(fingerprints(docs.filter(F.col(id_col).isNotNull()), text, id_col, STAGE_SHINGLE))
-    nodes = prints.groupBy("fp").agg(F.count("*").alias("rows"))
+    prints = checkpoint(fingerprints(docs.filter(F.col(id_col).isNotNull()), text, id_col, STAGE_SHINGLE, STAGE_WORDS))
+    nodes = prints.groupBy("fp").agg(F.min("fp2").alias("fp2"), F.count("*").alias("rows"))
     masks, radius = sampled_masks(nodes.count())
-    found = components(links(nodes.select("fp"), masks, radius))
+    found = components(links(nodes.select("fp", "fp2"), masks, radius))
     coarse = nodes.join(found, nodes["fp"] == found["node"], "left").filter("component is not null or rows > 1")
     coarse = coarse.select(F.col("fp").alias("f"), F.coalesce("component", "fp").alias("coarse"))
-    inside = checkpoint(prints.join(coarse, prints["fp"] == coarse["f"]).select(F.col("id").alias("i"), "coarse").distinct())
+    inside = checkpoint(sized(prints.join(coarse, prints["fp"] == coarse["f"]).select(F.col("id").alias("i"), "coarse").distinct()))
     texts = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text).alias("text"))
-    members = texts.join(broadcast_if_small(inside), F.col("node") == F.col("i")).select("coarse", "node", "text")
+    members = texts.join(broadcast_if_small(inside), F.col("node") == F.col("i")).select("coarse", "size", "node", "text")
     return verified(members, SIMILARITY, STAGE_SHINGLE)
 
 

@@ -78,10 +78,7 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
     by a batch and the largest group.
     """
     held: list[pa.Table] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = pa.Table.from_batches([batch])
+    for now in _larger(batches):
         change = _changes(now, keys)
         last = int(change[-1]) if len(change) else 0
         if held and _same(held[-1], now, keys):
@@ -105,6 +102,21 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         yield whole, _bounds(whole, keys)
 
 
+def _larger(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16, size: int = 16 << 20) -> Iterator[pa.Table]:
+    """Small batches joined up to so many rows or bytes."""
+    got: list[pa.RecordBatch] = []
+    n = b = 0
+    for batch in batches:
+        if batch.num_rows:
+            got.append(batch)
+            n, b = n + batch.num_rows, b + batch.nbytes
+        if n >= rows or b >= size:
+            yield pa.Table.from_batches(got).combine_chunks()
+            got, n, b = [], 0, 0
+    if got:
+        yield pa.Table.from_batches(got).combine_chunks()
+
+
 def _changes(t: pa.Table, keys: list[str]) -> np.ndarray:
     differs = np.zeros(max(t.num_rows - 1, 0), dtype=bool)
     for k in keys:
