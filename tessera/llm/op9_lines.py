@@ -3,11 +3,11 @@
 A line is the set of its words (A-Z lower-cased).  Words are ordered by rarity: frequencies are counted over all
 texts in a table of 2**20 hashed counters (a fixed size; any table gives a correct join, a good one a fast join).
 Lines with equal sets become one row.  Two sets of Jaccard t or more share a word among the first
-n - ceil(t n) + 1 of each; so each distinct line is posted under those words, and lines that meet there must pass
+n - ceil(t n) + 1 of each; so each distinct line is posted under 32-bit hashes of those words, and lines that meet there must pass
 
 * the length filter (the smaller set has at least t times the words of the larger),
 * the positional filter (the words after the meeting place suffice for the overlap that t asks for),
-* a parity filter (each word flips one of 128 bits; the bits that differ are at most the symmetric difference),
+* a parity filter (each word flips one of 128 bits, or of 64 in shorter lines; the bits that differ are at most the symmetric difference),
 
 all of which keep every pair that reaches t.  What passes links lines into coarse groups, in which Jaccard of every pair
 is verified on the words themselves, in cells of bounded size.  A frequent word's postings are dealt into cells too.
@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm import text as tx
 from tessera.llm.components import components
-from tessera.llm.setjoin import lines_at, linked
-from tessera.llm.tables import broadcast_if_small, cells, checkpoint, grouped, table
+from tessera.llm.setjoin import lines_at, linked, sized
+from tessera.llm.tables import bounded_batches, broadcast_if_small, cells, checkpoint, grouped, stored, table
 
 SIMILARITY = 0.8
 CELL = 2048
+#: Lines of at most so many words have their 128 parity bits folded into 64.
+FOLDED = 96
 LAST = (1 << 63) - 1
 _BITS, _BLOCK = 20, 1 << 12
 
@@ -85,6 +87,17 @@ def prefix_sizes(n: np.ndarray, t: float = SIMILARITY) -> np.ndarray:
     return n - np.ceil(t * n - 1e-9).astype(np.int64) + 1
 
 
+def _order(line: np.ndarray, rank: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """By line, then rarity, then hash: one sort of packed keys, unless they can't tell all apart."""
+    if line[-1] < 1 << 20:
+        packed = (line.astype(np.uint64) << np.uint64(44)) | (rank.astype(np.uint64) << np.uint64(36)) | (h >> np.uint64(28))
+        order = np.argsort(packed)
+        packed, sorted_h = packed[order], h[order]
+        if not ((packed[1:] == packed[:-1]) & (sorted_h[1:] != sorted_h[:-1])).any():
+            return order
+    return np.lexsort((h, rank, line))
+
+
 def posted(docs: DataFrame, levels: np.ndarray, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, line, key, n, parity_a, parity_b, prefix) of each line with a word; line -1 marks each row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(levels)
@@ -92,23 +105,24 @@ def posted(docs: DataFrame, levels: np.ndarray, text: str = "text", id_col: str
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = sent.value
         one = np.uint64(1)
+        seen: set[int] = set()
         for batch in batches:
             data, offsets = tx.strings(batch.column(1))
             ids = batch.column(0)
             rows = batch.num_rows
             nothing = pa.array(np.zeros(rows, np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(rows, -1), pa.int32()), nothing, pa.array(np.zeros(rows), pa.int32()), nothing, nothing, pa.array([[]] * rows, pa.list_(pa.int64()))], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(rows, -1), pa.int32()), nothing, pa.array(np.zeros(rows), pa.int32()), nothing, nothing, pa.array([[]] * rows, pa.list_(pa.int32()))], names=_NAMES)
             for lo, _, part, at in tx.pieces(data, offsets):
                 edges, row, number = tx.lines(part, at)
                 part = tx.LOWER[part]
                 starts, ends, first = tx.words(part, edges)
                 if not len(starts):
                     continue
-                # the same hash as one-word shingles have, so that fetched lines give the same key
-                h = tx.mix64(tx.span_hashes(part, starts, ends))
+                spans = tx.span_hashes(part, starts, ends)
                 line = np.repeat(np.arange(len(row)), np.diff(first))
-                rank = level[(tx.span_hashes(part, starts, ends) >> np.uint64(64 - _BITS)).astype(np.int64)]
-                order = np.lexsort((h, rank, line))
+                rank = level[(spans >> np.uint64(64 - _BITS)).astype(np.int64)]
+                h = tx.mix64(spans)  # what one-word shingles have, so that fetched lines give the same key
+                order = _order(line, rank, h)
                 h, line = h[order], line[order]
                 new = np.ones(len(h), dtype=bool)
                 new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
@@ -122,54 +136,103 @@ def posted(docs: DataFrame, levels: np.ndarray, text: str = "text", id_col: str
                 high = (h >> np.uint64(6)) & one == one
                 parity_a = np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), begin)
                 parity_b = np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), begin)
+                few = n <= FOLDED
+                parity_a, parity_b = np.where(few, parity_a ^ parity_b, parity_a), np.where(few, np.uint64(0), parity_b)
                 p = np.where(n > 3, prefix_sizes(n), 0)  # up to three words, only equal sets reach 0.8
+                # a set that this task has posted is not posted again (what it remembers is bounded)
+                fresh = np.zeros(len(key), dtype=bool)
+                unique, at_first = np.unique(key, return_index=True)
+                fresh[[i for k, i in zip(unique.tolist(), at_first.tolist(), strict=True) if k not in seen]] = True
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.update(unique.tolist())
+                p = np.where(fresh, p, 0)
                 bounds = np.concatenate(([0], np.cumsum(p)))
                 take = np.arange(bounds[-1]) + np.repeat(begin - bounds[:-1], p)
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h[take].view(np.int64)))
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array((h[take] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[of] + lo)), pa.array(number[of], pa.int32()), pa.array(key.view(np.int64)), pa.array(n, pa.int32()), pa.array(parity_a.view(np.int64)), pa.array(parity_b.view(np.int64)), lists], names=_NAMES)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(post, "id bigint, line int, key bigint, n int, parity_a bigint, parity_b bigint, prefix array<bigint>")
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(post, "id bigint, line int, key bigint, n int, parity_a bigint, parity_b bigint, prefix array<int>")
 
 
 _NAMES = ["id", "line", "key", "n", "parity_a", "parity_b", "prefix"]
 
 
-def passing(n: np.ndarray, at: np.ndarray, pa_: np.ndarray, pb: np.ndarray, i: np.ndarray, j: np.ndarray, t: float = SIMILARITY) -> np.ndarray:
-    """Which pairs (i, j) pass the length, positional and parity filters."""
+def passing(n: np.ndarray, at: np.ndarray, pa_: np.ndarray, pb: np.ndarray, i: np.ndarray, j: np.ndarray, t: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) that pass the length, positional and parity filters, in turn."""
     ni, nj = n[i], n[j]
-    need = np.ceil(t / (1 + t) * (ni + nj) - 1e-9).astype(np.int64)
-    ok = np.minimum(ni, nj) >= need
-    ok &= 1 + np.minimum(ni - at[i], nj - at[j]) - 1 >= need
-    ok &= np.bitwise_count(pa_[i] ^ pa_[j]).astype(np.int64) + np.bitwise_count(pb[i] ^ pb[j]) <= ni + nj - 2 * need
-    return ok
+    ok = np.flatnonzero(np.minimum(ni, nj) >= t * np.maximum(ni, nj) - 1e-9)
+    i, j = i[ok], j[ok]
+    ni, nj = ni[ok], nj[ok]
+    total = ni + nj
+    most = int(total.max(initial=0))
+    if most < 1 << 16:  # by table
+        need = np.ceil(t / (1 + t) * np.arange(most + 1) - 1e-9).astype(np.int64)[total]
+    else:
+        need = np.ceil(t / (1 + t) * total - 1e-9).astype(np.int64)
+    # a pair with a folded side is compared folded
+    one = pa_[i] ^ pa_[j]
+    two = pb[i] ^ pb[j]
+    both = (ni > FOLDED) & (nj > FOLDED)
+    differ = np.where(both, np.bitwise_count(one).astype(np.int64) + np.bitwise_count(two), np.bitwise_count(one ^ two))
+    ok = (differ <= total - 2 * need) & (np.minimum(ni - at[i], nj - at[j]) >= need)
+    return i[ok], j[ok]
+
+
+def _post_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, key, meta, parity_a, parity_b) of each prefix word of rows that stand with all rows of their key.
+
+    meta packs the number of words and the place of this one.
+    """
+    done: set[int] = set()
+    for batch in batches:
+        key = batch.column(0).to_numpy()
+        unique, first = np.unique(key, return_index=True)
+        first = np.sort(np.array([i for k, i in zip(unique.tolist(), first.tolist(), strict=True) if k not in done], dtype=np.int64))
+        done.update(unique.tolist())
+        if not len(first):
+            continue
+        picked = batch.take(pa.array(first))
+        lists = picked.column(4)
+        many = lists.value_lengths().to_numpy()
+        words = lists.flatten().to_numpy()
+        row = np.repeat(np.arange(len(first)), many)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        n = picked.column(1).to_numpy().astype(np.int64)[row]
+        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(picked.column(0).to_numpy()[row]), pa.array(n << 31 | at), pa.array(picked.column(2).to_numpy()[row]), pa.array(picked.column(3).to_numpy()[row])], names=["word", "key", "meta", "parity_a", "parity_b"])
 
 
 def _meet_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t, bounds in grouped(batches, ["word", "cell_a", "cell_b"]):
-        key, n, at = (t.column(c).to_numpy().astype(np.int64) for c in ("key", "n", "at"))
+    for t, bounds in grouped(batches, ["cell"]):
+        sizes = np.diff(bounds)
+        if (sizes < 2).all():
+            continue
+        key, meta = t.column("key").to_numpy(), t.column("meta").to_numpy()
+        n, at = meta >> 31, meta & ((1 << 31) - 1)
         a, b = (t.column(c).to_numpy().view(np.uint64) for c in ("parity_a", "parity_b"))
-        cross = t.column("cell_a").to_numpy() != t.column("cell_b").to_numpy()
-        chunk = t.column("chunk").to_numpy()
+        cell = t.column("cell").to_numpy()
+        cross = (cell >> 16 & 0xFFFF) != (cell & 0xFFFF)
+        second = t.column("second").to_numpy(zero_copy_only=False)
         left, right = [], []
 
         def keep(i: np.ndarray, j: np.ndarray) -> None:
-            ok = passing(n, at, a, b, i, j) & (~cross[i] | (chunk[i] != chunk[j]))  # noqa: B023
+            i, j = passing(n, at, a, b, i, j)  # noqa: B023
+            ok = ~cross[i] | (second[i] != second[j])  # noqa: B023
             left.append(key[i[ok]])  # noqa: B023
             right.append(key[j[ok]])  # noqa: B023
 
-        sizes = np.diff(bounds)
         small = np.flatnonzero((sizes > 1) & (sizes <= 32))
         for m in np.unique(sizes[small]):
             first = bounds[small[sizes[small] == m]]
             x, y = np.triu_indices(int(m), 1)
-            step = max(1, (1 << 20) // len(x))
+            step = max(1, (1 << 18) // len(x))
             for s in range(0, len(first), step):
                 f = first[s : s + step, None]
                 keep((f + x).ravel(), (f + y).ravel())
         for g in np.flatnonzero(sizes > 32):
             lo, hi = int(bounds[g]), int(bounds[g + 1])
-            for s in range(lo, hi - 1, 256):
-                i = np.arange(s, min(s + 256, hi))
+            for s in range(lo, hi - 1, 128):
+                i = np.arange(s, min(s + 128, hi))
                 x, y = np.meshgrid(i, np.arange(s + 1, hi), indexing="ij")
                 up = x < y
                 keep(x[up], y[up])
@@ -199,21 +262,26 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def judged(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Every line with a word (and line -1 for each row): id, line, keep_id, keep_line, links, removed."""
+    bounded_batches(docs.sparkSession)
     counts = count_words(docs, text)
     levels = np.minimum(np.round(8 * np.log2(counts + 1)), 255).astype(np.uint8)
-    rows = checkpoint(posted(docs, levels, text, id_col))
+    rows = stored(posted(docs, levels, text, id_col))
     real = rows.filter("line >= 0")
-    words = real.filter("n > 3").select("key", "n", "parity_a", "parity_b", "prefix").dropDuplicates(["key"]).select("key", "n", "parity_a", "parity_b", F.posexplode("prefix").alias("at", "word"))
-    hot = real.select(F.explode("prefix").alias("w")).groupBy("w").agg(F.count("*").alias("size")).filter(F.col("size") > CELL)
-    dealt = words.join(broadcast_if_small(checkpoint(hot)), F.col("word") == F.col("w"), "left").withColumn("size", F.coalesce("size", F.lit(1)))
-    keys = ["word", "cell_a", "cell_b"]
-    dealt = cells(dealt, "word", "size", "key", CELL).select(*keys, "chunk", "key", "n", "at", "parity_a", "parity_b")
-    met = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_meet_batches, "a bigint, b bigint")
+    posted_rows = real.filter("size(prefix) > 0")
+    # only how cells are cut depends on this estimate, by an eighth of the keys; every posting is compared whatever it says
+    eighth = posted_rows.filter(F.pmod("key", F.lit(8)) == 0).select(F.explode("prefix").alias("w"))
+    hot = checkpoint(eighth.groupBy("w").agg((8 * F.count("*")).alias("size")).filter(F.col("size") > CELL))
+    words = posted_rows.select("key", "n", "parity_a", "parity_b", "prefix").repartition("key").mapInArrow(_post_batches, "word int, key bigint, meta bigint, parity_a bigint, parity_b bigint")
+    dealt = words.join(broadcast_if_small(hot), F.col("word") == F.col("w"), "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    dealt = cells(dealt, "word", "size", "key", CELL)
+    cell = F.shiftleft(F.col("word").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.col("cell_a").cast("bigint"), 16)).bitwiseOR(F.col("cell_b").cast("bigint"))
+    dealt = dealt.select(cell.alias("cell"), "key", "meta", "parity_a", "parity_b", (F.col("chunk") == F.col("cell_b")).alias("second"))
+    met = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_meet_batches, "a bigint, b bigint")
     coarse = checkpoint(components(met).select(F.col("node").alias("c_key"), F.col("component").alias("coarse")))
     place = F.struct(F.coalesce("id", F.lit(LAST)).alias("id"), F.col("line").cast("bigint").alias("line"))
     distinct = real.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("rows"))
-    wanted = distinct.join(coarse, F.col("key") == F.col("c_key")).select(F.when(F.col("first.id") != LAST, F.col("first.id")).alias("at_id"), F.col("first.line").cast("int").alias("at_line"), F.col("key").alias("node"), "coarse", F.col("first.id").alias("rank_id"), F.col("first.line").alias("rank_line"))
-    links = linked(lines_at(docs, checkpoint(wanted), id_col, text, key_of), SIMILARITY, 1)
+    wanted = distinct.join(coarse, F.col("key") == F.col("c_key")).select(F.col("first.id").alias("at_id"), F.col("first.line").cast("int").alias("at_line"), F.col("key").alias("node"), "coarse", F.col("first.id").alias("rank_id"), F.col("first.line").alias("rank_line"))
+    links = linked(lines_at(docs, checkpoint(sized(wanted)), id_col, text, key_of), SIMILARITY, 1)
     facts = distinct.join(links, F.col("key") == F.col("node"), "left").filter("rows > 1 or links is not null")
     low = F.struct(F.col("low.low_id").alias("id"), F.col("low.low_line").alias("line"))
     keep = F.when(F.col("links").isNull(), F.col("first")).otherwise(F.least("first", low))
