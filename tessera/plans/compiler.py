@@ -794,7 +794,7 @@ class Compiler:
                 df = df.groupBy(*cols).agg(*[F.min(k).alias(k) for k, _ in keys]) if cols else df
             else:
                 df = df.select(*cols).distinct()
-        if keys:
+        if keys and not (inner and q.limit is None and not q.offset):  # the order of a part means nothing by itself
             df = df.orderBy(*[k for _, k in keys])
         df = df.select(*cols)
         if q.offset:
