@@ -124,17 +124,20 @@ class Engine:
         """f() in a job group that a timer cancels. 0 or None: no limit."""
         limit = self.timeout if timeout is None else timeout
         sc = self.spark.sparkContext
-        late = threading.Event()
+        late, done = threading.Event(), threading.Event()
         timer = None
         group = f"tessera-{uuid.uuid4().hex}"
         if limit:
-            sc.setJobGroup(group, "query", interruptOnCancel=True)
+            sc.setJobGroup(group, "query")
 
-            def stop() -> None:
+            def stop() -> None:  # again and again: the job may not have begun when the time is up
                 late.set()
                 sc.cancelJobGroup(group)
+                while not done.wait(1):
+                    sc.cancelJobGroup(group)
 
             timer = threading.Timer(limit, stop)
+            timer.daemon = True
             timer.start()
         try:
             return f()
@@ -146,6 +149,7 @@ class Engine:
             kind = "abort" if "cancelled" in str(e).lower() else "execution"
             raise QueryError(kind, str(e).splitlines()[0] if str(e) else type(e).__name__, q, e) from e
         finally:
+            done.set()
             if timer:
                 timer.cancel()
                 sc.setLocalProperty("spark.jobGroup.id", None)
