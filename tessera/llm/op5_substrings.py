@@ -138,8 +138,8 @@ def repeated(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_wo
     dealt = all_rows.select("key", "bands").mapInArrow(_local_stars, "bucket bigint, key bigint, root bigint")
     stars = dealt.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(_stars, "a bigint, b bigint")
     coarse = checkpoint(components(stars).select(F.col("node").alias("n"), F.col("component").alias("coarse")))
-    wanted = distinct.join(coarse, F.col("key") == F.col("n")).select(F.col("first.id").alias("at_id"), F.col("first.line").alias("at_line"), F.col("key").alias("node"), "coarse")
-    final = verified(lines_at(docs, checkpoint(sized(wanted)), id_col, text, key_of), SIMILARITY, SHINGLE)
+    wanted = distinct.join(coarse, F.col("key") == F.col("n")).select(F.col("first.id").alias("at_id"), F.col("first.line").alias("at_line"), F.col("key").alias("node"), "coarse", "rows")
+    final = verified(lines_at(docs, checkpoint(sized(wanted, "rows")), id_col, text, key_of), SIMILARITY, SHINGLE)
     named = distinct.join(final, F.col("key") == F.col("node"), "left").filter("rows > 1 or component is not null").select("key", "first", "rows", F.coalesce("component", "key").alias("group"))
     groups = named.groupBy("group").agg(F.min("first").alias("keep"), F.sum("rows").alias("copies"))
     labels = checkpoint(named.select("key", F.col("group").alias("g")).join(groups, F.col("g") == F.col("group")).select(F.col("key").alias("k"), F.col("keep.id").alias("k_id"), F.col("keep.line").alias("keep_line"), "copies"))

@@ -75,6 +75,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int, size:
         for i in range(batch.num_rows):
             words = raw[offsets[i] : offsets[i + 1]].split()
             out[:, i] = fingerprint_of(b" ".join(words), words, shingle, size)
+        tx.trim()
         yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x.view(np.int64)) for x in out)], names=["id", *_WORDS[:size]])
 
 
@@ -264,9 +265,9 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     found = components(links(nodes.select("fp", "fp2"), masks, radius))
     coarse = nodes.join(found, nodes["fp"] == found["node"], "left").filter("component is not null or rows > 1")
     coarse = coarse.select(F.col("fp").alias("f"), F.coalesce("component", "fp").alias("coarse"))
-    inside = checkpoint(sized(prints.join(coarse, prints["fp"] == coarse["f"]).select(F.col("id").alias("i"), "coarse").distinct()))
+    inside = checkpoint(sized(prints.join(coarse, prints["fp"] == coarse["f"]).select(F.col("id").alias("node"), "coarse").distinct()).withColumnRenamed("node", "i"))
     texts = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text).alias("text"))
-    members = texts.join(broadcast_if_small(inside), F.col("node") == F.col("i")).select("coarse", "size", "node", "text")
+    members = texts.join(broadcast_if_small(inside), F.col("node") == F.col("i")).select("coarse", "size", "leader", "node", "text")
     return verified(members, SIMILARITY, STAGE_SHINGLE)
 
 

@@ -1,9 +1,9 @@
 """Exact Jaccard links within coarse components, in cells of bounded size.
 
 A coarse component (what some hashing scheme connected, unverified) may be small or hold a third of all rows.  Its
-members are dealt into cells (`tables.cells`), each cell computes overlaps from an inverted index of its own
-shingles, and sends a spanning forest of the links that reach the threshold: linear in its members, though
-every pair is tested.
+members are compared with its leader first; what is left is dealt into cells, each cell computes overlaps from an
+inverted index of its own shingles, and sends a spanning forest of the links that reach the threshold: linear in
+its members, though every pair that could matter is tested.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import text as tx
 from tessera.llm.components import components
-from tessera.llm.tables import bitmap, cells, grouped, in_bitmap
+from tessera.llm.tables import bitmap, cells, checkpoint, grouped, in_bitmap, stored
 
 #: Members of a cell's chunk at most.
 CELL = 512
@@ -96,35 +96,72 @@ def forest(sets: list[np.ndarray], threshold: float, chunk: np.ndarray | None =
     return left, right
 
 
-def sized(members: DataFrame) -> DataFrame:
-    """members with the number of rows of their coarse component, from narrow rows, before any text is fetched."""
-    sizes = members.groupBy("coarse").agg(F.count("*").alias("size"))
-    return members.join(sizes.select(F.col("coarse").alias("c"), "size"), F.col("coarse") == F.col("c")).drop("c")
+def sized(members: DataFrame, weight: str | None = None) -> DataFrame:
+    """members (coarse, node, ...) with the size and the leader of their coarse component, from narrow rows, before any
+    text is fetched.  The leader is the node of most weight (of equal ones the least): in a group of edited copies, the
+    text that was copied most."""
+    w = F.col(weight) if weight else F.lit(0)
+    facts = members.groupBy("coarse").agg(F.count("*").alias("size"), F.max(F.struct(w.alias("w"), (-F.col("node")).alias("n"))).alias("top"))
+    facts = facts.select(F.col("coarse").alias("c"), "size", (-F.col("top.n")).alias("leader"))
+    return members.join(facts, F.col("coarse") == F.col("c")).drop("c")
 
 
 def verified(members: DataFrame, threshold: float, shingle: int = SHINGLE) -> DataFrame:
-    """(node, component) of members (coarse, size of coarse, node, text) whose links reach the threshold exactly.
+    """(node, component) of members (coarse, size, leader, node, text) whose links reach the threshold exactly.
 
-    Only nodes with a link appear.
+    Every member is compared with its leader; those that reach it are one component and need no comparison with each
+    other.  Only the rest is compared with all, in cells, so a large group of copies of one text costs one comparison a
+    member.  Only nodes with a link appear.
     """
+    members = stored(members.filter("size > 1").select("coarse", "size", "leader", "node", "text"))
+    led = members.filter("node <> leader").join(members.filter("node = leader").select(F.col("coarse").alias("c"), F.col("text").alias("lead")), F.col("coarse") == F.col("c"))
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            leader, node = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            once, of = np.unique(leader, return_index=True)
+            own, lead = shingle_sets(batch.column(4), shingle), shingle_sets(batch.column(5).take(pa.array(of)), shingle)
+            ok = []
+            for x, k in zip(own, np.searchsorted(once, leader).tolist(), strict=True):
+                y = lead[k]
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(shared >= threshold * (len(x) + len(y) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leader), pa.array(node), pa.array(ok, pa.bool_())], names=["coarse", "size", "leader", "node", "ok"])
+
+    near = checkpoint(led.select("coarse", "size", "leader", "node", "text", "lead").mapInArrow(follow, "coarse bigint, size bigint, leader bigint, node bigint, ok boolean"))
+    stars = near.filter("ok").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    # the rest: members that the leader did not reach, where there is anyone else to compare them with
+    rest = near.filter("size > 2").groupBy("coarse").agg(F.count_if(~F.col("ok")).alias("open"), F.count_if("ok").alias("done")).filter("open > 0 and open + done > 1")
+    todo = near.join(rest.withColumnRenamed("coarse", "c"), F.col("coarse") == F.col("c"))
+    opens, dones = (F.ceil(F.col(k) / F.lit(float(CELL))).cast("int") for k in ("open", "done"))
+    todo = todo.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("ok"), dones).otherwise(opens)).cast("int"))
+    # cells (i, j >= 0) pair open chunks, cells (i, -1 - j) an open chunk with a chunk of followers
+    with_open = F.transform(F.sequence(F.lit(0), opens - 1), lambda k: F.struct(F.least(F.col("chunk"), k).alias("cell_a"), F.greatest(F.col("chunk"), k).alias("cell_b")))
+    with_done = F.when(F.col("done") > 0, F.transform(F.sequence(F.lit(0), dones - 1), lambda k: F.struct(F.col("chunk").alias("cell_a"), (-1 - k).alias("cell_b")))).otherwise(F.array().cast("array<struct<cell_a:int,cell_b:int>>"))
+    of_done = F.transform(F.sequence(F.lit(0), opens - 1), lambda k: F.struct(k.alias("cell_a"), (-1 - F.col("chunk")).alias("cell_b")))
+    todo = todo.select("coarse", "node", "ok", "chunk", F.explode(F.when(F.col("ok"), of_done).otherwise(F.concat(with_open, with_done))).alias("cell"))
+    texts = members.select(F.col("coarse").alias("c"), F.col("node").alias("n"), "text")
     keys = ["coarse", "cell_a", "cell_b"]
-    dealt = cells(members.filter("size > 1"), "coarse", "size", "node", CELL).select(*keys, "chunk", "node", "text")
+    dealt = todo.join(texts, (F.col("coarse") == F.col("c")) & (F.col("node") == F.col("n"))).select("coarse", F.col("cell.cell_a").alias("cell_a"), F.col("cell.cell_b").alias("cell_b"), "chunk", "ok", "node", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in grouped(batches, keys):
             node = t.column("node").to_numpy()
             sets = shingle_sets(t.column("text"), shingle)
-            cross = t.column("cell_a").to_numpy() != t.column("cell_b").to_numpy()
-            chunk = t.column("chunk").to_numpy()
+            one, two = t.column("cell_a").to_numpy(), t.column("cell_b").to_numpy()
+            chunk, ok = t.column("chunk").to_numpy(), t.column("ok").to_numpy(zero_copy_only=False)
             a, b = [], []
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                x, y = forest(sets[lo:hi], threshold, chunk[lo:hi] if cross[lo] else None)
+                side = ok[lo:hi] if two[lo] < 0 else chunk[lo:hi] if one[lo] != two[lo] else None
+                x, y = forest(sets[lo:hi], threshold, side)
                 a += [lo + i for i in x]
                 b += [lo + i for i in y]
             yield pa.RecordBatch.from_arrays([pa.array(node[a] if a else [], pa.int64()), pa.array(node[b] if b else [], pa.int64())], names=["a", "b"])
 
     links = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(check, "a bigint, b bigint")
-    return components(links)
+    return components(links.unionByName(stars))
 
 
 def _spot(ids: np.ndarray, lines: np.ndarray) -> np.ndarray:

@@ -176,6 +176,30 @@ def test_substrings_match_brute_force(docs):
     assert sorted((r["id"], r["line"], r["keep_id"], r["keep_line"], r["copies"], r["removed"]) for r in got) == want
 
 
+@pytest.mark.parametrize("cell", [3, 512])
+def test_verified_components(spark, monkeypatch, cell):
+    """Coarse groups of many shapes: copies of a leader, chains that avoid it, strangers."""
+    from tessera.llm import setjoin
+
+    monkeypatch.setattr(setjoin, "CELL", cell)
+    rng = random.Random(9)
+    rows, sets = [], {}
+    node = 0
+    for coarse in range(14):
+        base = [f"b{coarse}_{k}" for k in range(30)]
+        for k in range(rng.randrange(1, 22)):
+            ws = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 8])):
+                ws[rng.randrange(30)] = f"x{rng.randrange(40)}"
+            rows.append((coarse, node, " ".join(ws) if k % 9 else "", k % 5))
+            sets[coarse, node] = shingles(rows[-1][2])
+            node += 1
+    df = setjoin.sized(spark.createDataFrame(rows, "coarse long, node long, text string, w int"), "w")
+    labels = labels_of(sorted(sets), lambda a, b: a[0] == b[0] and jaccard(sets[a], sets[b]) >= 0.8)
+    want = {a[1]: r[1] for a, r in labels.items() if sum(x == r for x in labels.values()) > 1}
+    assert {r["node"]: r["component"] for r in setjoin.verified(df, 0.8).collect()} == want
+
+
 def test_cut_removes_only_repeats(docs):
     out = op5_substrings.cut(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
