@@ -66,7 +66,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, features: Features, bi
         for batch in batches:
             data, offsets = tx.strings(batch.column("text"))
             ids, ys = batch.column("_id").to_pylist(), batch.column("_y").to_pylist()
-            for lo, hi, part, at in tx.pieces(data, offsets):
+            for lo, hi, part, at in tx.pieces(data, offsets, 1 << 19):
                 row, bucket, value = features(part, at)
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
                 idx, val = [], []
@@ -100,7 +100,7 @@ def score(docs: DataFrame, weights: np.ndarray, features: Features, id_col: str
         for batch in batches:
             data, offsets = tx.strings(batch.column(batch.num_columns - 1))
             out = np.zeros(batch.num_rows)
-            for lo, hi, part, at in tx.pieces(data, offsets):
+            for lo, hi, part, at in tx.pieces(data, offsets, 1 << 19):
                 row, bucket, value = features(part, at)
                 out[lo:hi] = np.bincount(row, weights=w[bucket] * value, minlength=hi - lo)
             p = 1 / (1 + np.exp(-np.clip(out + w[-1], -35, 35)))

@@ -45,12 +45,18 @@ def count_words(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << _BITS, dtype=np.int64)
+        held: list[np.ndarray] = []
         for batch in batches:
             data, offsets = tx.strings(batch.column(0))
             for _, _, part, at in tx.pieces(data, offsets):
                 part = tx.LOWER[part]
                 starts, ends, _ = tx.words(part, at)
-                total += np.bincount((tx.span_hashes(part, starts, ends) >> np.uint64(64 - _BITS)).astype(np.int64), minlength=1 << _BITS)
+                held.append((tx.span_hashes(part, starts, ends) >> np.uint64(64 - _BITS)).astype(np.int32))
+                if sum(map(len, held)) > 1 << 20:
+                    total += np.bincount(np.concatenate(held), minlength=1 << _BITS)
+                    held = []
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=1 << _BITS)
         rows = total.reshape(-1, _BLOCK)
         used = np.flatnonzero(rows.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([rows[k].tobytes() for k in used], pa.binary())], names=["block", "n"])
@@ -134,16 +140,15 @@ def posted(docs: DataFrame, levels: np.ndarray, text: str = "text", id_col: str
                     key = _key(np.add.reduceat(tx.mix64(h), begin), n)
                 bit = one << (h & np.uint64(63))
                 high = (h >> np.uint64(6)) & one == one
-                parity_a = np.bitwise_xor.reduceat(np.where(high, np.uint64(0), bit), begin)
-                parity_b = np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), begin)
-                few = n <= FOLDED
-                parity_a, parity_b = np.where(few, parity_a ^ parity_b, parity_a), np.where(few, np.uint64(0), parity_b)
+                folded = np.bitwise_xor.reduceat(bit, begin)
+                parity_b = np.where(n <= FOLDED, np.uint64(0), np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), begin))
+                parity_a = folded ^ parity_b
                 p = np.where(n > 3, prefix_sizes(n), 0)  # up to three words, only equal sets reach 0.8
                 # a set that this task has posted is not posted again (what it remembers is bounded)
                 fresh = np.zeros(len(key), dtype=bool)
                 unique, at_first = np.unique(key, return_index=True)
                 fresh[[i for k, i in zip(unique.tolist(), at_first.tolist(), strict=True) if k not in seen]] = True
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 seen.update(unique.tolist())
                 p = np.where(fresh, p, 0)

@@ -23,6 +23,7 @@ WORDLIKE[48:58] = WORDLIKE[65:91] = WORDLIKE[97:123] = WORDLIKE[128:] = True
 BASE = 0x100000001B3  # odd, so that it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+_batches = 0
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -70,7 +71,7 @@ def trim() -> None:
 def pieces(data: np.ndarray, offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of runs of whole rows with about `size` bytes.
 
-    When the rows are done, the worker's free memory goes back to the system: workers live on between stages.
+    Every sixteenth time the worker's free memory goes back to the system: workers live on between stages.
     """
     row, rows = 0, len(offsets) - 1
     while row < rows:
@@ -78,7 +79,10 @@ def pieces(data: np.ndarray, offsets: np.ndarray, size: int = 1 << 20) -> Iterat
         end = min(end, rows, row + 65536)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
-    trim()
+    global _batches
+    _batches += 1
+    if _batches % 16 == 0:
+        trim()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
