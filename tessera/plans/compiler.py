@@ -192,6 +192,9 @@ class Compiler:
 
     def map_star(self, m: ClassMap, subject: object, triples: list[a.Triple], optional: list[a.Triple], active: Active) -> Rel | None:
         """All triples of one subject from one scan of a mapped class; None if the class can't give one of them."""
+        for tr in (*triples, *optional):  # before the table is opened
+            if isinstance(tr.p, t.IRI) and (tr.o not in (t.IRI(m.cls),) and not isinstance(tr.o, t.Var) if tr.p.iri == RDF.type else tr.p.iri not in m.predicates):
+                return None
         df = active.catalog.table(m.table)
         out: dict[str, Val] = {}
         where: list[Column] = []
