@@ -130,14 +130,18 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
 
 
+def bucket_links(rows: DataFrame) -> DataFrame:
+    """(a, b) of rows (key, bands, ...): links that connect the keys of each bucket."""
+    dealt = rows.select("key", "bands").mapInArrow(_local_stars, "bucket bigint, key bigint, root bigint")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(_stars, "a bigint, b bigint")
+
+
 def repeated(docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """Every occurrence of a repeated paragraph: id, line, words, keep_id, keep_line, copies, removed."""
     all_rows = stored(paragraphs(docs, text, id_col, min_words))
     place = F.struct(F.coalesce("id", F.lit(LAST)).alias("id"), F.col("line").alias("line"))
     distinct = all_rows.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("rows"))
-    dealt = all_rows.select("key", "bands").mapInArrow(_local_stars, "bucket bigint, key bigint, root bigint")
-    stars = dealt.repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(_stars, "a bigint, b bigint")
-    coarse = checkpoint(components(stars).select(F.col("node").alias("n"), F.col("component").alias("coarse")))
+    coarse = checkpoint(components(bucket_links(all_rows)).select(F.col("node").alias("n"), F.col("component").alias("coarse")))
     wanted = distinct.join(coarse, F.col("key") == F.col("n")).select(F.col("first.id").alias("at_id"), F.col("first.line").alias("at_line"), F.col("key").alias("node"), "coarse", "rows")
     final = verified(lines_at(docs, checkpoint(sized(wanted, "rows")), id_col, text, key_of), SIMILARITY, SHINGLE)
     named = distinct.join(final, F.col("key") == F.col("node"), "left").filter("rows > 1 or component is not null").select("key", "first", "rows", F.coalesce("component", "key").alias("group"))

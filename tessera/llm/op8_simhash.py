@@ -28,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import op5_substrings
 from tessera.llm import text as tx
 from tessera.llm.components import components
 from tessera.llm.setjoin import sized, verified
-from tessera.llm.tables import bounded_batches, broadcast_if_small, cells, checkpoint, grouped, table
+from tessera.llm.tables import bounded_batches, broadcast_if_small, cells, checkpoint, grouped, stored, table
 
 SHINGLE = 3
 SEED = 42
@@ -232,41 +233,63 @@ def group(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFr
     return prints.join(label, prints["fp"] == label["f"], "left").select("id", "fp", "component")
 
 
-#: Near-duplicate stages: five-word shingles, similarity 0.8 or more, and the recall that the search is tuned for.
-STAGE_SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.96
-#: Words of 64 bits in the stage's fingerprints: the first is sampled, all count in distances.
-STAGE_WORDS = 2
+#: Near-duplicate stages: five-word shingles, similarity 0.8 or more, the recall of a pair just there, and MinHashes in a band.
+STAGE_SHINGLE, SIMILARITY, RECALL, STAGE_ROWS = 5, 0.8, 0.96, 6
 
 
-def sampled_masks(n: int, similarity: float = SIMILARITY, recall: float = RECALL, seed: int = 5) -> tuple[list[int], int]:
-    """Bit samples that find a pair of the given Jaccard similarity with the recall, and the radius that keeps it.
+def minhash_bands(column: pa.Array | pa.ChunkedArray, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key of each text's word sequence, and (texts, bands) hashes of the MinHashes of its set of shingles.
 
-    Two sets of Jaccard j have a cosine of about 2 j / (1 + j); each bit of their fingerprints differs with probability
-    angle / pi.  A sample has log2(n) - 2 bits, so that buckets hold about four unrelated fingerprints; the number of
-    samples grows as n ** 0.24.
+    Texts of fewer words than a shingle can only be similar to equal ones; their bands are made from the key.
     """
-    differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    k = int(min(max(np.ceil(np.log2(max(n, 2))) - 2, 8), 40))
-    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - differ) ** k)))
-    rng = np.random.default_rng(seed)
-    masks = [sum(1 << int(i) for i in rng.choice(64, k, replace=False)) for _ in range(tables)]
-    return masks, int(np.ceil(64 * STAGE_WORDS * differ + 2.7 * np.sqrt(64 * STAGE_WORDS * differ * (1 - differ))))
+    multipliers = op5_substrings._multipliers(bands * STAGE_ROWS)
+    data, offsets = tx.strings(column)
+    keys, out = [np.zeros(0, np.uint64)], [np.zeros((0, bands), np.uint64)]
+    for _, _, part, at in tx.pieces(data, offsets):
+        part = tx.LOWER[part]
+        starts, ends, first = tx.words(part, at)
+        h = tx.span_hashes(part, starts, ends)
+        key = tx.sequence_hashes(h, first)
+        grams, bounds = tx.ngrams(h, first, STAGE_SHINGLE)
+        has = np.flatnonzero(np.diff(bounds) > 0)
+        made = np.empty((len(key), bands), dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for b in range(bands):
+                made[:, b] = tx.mix64(key + np.uint64(b + 1))
+                if len(has):
+                    mixed = np.full(len(has), b + 1, dtype=np.uint64)
+                    for k in range(STAGE_ROWS):
+                        low = np.minimum.reduceat(grams * multipliers[b * STAGE_ROWS + k], bounds[has])
+                        mixed = tx.mix64(mixed * np.uint64(tx.BASE) + low)
+                    made[has, b] = mixed
+        keys.append(key)
+        out.append(made)
+    return np.concatenate(keys), np.concatenate(out)
 
 
 def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(node, component) of the documents that have a near copy; component is the smallest id of the group.
 
-    Fingerprints of five-word shingles are compared in buckets of sampled bits, bit-sliced, within the radius that a
-    similarity of 0.8 has; what that connects is a coarse component, in which exact Jaccard decides.
+    Candidates share a band of the MinHash of their five-word shingles, as a set, like the similarity that is asked
+    for: a pair of Jaccard j shares a band with probability 1 - (1 - j ** STAGE_ROWS) ** bands, whatever the number of
+    documents.  What the bands connect is a coarse component, in which exact Jaccard decides.
     """
-    prints = checkpoint(fingerprints(docs.filter(F.col(id_col).isNotNull()), text, id_col, STAGE_SHINGLE, STAGE_WORDS))
-    nodes = prints.groupBy("fp").agg(F.min("fp2").alias("fp2"), F.count("*").alias("rows"))
-    masks, radius = sampled_masks(nodes.count())
-    found = components(links(nodes.select("fp", "fp2"), masks, radius))
-    coarse = nodes.join(found, nodes["fp"] == found["node"], "left").filter("component is not null or rows > 1")
-    coarse = coarse.select(F.col("fp").alias("f"), F.coalesce("component", "fp").alias("coarse"))
-    inside = checkpoint(sized(prints.join(coarse, prints["fp"] == coarse["f"]).select(F.col("id").alias("node"), "coarse").distinct()).withColumnRenamed("node", "i"))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text).alias("text"))
+    bounded_batches(docs.sparkSession)
+    bands = op5_substrings.bands_for(SIMILARITY, RECALL, STAGE_ROWS)
+
+    def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, made = minhash_bands(batch.column(1), bands)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, made.size + 1, bands), pa.int32()), pa.array(made.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key.view(np.int64)), lists], names=["id", "key", "bands"])
+
+    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("node"), F.col(text).alias("text"))
+    prints = stored(texts.mapInArrow(hash_all, "id bigint, key bigint, bands array<bigint>"))
+    found = components(op5_substrings.bucket_links(prints))
+    nodes = prints.groupBy("key").agg(F.count("*").alias("rows"))
+    coarse = nodes.join(found, nodes["key"] == found["node"], "left").filter("component is not null or rows > 1")
+    coarse = coarse.select(F.col("key").alias("k"), F.coalesce("component", "key").alias("coarse"))
+    inside = checkpoint(sized(prints.select("id", "key").join(coarse, F.col("key") == F.col("k")).select(F.col("id").alias("node"), "coarse").distinct()).withColumnRenamed("node", "i"))
     members = texts.join(broadcast_if_small(inside), F.col("node") == F.col("i")).select("coarse", "size", "leader", "node", "text")
     return verified(members, SIMILARITY, STAGE_SHINGLE)
 

@@ -157,6 +157,23 @@ def test_near_stage_matches_brute_force(docs):
     assert kept.count(None) == 3
 
 
+def test_near_stage_reaches_recall(spark):
+    """Pairs of Jaccard 0.80 to 0.90: all but four in a hundred are grouped."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(600):
+        base = [f"p{i}_{k}" for k in range(300)]
+        other = list(base)
+        for k in [1, 10, 20, 30, 40, 50, 60][: 7 - i % 4]:
+            other[k] = f"q{i}_{k}"
+        texts = [" ".join(base), " ".join(other)]
+        assert 0.8 <= jaccard(*map(shingles, texts)) < 0.9
+        rng.shuffle(texts)
+        rows += [(2 * i + k, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert op8_simhash.near_groups(df).count() >= 0.96 * len(rows)
+
+
 # --- paragraphs and lines
 
 
