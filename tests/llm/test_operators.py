@@ -174,6 +174,18 @@ def test_near_stage_reaches_recall(spark):
     assert op8_simhash.near_groups(df).count() >= 0.96 * len(rows)
 
 
+def test_near_stage_sees_past_repeated_lines(spark):
+    """One line repeated many times hardly changes the set of shingles."""
+    rows, line = [], " ".join(f"r{k}" for k in range(12))
+    for i in range(60):
+        base = "\n".join(" ".join(f"p{i}_{n}_{k}" for k in range(20)) for n in range(20))
+        rows += [(2 * i, base), (2 * i + 1, base + f"\n{line}" * (10 + 20 * (i % 2)))]
+    sets = [shingles(t) for _, t in rows[:4]]
+    assert jaccard(*sets[:2]) > 0.9 and jaccard(*sets[2:]) > 0.9
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in op8_simhash.near_dedup(df).select("doc_id").collect()} == set(range(0, 120, 2))
+
+
 # --- paragraphs and lines
 
 
