@@ -1,13 +1,11 @@
-"""Benchmark decontamination: CGK random-walk embedding, repeated bit sampling over item-sized windows, exact check.
+"""Benchmark decontamination: seeds of derived length at every byte, exact edit distance of many windows at once.
 
-The CGK walk reads a text from a window's start: step j writes the character under the pointer and moves the pointer
-on by a random bit that depends on j and that character.  Two texts at a small edit distance write strings at a
-small Hamming distance, since their pointers meet again after an edit.  A sample of the written positions is a
-locality-sensitive hash of the window.  `REPEATS` walks with own random bits and samples are run from every word
-start of every document, and from every word start of every item (an item-sized window that begins `offset` before
-that anchor); a passage has as many chances as its item has words, times REPEATS.  Walks are only run as far as the last
-sampled step.  Where hashes agree, the item-sized window at that place is checked by exact edit distance (bit-parallel,
-start and end free within the slack): a hit has at most (1 - SIMILARITY) x length edits.
+A passage with k edits among m characters is cut by them into k + 1 unedited runs.  Every item gets the greatest seed
+length q for which, at the full k = (1 - SIMILARITY) x m edits at random places, some run reaches q with probability
+`RECALL` (a closed form; an insertion or deletion cuts no more than a substitution does).  All substrings of q bytes of
+all items are looked up at every byte of every document, by rolling hashes that serve all lengths in one pass.  Where one
+is found, the item-sized window at that place is checked by exact edit distance (bit-parallel over the item and over many
+windows, start and end free within the slack): a hit has at most (1 - SIMILARITY) x length edits.
 
 Items are used in blocks of at most about `BLOCK` items, whose tables are broadcast (so the broadcast has a bound at any
 number of items); every block scans all documents, whole.  There is no shuffle.
@@ -20,7 +18,10 @@ of items; empty tables give an empty result; other columns are ignored or, in `d
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +32,15 @@ from tessera.llm import text as tx
 from tessera.llm.tables import bounded_batches, table
 
 SIMILARITY = 0.8
-REPEATS = 3
-#: Steps after which a walk's samples are looked up; the shorter serve anchors near the end of an item.
-LEVELS = (8, 20, 48)
-#: Of the last level's steps, every second on average is sampled; the shorter levels use all.
-SAMPLED = 0.5
+#: Probability that an item with the most edits, at random places, keeps a run of its seed length.
+RECALL = 0.98
+MOST_SEED = 24
 SHORTEST = 12
 BLOCK = 20_000
-_SLOTS = 22
+STEP, PIECE = 1 << 15, 4 << 20
+#: Windows, for each 64 characters of their item, below which one at a time is faster.
+FEW = 6
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,34 +57,39 @@ def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out[kept], np.concatenate(([0], np.cumsum(kept)))[offsets]
 
 
-class Walks:
-    """Random bits and samples, from one seed."""
+def rolled(data: np.ndarray, q: int) -> np.ndarray:
+    """Hash of the q bytes from each place on."""
+    n = max(len(data) - q + 1, 0)
+    h = np.zeros(n, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(q):
+            h = h * np.uint64(tx.BASE) + data[k : k + n]
+    return h
 
-    def __init__(self, seed: int = 1):
-        rng = np.random.default_rng(seed)
-        self.move = rng.integers(0, 2, (REPEATS, LEVELS[-1], 256)).astype(np.int64)
-        self.sampled = rng.random((REPEATS, LEVELS[-1])) < SAMPLED
-        self.sampled[:, LEVELS[0] :: 4] = True
 
-    def run(self, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(repeat, level, hashes, pointers after the last step) of the windows that start at `at`."""
-        padded = np.concatenate((data, np.zeros(LEVELS[-1] + 2, np.uint8)))
-        with np.errstate(over="ignore"):
-            for r in range(REPEATS):
-                pointer = at.astype(np.intp)
-                short = np.zeros(len(at), dtype=np.uint64)
-                long = np.full(len(at), r + 1, dtype=np.uint64)
-                for j in range(LEVELS[-1]):
-                    c = padded[pointer]
-                    if j < LEVELS[-2]:
-                        short = short * np.uint64(tx.BASE) + c
-                    if self.sampled[r, j]:
-                        long = long * np.uint64(tx.BASE) + c
-                    pointer = pointer + self.move[r, j][c]
-                    if j + 1 in LEVELS:
-                        level = LEVELS.index(j + 1)
-                        h = long if level == len(LEVELS) - 1 else short + np.uint64(1000 * (level + 1) + r)
-                        yield r, level, tx.mix64(h), pointer
+def slot(h: np.ndarray, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((h * _MIX) >> np.uint64(64 - bits)).view(np.int64)
+
+
+def allowed(m: int) -> int:
+    """Edits that an item of m characters may have."""
+    return int((1 - SIMILARITY) * m + 1e-9)
+
+
+def no_run(m: int, k: int, q: int) -> float:
+    """Probability that k edited places of m, at random, leave no run of q unedited ones."""
+    ways = sum((-1) ** j * math.comb(k + 1, j) * math.comb(m - j * q, k) for j in range(k + 2) if m - j * q >= k)
+    return float(Fraction(ways, math.comb(m, k)))
+
+
+@cache
+def seed_length(m: int) -> int:
+    """For items of m characters; beyond a thousand the length for a thousand, which is found more often there."""
+    m, q = min(m, 1000), 1
+    while q < MOST_SEED and 1 - no_run(m, allowed(m), q + 1) >= RECALL:
+        q += 1
+    return q
 
 
 class Items:
@@ -91,48 +98,38 @@ class Items:
     def __init__(self, ids: list, texts: list[str]):
         column = pa.array(texts, pa.large_string())
         data, offsets = normalise(*tx.strings(column))
-        self.ids, self.walks = ids, Walks()
+        self.ids = ids
         raw = data.tobytes()
         self.raw = [raw[offsets[i] : offsets[i + 1]].rstrip() for i in range(len(ids))]
         self.text = [b.decode() for b in self.raw]
-        fit = [k for k, b in enumerate(self.raw) if len(b) >= SHORTEST]
-        owner, anchor, place = [], [], []
-        at, ends = [], []
-        for k in fit:
-            b = np.frombuffer(self.raw[k], np.uint8)
-            s = np.flatnonzero(np.concatenate(([True], b[:-1] == 32)) & (b != 32))
-            owner.append(np.full(len(s), k))
-            anchor.append(s)
-            at.append(s + offsets[k])
-            ends.append(np.full(len(s), offsets[k] + len(b)))
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        owner, anchor, at, ends = cat(owner), cat(anchor), cat(at), cat(ends)
-        # an anchor uses the longest level that ends within its item; items without a long one also use the others
-        self.tables: dict[tuple[int, int], tuple] = {}
-        has = np.zeros(len(ids), dtype=bool)
-        found: dict[tuple[int, int], tuple] = {(r, level): (h, end) for r, level, h, end in self.walks.run(data, at)}
-        for level in reversed(range(len(LEVELS))):
-            here = has.copy()
-            for r in range(REPEATS):
-                h, end = found[r, level]
-                use = (end <= ends) & ~here[owner]
-                has[owner[use]] = True
-                if use.any():
-                    order = np.argsort(h[use], kind="stable")
-                    hh = h[use][order]
-                    slots = np.zeros(1 << _SLOTS, dtype=bool)
-                    slots[(hh >> np.uint64(64 - _SLOTS)).astype(np.int64)] = True
-                    self.tables[r, level] = (np.packbits(slots), hh, owner[use][order], anchor[use][order])
-        self.longest = max((len(b) for b in self.raw), default=0)
+        by: dict[int, list[int]] = {}
+        for k, b in enumerate(self.raw):
+            if len(b) >= SHORTEST:
+                by.setdefault(seed_length(len(self.text[k])), []).append(k)
+        #: By length: bits of the hashes' slots, hashes in order, and the item and place of each.
+        self.tables: dict[int, tuple] = {}
+        for q, own in by.items():
+            part = [rolled(np.frombuffer(self.raw[k], np.uint8), q) for k in own]
+            h = np.concatenate(part)
+            order = np.argsort(h, kind="stable")
+            bits = min(max(int(np.ceil(np.log2(32 * len(h)))), 16), 22)
+            slots = np.zeros(1 << bits, dtype=bool)
+            slots[slot(h, bits)] = True
+            self.tables[q] = (np.packbits(slots), h[order], np.repeat(own, [len(x) for x in part])[order], np.concatenate([np.arange(len(x)) for x in part])[order], bits)
 
     def open(self) -> None:
         """What is derived once in each worker."""
         if "slots" not in self.__dict__:
-            self.slots = {k: np.unpackbits(t[0]).astype(bool) for k, t in self.tables.items()}
+            self.slots = {q: np.unpackbits(t[0]).astype(bool) for q, t in self.tables.items()}
             self.masks: dict[int, dict[str, int]] = {}
+            self.planes: dict[int, np.ndarray] = {}
+            letters = sorted(set().union(*self.text))
+            self.letter = {c: i + 1 for i, c in enumerate(letters)}
+            self.symbol = np.zeros(0x110000, dtype=np.uint16 if len(letters) < 65535 else np.uint32)
+            self.symbol[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("slots", "masks")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("slots", "masks", "planes", "letter", "symbol")}
 
     def search(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(row, item, edits, start) of the best place of every item found in a row; start in normalised bytes."""
@@ -140,36 +137,34 @@ class Items:
         if not self.tables or not len(data):
             return []
         data, offsets = normalise(data, offsets)
-        at, _, _ = tx.words(data, offsets)
         rows, owners, starts = [], [], []
-        for r, level, h, _ in self.walks.run(data, at):
-            t = self.tables.get((r, level))
-            if t is None:
-                continue
-            maybe = np.flatnonzero(self.slots[r, level][(h >> np.uint64(64 - _SLOTS)).astype(np.int64)])
-            lo, hi = np.searchsorted(t[1], h[maybe], "left"), np.searchsorted(t[1], h[maybe], "right")
-            many = hi - lo
-            if not many.any():
-                continue
-            which = np.repeat(maybe, many)
-            k = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-            rows.append(np.searchsorted(offsets, at[which], "right") - 1)
-            owners.append(t[2][k])
-            starts.append(at[which] - t[3][k])
+        n, most = len(data), max(self.tables)
+        padded = np.concatenate((data, np.zeros(most, np.uint8)))
+        for lo in range(0, n, STEP):  # so that all arrays stay in the cache
+            for q, at, item, place in self.seeds(padded[lo : lo + STEP + most], min(STEP, n - lo)):
+                at = at + lo
+                row = np.searchsorted(offsets, at, "right") - 1
+                within = at + q <= offsets[row + 1]
+                rows.append(row[within])
+                owners.append(item[within])
+                starts.append((at - place)[within])
         if not rows:
             return []
         row, item, start = np.concatenate(rows), np.concatenate(owners), np.concatenate(starts)
-        seen = np.unique(np.stack((row, item, start)), axis=1)
+        order = np.lexsort((start, item, row))
+        row, item, start = row[order], item[order], start[order]
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (start[1:] != start[:-1])
+        seen = np.stack((row[new], item[new], start[new]))
         raw, best = data.tobytes(), {}
         last: tuple = ()
+        todo: list[tuple[int, int, int, int, int]] = []
         for r, k, s in zip(*seen.tolist(), strict=True):
             key = (r, k)
-            have = best.get(key)
             size = len(self.raw[k])
-            allowed = int((1 - SIMILARITY) * len(self.text[k]) + 1e-9)
-            if have and have[0] == 0 or last[:2] == key and s - last[2] < max(1, size // 16):
+            if key in best or last[:2] == key and s - last[2] < max(1, size // 16):
                 continue  # a place within the slack of the one before gives the same window
-            slack = allowed + size // 16 + 4
+            slack = allowed(len(self.text[k])) + size // 16 + 4
             lo, hi = max(int(offsets[r]), s - slack), min(int(offsets[r + 1]), s + size + slack)
             if hi <= lo:
                 continue
@@ -177,14 +172,68 @@ class Items:
             exact = raw.find(self.raw[k], lo, hi)
             if exact >= 0:
                 best[key] = (0, exact - int(offsets[r]))
-                continue
-            d = self.edits(k, raw[lo:hi].decode("utf-8", "ignore"), allowed)
-            if d <= allowed and (have is None or d < have[0]):
-                best[key] = (d, max(s - int(offsets[r]), 0))
+            else:
+                todo.append((r, k, s, lo, hi))
+        todo = [x for x in todo if x[:2] not in best]
+        for (r, k, s, _, _), d in zip(todo, self.edits(data, raw, todo), strict=True):
+            if d <= allowed(len(self.text[k])) and ((r, k) not in best or d < best[r, k][0]):
+                best[r, k] = (d, max(s - int(offsets[r]), 0))
         return [(r, k, d, s) for (r, k), (d, s) in best.items()]
 
-    def edits(self, k: int, window: str, most: int) -> int:
-        """Least edit distance of the item to any part of the window (Myers' bit-parallel columns)."""
+    def seeds(self, data: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(length, places, items, places in the items) of the seeds that begin in the first n bytes."""
+        h = np.zeros(n, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for q in range(1, max(self.tables) + 1):
+                h *= np.uint64(tx.BASE)
+                h += data[q - 1 : q - 1 + n]
+                t = self.tables.get(q)
+                if t is None:
+                    continue
+                maybe = np.flatnonzero(self.slots[q][slot(h, t[4])])
+                lo, hi = np.searchsorted(t[1], h[maybe], "left"), np.searchsorted(t[1], h[maybe], "right")
+                many = hi - lo
+                k = np.arange(int(many.sum())) + np.repeat(lo - (np.cumsum(many) - many), many)
+                if len(k):
+                    yield q, np.repeat(maybe, many), t[2][k], t[3][k]
+
+    def edits(self, data: np.ndarray, raw: bytes, windows: list[tuple[int, int, int, int, int]]) -> list[int]:
+        """Least edit distance of each window's item to any part of it (row, item, start, bytes from, to)."""
+        if not windows:
+            return []
+        before = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+        symbols = self.symbol[np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)]
+        item = np.array([w[1] for w in windows])
+        lo, hi = before[[w[3] for w in windows]], before[[w[4] for w in windows]]
+        width = np.array([-(-len(self.text[k]) // 64) for k in item])
+        out = np.zeros(len(windows), dtype=np.int64)
+        for many in np.unique(width).tolist():
+            own = np.flatnonzero(width == many)
+            for at in range(0, len(own), 4096):
+                part = own[at : at + 4096]
+                if len(part) < FEW * many:
+                    for i in part.tolist():
+                        out[i] = self.one(int(item[i]), raw[windows[i][3] : windows[i][4]].decode("utf-8", "ignore"))
+                else:
+                    which, local = np.unique(item[part], return_inverse=True)
+                    eq = np.stack([self.plane(k) for k in which.tolist()])
+                    out[part] = least_edits_of(eq, local, np.array([len(self.text[k]) for k in which.tolist()])[local], symbols, lo[part], hi[part])
+        return out.tolist()
+
+    def plane(self, k: int) -> np.ndarray:
+        """(letter, word): the places of each letter in the item, as bits."""
+        have = self.planes.get(k)
+        if have is None:
+            item = self.text[k]
+            have = np.zeros((len(self.letter) + 1, -(-len(item) // 64)), dtype=np.uint64)
+            at = np.arange(len(item))
+            np.bitwise_or.at(have, ([self.letter[c] for c in item], at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+            if len(self.planes) > 1000:
+                self.planes.clear()
+            self.planes[k] = have
+        return have
+
+    def one(self, k: int, window: str) -> int:
         item = self.text[k]
         eq = self.masks.get(k)
         if eq is None:
@@ -197,6 +246,63 @@ class Items:
         return least_edits(eq, len(item), window)
 
 
+def least_edits_of(eq: np.ndarray, item: np.ndarray, m: np.ndarray, symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """`least_edits` of many windows symbols[lo:hi] at once, exact where it is `allowed`, else any number above that.
+
+    eq (item, symbol, word) holds bits of places, m the items' lengths.  A window is left when the columns to come can't
+    improve what it has, or can't bring it to what is allowed.
+    """
+    order = np.argsort(lo - hi, kind="stable")  # the longest first, so that those not at their end are a prefix
+    lo, size, item, m = lo[order], (hi - lo)[order], item[order], m[order]
+    many, words = len(order), eq.shape[2]
+    flat, base = np.ascontiguousarray(eq.transpose(2, 0, 1)).reshape(words, -1), item * eq.shape[1]
+    up, down = [np.full(many, ~np.uint64(0)) for _ in range(words)], [np.zeros(many, np.uint64) for _ in range(words)]
+    last, one, high = ((m - 1) % 64).astype(np.uint64), np.uint64(1), np.uint64(63)
+    now, best, most = m.astype(np.int64), m.astype(np.int64), np.array([allowed(x) for x in m.tolist()])
+    out = np.empty(many, dtype=np.int64)
+    with np.errstate(over="ignore"):
+        for c in range(int(size[0]) if many else 0):
+            if c % 16 == 15:
+                alive = now - (size - c) <= np.minimum(most, best - 1)
+                if alive.mean() < 0.9:
+                    out[order[~alive]] = best[~alive]
+                    lo, size, base, last, now, best, most, order = (x[alive] for x in (lo, size, base, last, now, best, most, order))
+                    up, down = [x[alive] for x in up], [x[alive] for x in down]
+            n = int(np.searchsorted(-size, -c, "left"))
+            if not n:
+                break
+            at = base[:n] + symbols[lo[:n] + c]
+            carry = rise_in = fall_in = None
+            for w in range(words):
+                e, u, d = flat[w][at], up[w][:n], down[w][:n]
+                v = e | d
+                x = e & u
+                total = x + u
+                if w + 1 < words:
+                    over = total < x
+                if carry is not None:
+                    total += carry
+                    if w + 1 < words:
+                        over |= total < carry
+                if w + 1 < words:
+                    carry = over.astype(np.uint64)
+                h = (total ^ u) | e
+                rise = d | ~(h | u)
+                fall = u & h
+                if w + 1 == words:
+                    now[:n] += ((rise >> last[:n]) & one).astype(np.int64) - ((fall >> last[:n]) & one).astype(np.int64)
+                    np.minimum(best[:n], now[:n], out=best[:n])
+                r, f = rise << one, fall << one
+                if w:
+                    r |= rise_in
+                    f |= fall_in
+                rise_in, fall_in = rise >> high, fall >> high
+                up[w][:n] = f | ~(v | r)
+                down[w][:n] = r & v
+    out[order] = best
+    return out
+
+
 def least_edits(eq: dict[str, int], m: int, window: str) -> int:
     mask, top = (1 << m) - 1, 1 << (m - 1)
     up, down, now = mask, 0, m
@@ -238,7 +344,7 @@ def contaminations(docs: DataFrame, items: DataFrame, text: str = "text", id_col
             own = sent.value
             for batch in batches:
                 ids, (data, offsets) = batch.column(0), tx.strings(batch.column(1))
-                for lo, _, part, at in tx.pieces(data, offsets):
+                for lo, _, part, at in tx.pieces(data, offsets, PIECE):
                     hits = own.search(part, at)
                     if hits:
                         r, k, d, s = map(list, zip(*hits, strict=True))
@@ -264,7 +370,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> Data
             for batch in batches:
                 data, offsets = tx.strings(batch.column(at))
                 clean = np.ones(batch.num_rows, dtype=bool)
-                for lo, _, part, ends in tx.pieces(data, offsets):
+                for lo, _, part, ends in tx.pieces(data, offsets, PIECE):
                     for r, _, _, _ in own.search(part, ends):
                         clean[lo + r] = False
                 yield batch.filter(pa.array(clean))

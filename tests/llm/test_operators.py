@@ -325,6 +325,54 @@ def test_decontamination_finds_edited_passages(spark):
     assert {r["doc_id"] for r in clean.collect()} == {r[0] for r in rows} - found
 
 
+def edited(rng, item, share):
+    """item with that share of its characters replaced at random places."""
+    c = list(item)
+    for k in rng.sample(range(len(c)), int(share * len(c) + 1e-9)):
+        c[k] = rng.choice("abcdefghijklmnop")
+    return "".join(c)
+
+
+def passages(rng, length, n=40):
+    syllables = "tha ing er on re an ti en st nd or ble".split()
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4)))
+    return [" ".join(word() for _ in range(length))[:length].rstrip() for _ in range(n)]
+
+
+def share_found(rng, items, share, n=200):
+    from tessera.llm import text as tx
+
+    import pyarrow as pa
+
+    own = op2_decontaminate.Items(list(range(len(items))), items)
+    texts = [f"before {edited(rng, items[i % len(items)], share)} after" for i in range(n)]
+    hits = {(r, k) for r, k, _, _ in own.search(*tx.strings(pa.array(texts)))}
+    return sum((i, i % len(items)) in hits for i in range(n)) / n
+
+
+@pytest.mark.parametrize("share", [0.1, 0.15, 0.2])
+@pytest.mark.parametrize("length", [90, 240])
+def test_decontamination_reaches_recall(length, share):
+    rng = random.Random(6)
+    assert share_found(rng, passages(rng, length), share) >= 0.96
+
+
+def test_edit_distances_of_many_windows():
+    rng = random.Random(7)
+    items = ["".join(rng.choice("abcdé ") for _ in range(rng.randrange(20, 200))) for _ in range(20)]
+    own = op2_decontaminate.Items(list(range(20)), items)
+    own.open()
+    raw, windows = b"", []
+    for _ in range(150):
+        k = rng.randrange(20)
+        t = "é" * rng.randrange(9) + "".join(c if rng.random() < 0.8 else rng.choice(["", "x", "ab", "é"]) for c in own.text[k])
+        windows.append((0, k, 0, len(raw), len(raw) + len(t.encode())))
+        raw += t.encode()
+    for (_, k, _, lo, hi), d in zip(windows, own.edits(np.frombuffer(raw, np.uint8), raw, windows), strict=True):
+        want, most = own.one(k, raw[lo:hi].decode()), op2_decontaminate.allowed(len(own.text[k]))
+        assert d == want or min(d, want) > most
+
+
 # --- classifiers
 
 
