@@ -11,7 +11,7 @@ Items are used in blocks of at most about `BLOCK` items, whose tables are broadc
 number of items); every block scans all documents, whole.  There is no shuffle.
 
 Texts are compared with A-Z lower-cased and white space collapsed.  Defined cases: null and empty texts hold no
-passage; items with fewer than `SHORTEST` bytes after that are ignored (they would match by chance); null ids are
+passage; items with fewer than `SHORTEST` bytes after that are found where they stand unedited as whole words; null ids are
 passed on; repeated rows are judged alike; an item may be found in any number of documents and a document hold any number
 of items; empty tables give an empty result; other columns are ignored or, in `decontaminate`, passed on.
 """
@@ -72,6 +72,12 @@ def slot(h: np.ndarray, bits: int) -> np.ndarray:
         return ((h * _MIX) >> np.uint64(64 - bits)).view(np.int64)
 
 
+def whole(raw: bytes, a: int, b: int, lo: int, hi: int) -> bool:
+    """Whether raw[a:b] begins and ends no word in its middle, in the row raw[lo:hi]."""
+    cut = lambda k: lo < k < hi and tx.WORDLIKE[raw[k - 1]] and tx.WORDLIKE[raw[k]]
+    return lo <= a and b <= hi and not cut(a) and not cut(b)
+
+
 def allowed(m: int) -> int:
     """Edits that an item of m characters may have."""
     return int((1 - SIMILARITY) * m + 1e-9)
@@ -104,8 +110,8 @@ class Items:
         self.text = [b.decode() for b in self.raw]
         by: dict[int, list[int]] = {}
         for k, b in enumerate(self.raw):
-            if len(b) >= SHORTEST:
-                by.setdefault(seed_length(len(self.text[k])), []).append(k)
+            if b:
+                by.setdefault(seed_length(len(self.text[k])) if len(b) >= SHORTEST else len(b), []).append(k)
         #: By length: bits of the hashes' slots, hashes in order, and the item and place of each.
         self.tables: dict[int, tuple] = {}
         for q, own in by.items():
@@ -162,6 +168,10 @@ class Items:
         for r, k, s in zip(*seen.tolist(), strict=True):
             key = (r, k)
             size = len(self.raw[k])
+            if size < SHORTEST:
+                if key not in best and whole(raw, s, s + size, int(offsets[r]), int(offsets[r + 1])) and raw[s : s + size] == self.raw[k]:
+                    best[key] = (0, s - int(offsets[r]))
+                continue
             if key in best or last[:2] == key and s - last[2] < max(1, size // 16):
                 continue  # a place within the slack of the one before gives the same window
             slack = allowed(len(self.text[k])) + size // 16 + 4

@@ -357,6 +357,24 @@ def test_decontamination_reaches_recall(length, share):
     assert share_found(rng, passages(rng, length), share) >= 0.96
 
 
+@pytest.mark.parametrize("length", [35, 60])
+def test_decontamination_of_short_items(length):
+    rng = random.Random(8)
+    items = passages(rng, length)
+    assert min(share_found(rng, items, share) for share in (0.05, 0.1, 0.15)) >= 0.96
+
+
+def test_decontamination_of_items_under_twelve_bytes():
+    import pyarrow as pa
+
+    from tessera.llm import text as tx
+
+    own = op2_decontaminate.Items([1, 2, 3], ["Short", "x + y", ""])
+    texts = ["a SHORT one", "shorter", "ashort", "short", "is x  +\ny?", "max + y", "short short.", None, ""]
+    got = {(r, own.ids[k], d, s) for r, k, d, s in own.search(*tx.strings(pa.array(texts)))}
+    assert got == {(0, 1, 0, 2), (3, 1, 0, 0), (4, 2, 0, 3), (6, 1, 0, 0)}
+
+
 def test_edit_distances_of_many_windows():
     rng = random.Random(7)
     items = ["".join(rng.choice("abcdé ") for _ in range(rng.randrange(20, 200))) for _ in range(20)]
