@@ -1,6 +1,7 @@
 """License scans with DataFrame functions only: sparse TF-IDF cosine to templates, then directory inheritance.
 
-1. Lines of every text are candidates where they share a term with a template (others have cosine zero).  Terms are
+1. Lines of every text are candidates where they hold at least two different terms of the templates: by definition, as in
+   the query's SQL, a line of one such term is none, whatever its cosine.  Terms are
    runs of letters and digits, A-Z lower-cased, without `STOP` words.  Document frequencies of the
    templates' terms are counted over all documents; a term outside the templates counts as one that occurs in no
    document, so its weight needs no table.
