@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import text as tx
@@ -20,7 +20,7 @@ from tessera.llm.components import components
 from tessera.llm.tables import bitmap, cells, checkpoint, grouped, in_bitmap, stored
 
 #: Members of a cell's chunk at most.
-CELL = 512
+CELL = 256
 SHINGLE = 5
 
 
@@ -103,7 +103,12 @@ def sized(members: DataFrame, weight: str | None = None) -> DataFrame:
     w = F.col(weight) if weight else F.lit(0)
     facts = members.groupBy("coarse").agg(F.count("*").alias("size"), F.max(F.struct(w.alias("w"), (-F.col("node")).alias("n"))).alias("top"))
     facts = facts.select(F.col("coarse").alias("c"), "size", (-F.col("top.n")).alias("leader"))
-    return members.join(facts, F.col("coarse") == F.col("c")).drop("c")
+    return members.join(facts, same_coarse()).drop("c")
+
+
+def same_coarse() -> Column:
+    """coarse = c; the second key gives both sides an exchange of their own, so that a large group's rows can be split."""
+    return (F.col("coarse") == F.col("c")) & (F.hash("coarse") == F.hash("c"))
 
 
 def verified(members: DataFrame, threshold: float, shingle: int = SHINGLE) -> DataFrame:
@@ -134,7 +139,7 @@ def verified(members: DataFrame, threshold: float, shingle: int = SHINGLE) -> Da
     stars = near.filter("ok").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     # the rest: members that the leader did not reach, where there is anyone else to compare them with
     rest = near.filter("size > 2").groupBy("coarse").agg(F.count_if(~F.col("ok")).alias("open"), F.count_if("ok").alias("done")).filter("open > 0 and open + done > 1")
-    todo = near.join(rest.withColumnRenamed("coarse", "c"), F.col("coarse") == F.col("c"))
+    todo = near.join(rest.withColumnRenamed("coarse", "c"), same_coarse())
     opens, dones = (F.ceil(F.col(k) / F.lit(float(CELL))).cast("int") for k in ("open", "done"))
     todo = todo.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("ok"), dones).otherwise(opens)).cast("int"))
     # cells (i, j >= 0) pair open chunks, cells (i, -1 - j) an open chunk with a chunk of followers

@@ -30,6 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df doesn't have, whatever its columns are called (Spark ignores case)."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        made = f"_{name}"
+        while made.lower() in have:
+            made += "_"
+        out.append(made)
+    return out
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet under the shared checkpoint folder and read back: columnar and compressed, for tables that
     are read more than once."""

@@ -88,25 +88,54 @@ def pieces(data: np.ndarray, offsets: np.ndarray, size: int = 1 << 20) -> Iterat
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends, and for each row (and the end) the index of its first word."""
     n = len(data)
-    solid = np.ones(n + 2, dtype=bool)
-    solid[0] = solid[-1] = False
-    np.logical_not(SPACE[data], out=solid[1:-1])
-    edge = np.zeros(n + 1, dtype=bool)
-    edge[offsets] = True
-    inside = solid[1:-1]
-    starts = np.flatnonzero(inside & (~solid[:-2] | edge[:-1]))
-    ends = np.flatnonzero(inside & (~solid[2:] | edge[1:])) + 1
-    return starts, ends, np.searchsorted(starts, offsets)
+    space = (data == 32) | (data - np.uint8(9) < 5)
+    solid = ~space
+    begins, stops = solid.copy(), solid.copy()
+    begins[1:] &= space[:-1]
+    stops[:-1] &= space[1:]
+    inner = offsets[offsets < n]  # words don't reach over the ends of rows
+    begins[inner] = solid[inner]
+    last = offsets[offsets > 0] - 1
+    stops[last] = solid[last]
+    starts = np.flatnonzero(begins)
+    return starts, np.flatnonzero(stops) + 1, np.searchsorted(starts, offsets)
+
+
+#: Spans of more bytes are hashed by prefix sums, shorter ones eight bytes at a time.
+LONG = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans; equal spans have equal hashes wherever they stand."""
     n = len(data)
+    size = ends - starts
+    padded = np.zeros((n + 23) // 8 * 8, dtype=np.uint8)
+    padded[:n] = data
+    eights = padded.view("<u8")
+    h = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    at, rest, own = starts, size, None  # own: the spans that have more bytes, None for all
     with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=sums[1:])
-        h = (sums[ends] - sums[starts]) * powers(INVERSE, n + 1)[starts]
-        h ^= (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        while len(at):
+            word, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+            v = eights[word] >> shift
+            v |= (eights[word + 1] << np.uint64(1)) << (np.uint64(63) - shift)
+            v &= _MASKS[np.minimum(rest, 8)]
+            x = (h if own is None else h[own]) ^ v
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(32)
+            if own is None:
+                h = x
+            else:
+                h[own] = x
+            more = np.flatnonzero((rest > 8) & (rest <= LONG if own is None else True))
+            own = more if own is None else own[more]
+            at, rest = at[more] + 8, rest[more] - 8
+        long = np.flatnonzero(size > LONG)
+        if len(long):
+            sums = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=sums[1:])
+            h[long] ^= (sums[ends[long]] - sums[starts[long]]) * powers(INVERSE, n + 1)[starts[long]]
     return mix64(h)
 
 
@@ -145,9 +174,14 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def sequence_hashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """One hash for the sequence of words of each row."""
+    return sequence_hashes_at(h, first[:-1], first[1:])
+
+
+def sequence_hashes_at(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One hash for each run of words from starts to ends; equal sequences have equal hashes wherever they stand."""
     n = len(h)
     with np.errstate(over="ignore"):
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(h * powers(BASE, n), out=sums[1:])
-        out = (sums[first[1:]] - sums[first[:-1]]) * powers(INVERSE, n + 1)[first[:-1]]
-        return mix64(out ^ np.diff(first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        out = (sums[ends] - sums[starts]) * powers(INVERSE, n + 1)[starts]
+        return mix64(out ^ (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))

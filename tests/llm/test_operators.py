@@ -229,6 +229,90 @@ def test_verified_components(spark, monkeypatch, cell):
     assert {r["node"]: r["component"] for r in setjoin.verified(df, 0.8).collect()} == want
 
 
+def run_texts(rng):
+    """Texts of random words in which some runs of words are repeated: inside lines, across them, cut into short ones."""
+    word = lambda: f"v{rng.randrange(50_000)}"
+    shared = [[word() for _ in range(60)] for _ in range(8)]
+    rows = []
+    for i in range(90):
+        ws = [word() for _ in range(rng.randrange(0, 300))]
+        if i % 3 == 0:
+            run = list(shared[rng.randrange(8)])
+            at = rng.randrange(len(ws) + 1)
+            ws[at:at] = run[rng.randrange(20) : 60 - rng.randrange(20)]
+        if i % 10 == 1:
+            ws += ["same"] * 70 + ws[:40]
+        width = rng.choice([7, 10, 50, 1000])
+        rows.append((i, "\n".join(" ".join(ws[k : k + width]).upper() if k % 2 else " ".join(ws[k : k + width]) for k in range(0, len(ws), width))))
+    return [*rows, (None, rows[0][1]), (None, None), (200, ""), (201, rows[3][1]), (201, rows[3][1])]
+
+
+def test_passages_match_brute_force(spark):
+    """Every run of 33 words that stands in two places is reported there; whatever is reported stands elsewhere, earlier if it goes."""
+    rows = run_texts(random.Random(21))
+    texts = [lower(t).split() for _, t in rows]
+    places = {}
+    for n, ws in enumerate(texts):
+        for k in range(len(ws) - 19):
+            places.setdefault(tuple(ws[k : k + 20]), []).append((rows[n][0] if rows[n][0] is not None else 1 << 62, n, k))
+    got = op5_substrings.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    covered = {}
+    for r in got:
+        covered.setdefault(r["id"], set()).update(range(r["start"], r["start"] + r["words"]))
+    for n, ws in enumerate(texts):
+        for k in range(len(ws) - 32):
+            if any(m != n for _, m, _ in places[tuple(ws[k : k + 20])]):
+                others = [set(m for _, m, _ in places[tuple(ws[j : j + 20])]) for j in range(k, k + 14)]
+                both = set.intersection(*others) - {n}
+                if any(" ".join(ws[k : k + 33]) in " ".join(texts[m]) for m in both):
+                    assert covered.get(rows[n][0], set()) & set(range(k, k + 33)), (n, k)
+    for r in got:
+        own = [n for n, (i, _) in enumerate(rows) if i == r["id"] and len(texts[n]) >= r["start"] + r["words"]]
+        at = [places[tuple(texts[n][r["start"] : r["start"] + 20])] for n in own]
+        assert any(len(p) > 1 for p in at)
+        if r["removed"]:
+            assert (r["keep_id"] if r["keep_id"] is not None else 1 << 62) <= (r["id"] if r["id"] is not None else 1 << 62)
+
+
+def test_passages_inside_lines(spark):
+    """The same sixty words inside two longer lines and broken into short ones; one edited in the middle."""
+    rng = random.Random(22)
+    word = lambda: f"v{rng.randrange(50_000)}"
+    run = [word() for _ in range(60)]
+    edited_run = run[:36] + ["other"] + run[37:]
+    some = lambda n: [word() for _ in range(n)]
+    rows = [
+        (1, " ".join(some(40) + run + some(30))), (2, " ".join(some(7) + run + some(90))), (3, "\n".join(" ".join(run[k : k + 10]) for k in range(0, 60, 10))),
+        (4, " ".join(some(25) + edited_run + some(9))), (5, " ".join(some(200))), (6, " ".join(run[:19] + some(30))),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = op5_substrings.passages(df).collect()
+    assert {r["id"] for r in got} == {1, 2, 3, 4}
+    assert {r["id"] for r in got if r["removed"]} == {2, 3, 4}
+    for r in got:
+        ws = dict(rows)[r["id"]].split()
+        assert set(ws[r["start"] : r["start"] + r["words"]]) <= set(run)
+    left = {r["doc_id"]: r["text"].split() for r in op5_substrings.cut(df).collect()}
+    assert left[1] == rows[0][1].split() and left[5] == rows[4][1].split() and left[6] == rows[5][1].split()
+    assert len(set(left[2]) & set(run)) <= 26 and left[2][:7] == rows[1][1].split()[:7] and left[2][-90:] == rows[1][1].split()[-90:]
+
+
+def test_paragraphs_reach_recall(spark):
+    """Pairs of Jaccard 0.80 to 0.95: 0.98 of them at least are grouped."""
+    rng = random.Random(14)
+    rows, want = [], 0
+    while want < 400:
+        base = [f"p{want}_{k}" for k in range(rng.randrange(50, 140))]
+        other = list(base)
+        for k in rng.sample(range(len(base)), rng.randrange(1, 4)):
+            other[k] = f"q{want}_{k}"
+        if 0.8 <= jaccard(shingles(" ".join(base)), shingles(" ".join(other))) < 0.95:
+            rows += [(2 * want, " ".join(base)), (2 * want + 1, " ".join(other))]
+            want += 1
+    got = op5_substrings.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).filter("removed").count()
+    assert got >= 0.98 * want
+
+
 def test_cut_removes_only_repeats(docs):
     out = op5_substrings.cut(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
