@@ -47,11 +47,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())
 
 
-def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if not held:
-        return
-    u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+def solve(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links, ascending, and the least node that each reaches."""
     nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
     u, v = at[: len(u)], at[len(u) :]
     parent = np.arange(len(nodes))  # in order of the nodes, so the least position is the least node
@@ -62,8 +59,16 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.minimum.at(parent, high[open_], low[open_])
         while (parent[parent] != parent).any():
             parent = parent[parent]
+    return nodes, nodes[parent]
+
+
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not held:
+        return
+    nodes, least = solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
     for s in range(0, len(nodes), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[s : s + (1 << 16)]), pa.array(nodes[parent[s : s + (1 << 16)]])], names=["node", "component"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[s : s + (1 << 16)]), pa.array(least[s : s + (1 << 16)])], names=["node", "component"])
 
 
 def _large_star(e: DataFrame) -> DataFrame:

@@ -5,11 +5,12 @@ texts in a table of 2**20 hashed counters (a fixed size; any table gives a corre
 Lines with equal sets become one row.  Two sets of Jaccard t or more share a word among the first
 n - ceil(t n) + 1 of each; so each distinct line is posted under 32-bit hashes of those words, and lines that meet there must pass
 
-* the length filter (the smaller set has at least t times the words of the larger),
+* the length filter (the smaller set has at least t times the words of the larger; cells are sorted by length, so other
+  pairs are never formed),
 * the positional filter (the words after the meeting place suffice for the overlap that t asks for),
 * a parity filter (each word flips one of 128 bits, or of 64 in shorter lines; the bits that differ are at most the symmetric difference),
 
-all of which keep every pair that reaches t.  What passes links lines into coarse groups, in which Jaccard of every pair
+all of which keep every pair that reaches t.  Words that stand once in the whole corpus are posted nowhere.  What passes links lines into coarse groups, in which Jaccard of every pair
 is verified on the words themselves, in cells of bounded size.  A frequent word's postings are dealt into cells too.
 A line goes if a line of Jaccard t or more (an equal set included) stands earlier by (doc_id, line).
 
@@ -28,9 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import text as tx
-from tessera.llm.components import components
+from tessera.llm.components import components, solve
 from tessera.llm.setjoin import lines_at, linked, sized
-from tessera.llm.tables import bounded_batches, broadcast_if_small, cells, checkpoint, grouped, stored, table
+from tessera.llm.tables import bounded_batches, broadcast_if_small, cells, checkpoint, fresh, grouped, stored, table
 
 SIMILARITY = 0.8
 CELL = 2048
@@ -38,6 +39,8 @@ CELL = 2048
 FOLDED = 96
 LAST = (1 << 63) - 1
 _BITS, _BLOCK = 20, 1 << 12
+#: The level of a counter that has counted one word.
+ONCE = 8
 
 
 def count_words(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -105,7 +108,10 @@ def _order(line: np.ndarray, rank: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def posted(docs: DataFrame, levels: np.ndarray, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, line, key, n, parity_a, parity_b, prefix) of each line with a word; line -1 marks each row of docs."""
+    """(id, line, key, n, parity_a, parity_b, prefix) of each line with a word; line -1 marks each row of docs.
+
+    prefix holds the 32-bit hashes of the prefix's words, rarest first, without those that stand once in all texts.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(levels)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +123,7 @@ def posted(docs: DataFrame, levels: np.ndarray, text: str = "text", id_col: str
             ids = batch.column(0)
             rows = batch.num_rows
             nothing = pa.array(np.zeros(rows, np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(rows, -1), pa.int32()), nothing, pa.array(np.zeros(rows), pa.int32()), nothing, nothing, pa.array([[]] * rows, pa.list_(pa.int32()))], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(rows, -1), pa.int32()), nothing, pa.array(np.zeros(rows), pa.int32()), nothing, nothing, pa.array([b""] * rows, pa.binary())], names=_NAMES)
             for lo, _, part, at in tx.pieces(data, offsets):
                 edges, row, number = tx.lines(part, at)
                 part = tx.LOWER[part]
@@ -129,10 +135,10 @@ def posted(docs: DataFrame, levels: np.ndarray, text: str = "text", id_col: str
                 rank = level[(spans >> np.uint64(64 - _BITS)).astype(np.int64)]
                 h = tx.mix64(spans)  # what one-word shingles have, so that fetched lines give the same key
                 order = _order(line, rank, h)
-                h, line = h[order], line[order]
+                h, line, rank = h[order], line[order], rank[order]
                 new = np.ones(len(h), dtype=bool)
                 new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-                h, line = h[new], line[new]
+                h, line, rank = h[new], line[new], rank[new]
                 begin = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
                 of = line[begin]
                 n = np.diff(np.concatenate((begin, [len(h)])))
@@ -154,21 +160,37 @@ def posted(docs: DataFrame, levels: np.ndarray, text: str = "text", id_col: str
                 p = np.where(fresh, p, 0)
                 bounds = np.concatenate(([0], np.cumsum(p)))
                 take = np.arange(bounds[-1]) + np.repeat(begin - bounds[:-1], p)
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array((h[take] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                often = rank[take] > ONCE
+                bounds = np.concatenate(([0], np.cumsum(often)))[bounds]
+                lists = _binary((h[take[often]] >> np.uint64(32)).astype("<u4"), bounds)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[of] + lo)), pa.array(number[of], pa.int32()), pa.array(key.view(np.int64)), pa.array(n, pa.int32()), pa.array(parity_a.view(np.int64)), pa.array(parity_b.view(np.int64)), lists], names=_NAMES)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(post, "id bigint, line int, key bigint, n int, parity_a bigint, parity_b bigint, prefix array<int>")
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(post, "id bigint, line int, key bigint, n int, parity_a bigint, parity_b bigint, prefix binary")
+
+
+def _binary(words: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((4 * bounds).astype("<i4")), pa.py_buffer(words)])
+
+
+def _words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes in a column of prefixes, and how many each has."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, "<i4")[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw.copy().view("<i4"), np.diff(at) // 4
+
+
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_words_of(batch.column(0))[0], pa.int32())], names=["w"])
 
 
 _NAMES = ["id", "line", "key", "n", "parity_a", "parity_b", "prefix"]
 
 
 def passing(n: np.ndarray, at: np.ndarray, pa_: np.ndarray, pb: np.ndarray, i: np.ndarray, j: np.ndarray, t: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (i, j) that pass the length, positional and parity filters, in turn."""
+    """The pairs (i, j), of compatible lengths, that pass the positional and parity filters."""
     ni, nj = n[i], n[j]
-    ok = np.flatnonzero(np.minimum(ni, nj) >= t * np.maximum(ni, nj) - 1e-9)
-    i, j = i[ok], j[ok]
-    ni, nj = ni[ok], nj[ok]
     total = ni + nj
     most = int(total.max(initial=0))
     if most < 1 << 16:  # by table
@@ -185,26 +207,29 @@ def passing(n: np.ndarray, at: np.ndarray, pa_: np.ndarray, pb: np.ndarray, i: n
 
 
 def _post_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, key, meta, parity_a, parity_b) of each prefix word of rows that stand with all rows of their key.
+    """(word, key, meta, parity_a, parity_b) of each prefix word, once for each key, of rows in order of their keys.
 
     meta packs the number of words and the place of this one.
     """
-    done: set[int] = set()
+    last = None
     for batch in batches:
-        key = batch.column(0).to_numpy()
-        unique, first = np.unique(key, return_index=True)
-        first = np.sort(np.array([i for k, i in zip(unique.tolist(), first.tolist(), strict=True) if k not in done], dtype=np.int64))
-        done.update(unique.tolist())
-        if not len(first):
+        if not batch.num_rows:
             continue
-        picked = batch.take(pa.array(first))
-        lists = picked.column(4)
-        many = lists.value_lengths().to_numpy()
-        words = lists.flatten().to_numpy()
-        row = np.repeat(np.arange(len(first)), many)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-        n = picked.column(1).to_numpy().astype(np.int64)[row]
-        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(picked.column(0).to_numpy()[row]), pa.array(n << 31 | at), pa.array(picked.column(2).to_numpy()[row]), pa.array(picked.column(3).to_numpy()[row])], names=["word", "key", "meta", "parity_a", "parity_b"])
+        key = batch.column(0).to_numpy()
+        new = np.concatenate(([key[0] != last], key[1:] != key[:-1]))
+        last = key[-1]
+        picked = batch.filter(pa.array(new))
+        words, many = _words_of(picked.column(4))
+        row = np.repeat(np.arange(len(many)), many)
+        n = picked.column(1).to_numpy().astype(np.int64)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + (prefix_sizes(n) - many)[row]  # words that stand once come first
+        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(picked.column(0).to_numpy()[row]), pa.array(n[row] << 31 | at), pa.array(picked.column(2).to_numpy()[row]), pa.array(picked.column(3).to_numpy()[row])], names=["word", "key", "meta", "parity_a", "parity_b"])
+
+
+#: Lengths from this on are sorted as equal.
+_LONGEST = (1 << 20) - 1
+#: Pairs that are filtered at a time.
+_PAIRS = 1 << 18
 
 
 def _meet_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,57 +237,45 @@ def _meet_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         sizes = np.diff(bounds)
         if (sizes < 2).all():
             continue
-        key, meta = t.column("key").to_numpy(), t.column("meta").to_numpy()
-        n, at = meta >> 31, meta & ((1 << 31) - 1)
-        a, b = (t.column(c).to_numpy().view(np.uint64) for c in ("parity_a", "parity_b"))
-        cell = t.column("cell").to_numpy()
-        cross = (cell >> 16 & 0xFFFF) != (cell & 0xFFFF)
-        second = t.column("second").to_numpy(zero_copy_only=False)
+        group = np.repeat(np.arange(len(sizes)) << 20, sizes)
+        n = t.column("meta").to_numpy() >> 31
+        order = np.argsort(group + np.minimum(n, _LONGEST), kind="stable")
+        n, group = n[order], group[order]
+        at = t.column("meta").to_numpy()[order] & ((1 << 31) - 1)
+        key, side = t.column("key").to_numpy()[order], t.column("side").to_numpy()[order]
+        a, b = (t.column(c).to_numpy().view(np.uint64)[order] for c in ("parity_a", "parity_b"))
+        # partners of i: the rows after it in its cell that are not too long
+        end = np.searchsorted(group + np.minimum(n, _LONGEST), group + np.minimum((n / SIMILARITY + 1e-9).astype(np.int64), _LONGEST), "right")
+        many = end - np.arange(len(n)) - 1
+        upto = np.cumsum(many)
         left, right = [], []
-
-        def keep(i: np.ndarray, j: np.ndarray) -> None:
-            i, j = passing(n, at, a, b, i, j)  # noqa: B023
-            ok = ~cross[i] | (second[i] != second[j])  # noqa: B023
-            left.append(key[i[ok]])  # noqa: B023
-            right.append(key[j[ok]])  # noqa: B023
-
-        small = np.flatnonzero((sizes > 1) & (sizes <= 32))
-        for m in np.unique(sizes[small]):
-            first = bounds[small[sizes[small] == m]]
-            x, y = np.triu_indices(int(m), 1)
-            step = max(1, (1 << 18) // len(x))
-            for s in range(0, len(first), step):
-                f = first[s : s + step, None]
-                keep((f + x).ravel(), (f + y).ravel())
-        for g in np.flatnonzero(sizes > 32):
-            lo, hi = int(bounds[g]), int(bounds[g + 1])
-            for s in range(lo, hi - 1, 128):
-                i = np.arange(s, min(s + 128, hi))
-                x, y = np.meshgrid(i, np.arange(s + 1, hi), indexing="ij")
-                up = x < y
-                keep(x[up], y[up])
-                if len(left[-1]) > 4 * (hi - lo):  # a dense group: a spanning forest of what passed
-                    left[-1], right[-1] = _spanning(left[-1], right[-1])
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+        lo = 0
+        while lo < len(n):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + _PAIRS, "right")))
+            own = many[lo:hi]
+            i = np.repeat(np.arange(lo, hi), own)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own) + i + 1
+            i, j = passing(n, at, a, b, i, j)
+            ok = (side[i] == 0) | (side[i] != side[j])
+            if n[lo:hi].max() >= _LONGEST * SIMILARITY:
+                ok &= np.minimum(n[i], n[j]) >= SIMILARITY * np.maximum(n[i], n[j]) - 1e-9
+            x, y = key[i[ok]], key[j[ok]]
+            if len(x) > 4 * (int(end[hi - 1]) - lo):  # dense: a spanning forest of what passed
+                x, y = _spanning(x, y)
+            left.append(x)
+            right.append(y)
+            lo = hi
+        x, y = _spanning(np.concatenate(left), np.concatenate(right))
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
 
 def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    kept = []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        x, y = root(x), root(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            kept.append(k)
-    return a[kept], b[kept]
+    """Fewer links that connect the same: each node with the least of those it reaches."""
+    if not len(a):
+        return a, b
+    node, least = solve(a, b)
+    own = node != least
+    return least[own], node[own]
 
 
 def judged(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -272,15 +285,17 @@ def judged(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataF
     levels = np.minimum(np.round(8 * np.log2(counts + 1)), 255).astype(np.uint8)
     rows = stored(posted(docs, levels, text, id_col))
     real = rows.filter("line >= 0")
-    posted_rows = real.filter("size(prefix) > 0")
+    posted_rows = real.filter("octet_length(prefix) > 0")
     # only how cells are cut depends on this estimate, by an eighth of the keys; every posting is compared whatever it says
-    eighth = posted_rows.filter(F.pmod("key", F.lit(8)) == 0).select(F.explode("prefix").alias("w"))
+    eighth = posted_rows.filter(F.pmod("key", F.lit(8)) == 0).select("prefix").mapInArrow(_explode, "w int")
     hot = checkpoint(eighth.groupBy("w").agg((8 * F.count("*")).alias("size")).filter(F.col("size") > CELL))
-    words = posted_rows.select("key", "n", "parity_a", "parity_b", "prefix").repartition("key").mapInArrow(_post_batches, "word int, key bigint, meta bigint, parity_a bigint, parity_b bigint")
+    words = posted_rows.select("key", "n", "parity_a", "parity_b", "prefix").repartition("key").sortWithinPartitions("key").mapInArrow(_post_batches, "word int, key bigint, meta bigint, parity_a bigint, parity_b bigint")
     dealt = words.join(broadcast_if_small(hot), F.col("word") == F.col("w"), "left").withColumn("size", F.coalesce("size", F.lit(1)))
     dealt = cells(dealt, "word", "size", "key", CELL)
-    cell = F.shiftleft(F.col("word").cast("bigint"), 32).bitwiseOR(F.shiftleft(F.col("cell_a").cast("bigint"), 16)).bitwiseOR(F.col("cell_b").cast("bigint"))
-    dealt = dealt.select(cell.alias("cell"), "key", "meta", "parity_a", "parity_b", (F.col("chunk") == F.col("cell_b")).alias("second"))
+    # a cell of a word that is cut gets a hash: two cells that share one are compared as one, which loses no pair
+    cell = F.when(F.col("size") > CELL, F.xxhash64("word", "cell_a", "cell_b")).otherwise(F.col("word").cast("bigint"))
+    side = F.when(F.col("cell_a") == F.col("cell_b"), 0).when(F.col("chunk") == F.col("cell_b"), 2).otherwise(1).cast("byte")
+    dealt = dealt.select(cell.alias("cell"), "key", "meta", "parity_a", "parity_b", side.alias("side"))
     met = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_meet_batches, "a bigint, b bigint")
     coarse = checkpoint(components(met).select(F.col("node").alias("c_key"), F.col("component").alias("coarse")))
     place = F.struct(F.coalesce("id", F.lit(LAST)).alias("id"), F.col("line").cast("bigint").alias("line"))
@@ -299,10 +314,11 @@ def judged(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataF
 
 def cut(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs with all their columns, their texts without the removed lines."""
-    gone = checkpoint(judged(docs, text, id_col).filter("removed").groupBy(F.col("id").alias("_x_id")).agg(F.collect_set("line").alias("_x_lines")))
-    x = docs.join(broadcast_if_small(gone), docs[id_col].eqNullSafe(gone["_x_id"]), "left")
-    rest = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains(F.col("_x_lines"), i)), "\n")
-    return x.withColumn(text, F.when(F.col("_x_lines").isNull(), F.col(text)).otherwise(rest)).drop("_x_id", "_x_lines")
+    x_id, x_lines = fresh(docs, "x_id", "x_lines")
+    gone = checkpoint(judged(docs, text, id_col).filter("removed").groupBy(F.col("id").alias(x_id)).agg(F.collect_set("line").alias(x_lines)))
+    x = docs.join(broadcast_if_small(gone), docs[id_col].eqNullSafe(gone[x_id]), "left")
+    rest = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains(F.col(x_lines), i)), "\n")
+    return x.withColumn(text, F.when(F.col(x_lines).isNull(), F.col(text)).otherwise(rest)).drop(x_id, x_lines)
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
