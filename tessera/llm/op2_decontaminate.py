@@ -1,26 +1,33 @@
-"""Benchmark decontamination: seeds of derived length at every byte, exact edit distance of many windows at once.
+"""Benchmark decontamination: random-walk embedding, bit samples of windows from every byte, exact edit distance.
 
-A passage with k edits among m characters is cut by them into k + 1 unedited runs.  Every item gets the greatest seed
-length q for which, at the full k = (1 - SIMILARITY) x m edits at random places, some run reaches q with probability
-`RECALL` (a closed form; an insertion or deletion cuts no more than a substitution does).  All substrings of q bytes of
-all items are looked up at every byte of every document, by rolling hashes that serve all lengths in one pass.  Where one
-is found, the item-sized window at that place is checked by exact edit distance (bit-parallel over the item and over many
-windows, start and end free within the slack): a hit has at most (1 - SIMILARITY) x length edits.
+The CGK embedding of a text walks over it: each step puts out the byte under the pointer, and a random bit, of that
+step and that byte, says whether the pointer moves on.  Two texts a few edits apart walk together again soon after an
+edit, so their embeddings differ in few places of the same number.  A window begins at every byte of every document and
+at every byte of every item; `REPEATS` samples of the embedding's places are compared, each taken at about half of the
+steps, and a window whose sample equals one of an item's is a candidate.
+
+How many places an item's samples have follows from the target: the greatest number at which items of that length,
+with all the edits that `SIMILARITY` allows (substitutions, insertions and deletions at random places), are found with
+probability `RECALL`.  It is measured by a seeded simulation on random texts of many letters, where nothing meets by
+chance.  All samples, of all lengths and repeats, come from one walk over a document.
+
+A candidate's item-sized window is checked by exact edit distance (bit-parallel over the item and over many windows,
+start and end free within the slack): a hit has at most (1 - SIMILARITY) x length edits.
 
 Items are used in blocks of at most about `BLOCK` items, whose tables are broadcast (so the broadcast has a bound at any
 number of items); every block scans all documents, whole.  There is no shuffle.
 
-Texts are compared with A-Z lower-cased and white space collapsed.  Defined cases: null and empty texts hold no
+Very long texts are scanned whole, in steps of bounded memory.  Texts are compared with A-Z lower-cased and white space collapsed.  Defined cases: null and empty texts hold no
 passage; items with fewer than `SHORTEST` bytes after that are found where they stand unedited as whole words; null ids are
 passed on; repeated rows are judged alike; an item may be found in any number of documents and a document hold any number
-of items; empty tables give an empty result; other columns are ignored or, in `decontaminate`, passed on.
+of items, the best place of each (of equally good ones the first that the samples give); equal items are used as one and
+reported each; empty tables give an empty result; other columns are ignored or, in `decontaminate`, passed on.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from fractions import Fraction
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -32,15 +39,32 @@ from tessera.llm import text as tx
 from tessera.llm.tables import bounded_batches, table
 
 SIMILARITY = 0.8
-#: Probability that an item with the most edits, at random places, keeps a run of its seed length.
-RECALL = 0.98
-MOST_SEED = 24
+#: Probability that an item with the most edits, at random places, is found.
+RECALL = 0.99
+#: Samples of a window's embedding, numbers of places that a sample may have, and steps of a walk at most.
+REPEATS, SIZES, STEPS = 2, (2, 3, 4, 5, 6, 7, 8, 9, 11, 13, 16, 20, 24), 64
+#: Texts of the simulation, letters in them, lengths from which on only one in each step of a scale is simulated, that step.
+TRIALS, LETTERS, EACH, GRID = 200, 60, 64, 1.25
 SHORTEST = 12
 BLOCK = 20_000
 STEP, PIECE = 1 << 15, 4 << 20
+#: Windows nearer than this part of their item's length are one.
+MERGED = 16
 #: Windows, for each 64 characters of their item, below which one at a time is faster.
 FEW = 6
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_FACTOR, _MIX = np.int32(0x01000193), np.uint32(0x9E3779B1)
+
+
+def _walks() -> tuple[np.ndarray, list[np.ndarray]]:
+    """Two words of random bits for each byte (bit t says whether a walk moves on at step t; the words also name the byte),
+    and the sampled steps of each repeat: every second one, as a walk often stays a step, the first repeat from step 0 on, so
+    that any text has a place in its sample."""
+    rng = np.random.default_rng(23)
+    word = rng.integers(0, 1 << 32, (2, 256), dtype=np.uint32).view(np.int32)
+    return word, [np.arange(r, STEPS, REPEATS) for r in range(REPEATS)]
+
+
+WORD, SAMPLED = _walks()
 
 
 def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,19 +81,42 @@ def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out[kept], np.concatenate(([0], np.cumsum(kept)))[offsets]
 
 
-def rolled(data: np.ndarray, q: int) -> np.ndarray:
-    """Hash of the q bytes from each place on."""
-    n = max(len(data) - q + 1, 0)
-    h = np.zeros(n, dtype=np.uint64)
+def walk(data: np.ndarray, n: int, wanted: dict[int, list[tuple[int, int]]]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(repeat, size, samples, pointers) of walks from each of the first n bytes, where wanted[step] asks for them.
+
+    data must reach `STEPS` bytes further.  A pointer stands at the last byte that its sample has.
+    """
+    words = [w[data] for w in WORD]
+    at = np.arange(n)
+    h = [np.zeros(n, dtype=np.int32) for _ in SAMPLED]
     with np.errstate(over="ignore"):
-        for k in range(q):
-            h = h * np.uint64(tx.BASE) + data[k : k + n]
-    return h
+        for t in range(max(wanted, default=-1) + 1):
+            v = words[t >> 5].take(at)
+            for r in range(REPEATS):
+                if _IN[r][t]:
+                    h[r] *= _FACTOR
+                    h[r] += v
+            for r, size in wanted.get(t, ()):
+                yield r, size, h[r].view(np.uint32), at
+            v >>= t & 31
+            v &= 1
+            at += v
+
+
+_IN = [np.isin(np.arange(STEPS), steps) for steps in SAMPLED]
+
+
+def steps_of(sizes: Iterable[tuple[int, int]]) -> dict[int, list[tuple[int, int]]]:
+    """The steps after which samples (repeat, size) are complete."""
+    out: dict[int, list[tuple[int, int]]] = {}
+    for r, size in sorted(sizes):
+        out.setdefault(int(SAMPLED[r][size - 1]), []).append((r, size))
+    return out
 
 
 def slot(h: np.ndarray, bits: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return ((h * _MIX) >> np.uint64(64 - bits)).view(np.int64)
+        return (h * _MIX) >> np.uint32(32 - bits)
 
 
 def whole(raw: bytes, a: int, b: int, lo: int, hi: int) -> bool:
@@ -83,19 +130,56 @@ def allowed(m: int) -> int:
     return int((1 - SIMILARITY) * m + 1e-9)
 
 
-def no_run(m: int, k: int, q: int) -> float:
-    """Probability that k edited places of m, at random, leave no run of q unedited ones."""
-    ways = sum((-1) ** j * math.comb(k + 1, j) * math.comb(m - j * q, k) for j in range(k + 2) if m - j * q >= k)
-    return float(Fraction(ways, math.comb(m, k)))
+def edited(text: list[int], k: int, rng: np.random.Generator) -> list[int]:
+    """text with k substitutions, insertions or deletions at different random places."""
+    out = list(text)
+    for i in sorted(rng.choice(len(text), k, replace=False).tolist(), reverse=True):
+        kind = rng.integers(3)
+        if kind == 0:
+            out[i] = (out[i] + 1 + int(rng.integers(LETTERS - 1))) % LETTERS
+        elif kind == 1:
+            del out[i]
+        else:
+            out.insert(i, int(rng.integers(LETTERS)))
+    return out
 
 
 @cache
-def seed_length(m: int) -> int:
-    """For items of m characters; beyond a thousand the length for a thousand, which is found more often there."""
-    m, q = min(m, 1000), 1
-    while q < MOST_SEED and 1 - no_run(m, allowed(m), q + 1) >= RECALL:
-        q += 1
-    return q
+def simulated(m: int) -> dict[int, float]:
+    """For each size of samples the share of items of m letters that are found in spite of all the edits allowed."""
+    rng = np.random.default_rng(m)
+    items = [rng.integers(0, LETTERS, m).tolist() for _ in range(TRIALS)]
+    sides = []
+    for texts in (items, [edited(x, math.ceil((1 - SIMILARITY) * m - 1e-9) if m >= EACH else allowed(m), rng) for x in items]):
+        size = np.array([len(x) for x in texts])
+        data = np.concatenate([*(np.array(x, dtype=np.uint8) + 1 for x in texts), np.zeros(STEPS, np.uint8)]).astype(np.uint8)
+        sides.append((data, int(size.sum()), np.repeat(np.arange(TRIALS), size), np.repeat(np.cumsum(size), size)))
+    found: dict[int, np.ndarray] = {k: np.zeros(TRIALS, dtype=bool) for k in SIZES}
+    wanted = steps_of((r, k) for r in range(REPEATS) for k in SIZES if k <= len(SAMPLED[r]))
+    for one, two in zip(*(walk(d, n, wanted) for d, n, _, _ in sides), strict=True):
+        keys = []
+        for (_, _, h, at), (_, _, trial, end) in zip((one, two), sides, strict=True):
+            keys.append((trial.astype(np.uint64) << np.uint64(32) | h)[at < end])
+        both = np.intersect1d(*keys)
+        trial = sides[0][2][one[3] < sides[0][3]]
+        found[one[1]][trial[np.isin(keys[0], both)]] = True
+    return {k: float(x.mean()) for k, x in found.items()}
+
+
+@cache
+def sample_size(m: int) -> int:
+    """Places in the samples of items of m characters: by the simulation of that length, all of whose items must be found, or
+    from `EACH` on of a length not above m (longer items of equal similarity are found more often)."""
+    length = float(EACH)
+    while length * GRID <= min(m, 1000):
+        length *= GRID
+    got = simulated(m if m < EACH else int(length))
+    size = SIZES[0]
+    for k in SIZES:
+        if got[k] < (RECALL if m >= EACH else 1):  # the letters of a short item are few, so its windows fail together
+            break
+        size = k
+    return size
 
 
 class Items:
@@ -108,25 +192,54 @@ class Items:
         raw = data.tobytes()
         self.raw = [raw[offsets[i] : offsets[i + 1]].rstrip() for i in range(len(ids))]
         self.text = [b.decode() for b in self.raw]
-        by: dict[int, list[int]] = {}
-        for k, b in enumerate(self.raw):
-            if b:
-                by.setdefault(seed_length(len(self.text[k])) if len(b) >= SHORTEST else len(b), []).append(k)
-        #: By length: bits of the hashes' slots, hashes in order, and the item and place of each.
-        self.tables: dict[int, tuple] = {}
-        for q, own in by.items():
-            part = [rolled(np.frombuffer(self.raw[k], np.uint8), q) for k in own]
-            h = np.concatenate(part)
+        by: dict[tuple[int, int], list[int]] = {}
+        ends = [0, *np.cumsum([len(x) for x in self.raw]).tolist()]
+        joined = np.frombuffer(b"".join(self.raw) + bytes(STEPS), np.uint8)
+        first = {x: k for k, x in reversed(list(enumerate(self.raw)))}
+        #: Items equal to one before, by that one.
+        self.same: dict[int, list[int]] = {}
+        short = []
+        for k, x in enumerate(self.raw):
+            if not x:
+                continue
+            if first[x] != k:
+                self.same.setdefault(first[x], []).append(k)
+            elif len(x) < SHORTEST:
+                short.append(k)
+            else:
+                for r in range(REPEATS):
+                    by.setdefault((r, sample_size(len(self.text[k]))), []).append(k)
+        #: By (repeat, size): bits of the samples' slots, samples in order, and the item and place of each.
+        self.tables: dict[tuple[int, int], tuple] = {}
+        parts: dict[tuple[int, int], list[tuple]] = {}
+        owner = np.repeat(np.arange(len(self.raw)), np.diff(ends))
+        place = np.arange(ends[-1]) - np.repeat(ends[:-1], np.diff(ends))
+        end = np.repeat(ends[1:], np.diff(ends))
+        for r, size, h, at in walk(joined, ends[-1], steps_of(by)):
+            own = np.isin(owner, by[r, size]) & (at < end)
+            parts.setdefault((r, size), []).append((h[own], owner[own], place[own]))
+        if short:  # from their first byte, as many places as they have
+            best: dict[int, tuple] = {}
+            starts = np.array([ends[k] for k in short])
+            for _, size, h, at in walk(joined, ends[-1], steps_of((0, k + 1) for k in range(len(SAMPLED[0])))):
+                for k, s in zip(short, starts.tolist(), strict=True):
+                    if at[s] < ends[k + 1]:
+                        best[k] = (size, h[s])
+            for k, (size, h) in best.items():
+                parts.setdefault((0, size), []).append((np.array([h], dtype=np.uint32), np.array([k]), np.array([0])))
+        for key, part in parts.items():
+            h, item, at = (np.concatenate(x) for x in zip(*part, strict=True))
             order = np.argsort(h, kind="stable")
-            bits = min(max(int(np.ceil(np.log2(32 * len(h)))), 16), 22)
+            bits = min(max(int(np.ceil(np.log2(32 * max(len(h), 1)))), 16), 22) if len(h) < 1 << 19 else min(int(np.ceil(np.log2(8 * len(h)))), 26)
             slots = np.zeros(1 << bits, dtype=bool)
             slots[slot(h, bits)] = True
-            self.tables[q] = (np.packbits(slots), h[order], np.repeat(own, [len(x) for x in part])[order], np.concatenate([np.arange(len(x)) for x in part])[order], bits)
+            self.tables[key] = (np.packbits(slots), h[order], item[order], at[order], bits)
 
     def open(self) -> None:
         """What is derived once in each worker."""
         if "slots" not in self.__dict__:
             self.slots = {q: np.unpackbits(t[0]).astype(bool) for q, t in self.tables.items()}
+            self.wanted = steps_of(self.tables)
             self.masks: dict[int, dict[str, int]] = {}
             self.planes: dict[int, np.ndarray] = {}
             letters = sorted(set().union(*self.text))
@@ -135,7 +248,7 @@ class Items:
             self.symbol[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("slots", "masks", "planes", "letter", "symbol")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("slots", "wanted", "masks", "planes", "letter", "symbol")}
 
     def search(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(row, item, edits, start) of the best place of every item found in a row; start in normalised bytes."""
@@ -144,13 +257,13 @@ class Items:
             return []
         data, offsets = normalise(data, offsets)
         rows, owners, starts = [], [], []
-        n, most = len(data), max(self.tables)
-        padded = np.concatenate((data, np.zeros(most, np.uint8)))
+        n = len(data)
+        padded = np.concatenate((data, np.zeros(STEPS, np.uint8)))
         for lo in range(0, n, STEP):  # so that all arrays stay in the cache
-            for q, at, item, place in self.seeds(padded[lo : lo + STEP + most], min(STEP, n - lo)):
+            for at, last, item, place in self.meetings(padded[lo : lo + STEP + STEPS], min(STEP, n - lo)):
                 at = at + lo
                 row = np.searchsorted(offsets, at, "right") - 1
-                within = at + q <= offsets[row + 1]
+                within = last + lo < offsets[row + 1]
                 rows.append(row[within])
                 owners.append(item[within])
                 starts.append((at - place)[within])
@@ -172,9 +285,9 @@ class Items:
                 if key not in best and whole(raw, s, s + size, int(offsets[r]), int(offsets[r + 1])) and raw[s : s + size] == self.raw[k]:
                     best[key] = (0, s - int(offsets[r]))
                 continue
-            if key in best or last[:2] == key and s - last[2] < max(1, size // 16):
+            if key in best or last[:2] == key and s - last[2] < max(1, size // MERGED):
                 continue  # a place within the slack of the one before gives the same window
-            slack = allowed(len(self.text[k])) + size // 16 + 4
+            slack = allowed(len(self.text[k])) + size // MERGED + 4
             lo, hi = max(int(offsets[r]), s - slack), min(int(offsets[r + 1]), s + size + slack)
             if hi <= lo:
                 continue
@@ -188,24 +301,20 @@ class Items:
         for (r, k, s, _, _), d in zip(todo, self.edits(data, raw, todo), strict=True):
             if d <= allowed(len(self.text[k])) and ((r, k) not in best or d < best[r, k][0]):
                 best[r, k] = (d, max(s - int(offsets[r]), 0))
-        return [(r, k, d, s) for (r, k), (d, s) in best.items()]
-
-    def seeds(self, data: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(length, places, items, places in the items) of the seeds that begin in the first n bytes."""
-        h = np.zeros(n, dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for q in range(1, max(self.tables) + 1):
-                h *= np.uint64(tx.BASE)
-                h += data[q - 1 : q - 1 + n]
-                t = self.tables.get(q)
-                if t is None:
-                    continue
-                maybe = np.flatnonzero(self.slots[q][slot(h, t[4])])
-                lo, hi = np.searchsorted(t[1], h[maybe], "left"), np.searchsorted(t[1], h[maybe], "right")
-                many = hi - lo
-                k = np.arange(int(many.sum())) + np.repeat(lo - (np.cumsum(many) - many), many)
-                if len(k):
-                    yield q, np.repeat(maybe, many), t[2][k], t[3][k]
+        found = [(r, k, d, s) for (r, k), (d, s) in best.items()]
+        return found + [(r, j, d, s) for r, k, d, s in found for j in self.same.get(k, ())]
+
+    def meetings(self, data: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(windows, their walks' ends, items, places in the items) where a sample of a window from one of the first n bytes is
+        an item's."""
+        for r, size, h, last in walk(data, n, self.wanted):
+            t = self.tables[r, size]
+            maybe = np.flatnonzero(self.slots[r, size][slot(h, t[4])])
+            lo, hi = np.searchsorted(t[1], h[maybe], "left"), np.searchsorted(t[1], h[maybe], "right")
+            many = hi - lo
+            k = np.arange(int(many.sum())) + np.repeat(lo - (np.cumsum(many) - many), many)
+            if len(k):
+                yield np.repeat(maybe, many), np.repeat(last[maybe], many), t[2][k], t[3][k]
 
     def edits(self, data: np.ndarray, raw: bytes, windows: list[tuple[int, int, int, int, int]]) -> list[int]:
         """Least edit distance of each window's item to any part of it (row, item, start, bytes from, to)."""
