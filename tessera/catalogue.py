@@ -87,6 +87,12 @@ add("optional_same_row", lambda: select(["?k", "?n", "?s"]).where(p.triple("?p",
 add("optional_chain", "SELECT ?id (COALESCE(?q, ?x, -1) AS ?r) WHERE { ?d t:doc_id ?id OPTIONAL { ?l t:document ?d ; t:quality ?q FILTER(?q = 1) } OPTIONAL { ?m t:document ?d ; t:toxic ?x } }", "select d.doc_id as id, coalesce(l.quality, m.toxic, -1)::bigint as r from documents d left join labels l on l.doc_id = d.doc_id and l.quality = 1 left join labels m on m.doc_id = d.doc_id")
 add("join_on_optional", "SELECT ?id ?q ?z WHERE { ?d t:doc_id ?id OPTIONAL { ?l t:document ?d ; t:quality ?q } { SELECT ?q ?z WHERE { VALUES (?q ?z) { (0 'no') (1 'yes') } } } }", "with x as (select d.doc_id as id, quality::bigint as q from documents d left join labels l on l.doc_id = d.doc_id) select id, v.q, z from x join (values (0::bigint, 'no'), (1::bigint, 'yes')) v(q, z) on x.q = v.q or x.q is null")
 add("minus_labels", "SELECT ?id WHERE { ?d t:doc_id ?id MINUS { ?l t:document ?d } }", "select doc_id as id from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)")
+add("minus_lineitem", "SELECT ?k ?n WHERE { ?l t:l_quantity 5 ; t:l_orderkey ?k ; t:l_linenumber ?n MINUS { ?l t:l_returnflag 'A' } }", "select l_orderkey as k, l_linenumber::bigint as n from lineitem where l_quantity = 5 and l_returnflag <> 'A'")
+add("not_exists_lineitem", "SELECT ?k ?q WHERE { ?l t:l_orderkey ?k ; t:l_quantity ?q FILTER(?q < 10) FILTER NOT EXISTS { ?l t:l_discount 0.05 } }", "select l_orderkey as k, l_quantity as q from lineitem where l_quantity < 10 and l_discount <> 0.05")
+add("optional_lineitem", "SELECT ?k ?d WHERE { ?l t:l_returnflag 'R' ; t:l_orderkey ?k OPTIONAL { ?l t:l_linestatus 'F' ; t:l_discount ?d } }", "select l_orderkey as k, case when l_linestatus = 'F' then l_discount end as d from lineitem where l_returnflag = 'R'")
+add("optional_on_optional", "SELECT ?id ?q ?z WHERE { ?d t:doc_id ?id OPTIONAL { ?l t:document ?d ; t:quality ?q } OPTIONAL { ?r t:r_regionkey ?q ; t:r_name ?z } }", "select d.doc_id as id, coalesce(l.quality, r.r_regionkey)::bigint as q, r_name as z from documents d left join labels l on l.doc_id = d.doc_id left join region r on l.quality is null or r.r_regionkey = l.quality")
+add("minus_on_optional", "SELECT ?id ?q WHERE { ?d t:doc_id ?id OPTIONAL { ?l t:document ?d ; t:quality ?q } MINUS { ?r t:r_regionkey ?q FILTER(?q > 0) } }", "select d.doc_id as id, quality::bigint as q from documents d left join labels l on l.doc_id = d.doc_id where quality is null or quality not in (select r_regionkey from region where r_regionkey > 0)")
+add("not_exists_on_optional", "SELECT ?id ?q WHERE { ?d t:doc_id ?id OPTIONAL { ?l t:document ?d ; t:quality ?q } FILTER NOT EXISTS { ?r t:r_regionkey ?q FILTER(?q > 0) } }", "select d.doc_id as id, quality::bigint as q from documents d join labels l on l.doc_id = d.doc_id where quality not in (select r_regionkey from region where r_regionkey > 0)")
 add("minus_disjoint", "SELECT ?k WHERE { ?n t:n_nationkey ?k MINUS { ?r t:r_regionkey ?z } }", "select n_nationkey::bigint as k from nation")
 add("exists", "SELECT ?k WHERE { ?c t:c_custkey ?k FILTER EXISTS { ?o t:customer ?c ; t:o_totalprice ?tp FILTER(?tp > 400000) } }", "select c_custkey as k from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 400000)")
 add("not_exists", "SELECT ?k WHERE { ?c t:c_custkey ?k FILTER NOT EXISTS { ?o t:customer ?c ; t:o_totalprice ?tp FILTER(?tp > 400000) } }", "select c_custkey as k from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 400000)")
@@ -109,6 +115,8 @@ add("replace", "SELECT ?k (REPLACE(?n, '[aeiou]', '_') AS ?r) WHERE { ?p t:p_par
 add("encode_uri", "SELECT ?k (ENCODE_FOR_URI(CONCAT(?n, ' /~*é')) AS ?e) WHERE { ?p t:p_partkey ?k ; t:p_name ?n }", "select p_partkey as k, url_encode(p_name || ' /~*é') as e from part")
 add("hashes", "SELECT ?k (MD5(?n) AS ?a) (SHA1(?n) AS ?b) (SHA256(?n) AS ?c) WHERE { ?x t:n_nationkey ?k ; t:n_name ?n }", "select n_nationkey::bigint as k, md5(n_name) as a, sha1(n_name) as b, sha256(n_name) as c from nation")
 add("hashes_long", "SELECT ?k (SHA384(?n) AS ?a) (SHA512(?n) AS ?b) WHERE { ?x t:n_nationkey ?k ; t:n_name ?n }")
+add("iri_func", "SELECT ?k ?same (IRI(CONCAT('http://example.org/n/', STR(?k))) AS ?i) (ISIRI(URI('http://example.org/x')) AS ?yes) WHERE { ?x t:n_nationkey ?k ; t:n_name ?n BIND(IRI(STR(?x)) = ?x AS ?same) }", "select n_nationkey::bigint as k, true as same, 'http://example.org/n/' || n_nationkey as i, true as yes from nation")
+add("bnode_func", "SELECT (COUNT(DISTINCT ?b) AS ?n) (SUM(IF(ISBLANK(?b), 1, 0)) AS ?blank) WHERE { ?x t:n_name ?name BIND(BNODE() AS ?b) }", "select count(*) as n, count(*)::bigint as blank from nation")
 add("type_checks", "SELECT ?k (ISIRI(?x) AS ?i) (ISLITERAL(?n) AS ?l) (ISBLANK(?x) AS ?b) (ISNUMERIC(?k) AS ?num) (DATATYPE(?k) AS ?d) (LANG(?n) AS ?g) (BOUND(?none) AS ?nb) (SAMETERM(?k, ?k) AS ?same) WHERE { ?x t:n_nationkey ?k ; t:n_name ?n }", "select n_nationkey::bigint as k, true as i, true as l, false as b, true as num, 'http://www.w3.org/2001/XMLSchema#integer' as d, '' as g, false as nb, true as same from nation")
 add("casts", "SELECT ?k (xsd:string(?k) AS ?s) (xsd:double(?k) AS ?d) (xsd:integer(?b) AS ?i) (xsd:boolean(?k) AS ?z) (xsd:integer(?n) AS ?bad) WHERE { ?x t:c_custkey ?k ; t:c_acctbal ?b ; t:c_name ?n }", "select c_custkey as k, c_custkey::varchar as s, c_custkey::double as d, trunc(c_acctbal)::bigint as i, c_custkey <> 0 as z, null::bigint as bad from customer")
 add("lang_funcs", "SELECT ?k (LANG(?s) AS ?g) (LANGMATCHES(LANG(?s), 'en') AS ?m) (STR(?s) AS ?x) WHERE { ?n t:n_nationkey ?k ; t:n_name ?a BIND(STRLANG(?a, 'en-GB') AS ?s) }", "select n_nationkey::bigint as k, 'en-gb' as g, true as m, n_name as x from nation")
@@ -118,6 +126,7 @@ add("now_uuid_rand", "SELECT (COUNT(?u) AS ?n) (COUNT(DISTINCT ?u) AS ?d) WHERE
 # --- aggregates
 add("agg_basic", "SELECT ?rf ?ls (SUM(?q) AS ?sum_qty) (SUM(?e) AS ?sum_base) (AVG(?q) AS ?avg_qty) (MIN(?e) AS ?lo) (MAX(?e) AS ?hi) (COUNT(*) AS ?n) WHERE { ?l t:l_returnflag ?rf ; t:l_linestatus ?ls ; t:l_quantity ?q ; t:l_extendedprice ?e } GROUP BY ?rf ?ls", "select l_returnflag as rf, l_linestatus as ls, sum(l_quantity) as sum_qty, round(sum(l_extendedprice), 2) as sum_base, round(avg(l_quantity), 6) as avg_qty, min(l_extendedprice) as lo, max(l_extendedprice) as hi, count(*) as n from lineitem group by all", after=lambda df: df.withColumn("sum_base", F.round("sum_base", 2)).withColumn("avg_qty", F.round("avg_qty", 6)))
 add("agg_distinct", lambda: select([v("s"), x.count_distinct("?c").as_("n")]).where(T_("?o", {"t:o_orderstatus": v("s"), "t:customer": v("c")})).group_by("?s"), "select o_orderstatus as s, count(distinct o_custkey) as n from orders group by all")
+add("avg_exact", "SELECT ?r (AVG(xsd:decimal(?k) / 8) AS ?a) (AVG(?k) AS ?b) WHERE { ?n t:n_nationkey ?k ; t:n_regionkey ?r } GROUP BY ?r", "select n_regionkey::bigint as r, avg(n_nationkey) / 8 as a, avg(n_nationkey) as b from nation group by all", after=lambda df: df.withColumns({n: F.col(n).cast("double") for n in ("a", "b")}))
 add("agg_empty", "SELECT (COUNT(*) AS ?n) (SUM(?k) AS ?s) (AVG(?b) AS ?a) (MIN(?k) AS ?lo) WHERE { ?c t:c_custkey ?k ; t:c_acctbal ?b FILTER(false) }", "select 0::bigint as n, 0::bigint as s, 0.0::double as a, null::bigint as lo")
 add("group_concat", lambda: select([v("r"), x.group_concat("?n", ", ").as_("names")]).where("?a t:n_name ?n ; t:region ?b . ?b t:r_name ?r").group_by("?r"), "select r_name as r, string_agg(n_name, ', ' order by n_name) as names from nation join region on n_regionkey = r_regionkey group by all")
 add("sample", "SELECT ?r (SAMPLE(?n) AS ?one) WHERE { ?a t:n_name ?n ; t:region ?b . ?b t:r_name ?r } GROUP BY ?r", "select r_name as r, min(n_name) as one from nation join region on n_regionkey = r_regionkey group by all")
@@ -157,7 +166,8 @@ _TREE = ("customer", "c_custkey", "case when c_custkey > 1 then cast(floor(c_cus
 _CYCLE = ("nation", "n_nationkey", "cast((7 * n_nationkey + 1) % 25 as bigint)")
 _TREE_SQL = "e as (select c_custkey as a, c_custkey // 2 as b from customer where c_custkey > 1)"
 plain("path_plus_tree", lambda s, d: _numbers(_edges(s, d, *_TREE).dataframe("SELECT ?x ?y WHERE { ?x t:next+ ?y }")), f"with recursive {_TREE_SQL}, r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a) select a as x, b as y from r")
-plain("path_star_tree", lambda s, d: _numbers(_edges(s, d, *_TREE).dataframe("SELECT ?x ?y WHERE { ?x t:id ?i FILTER(?i < 40) ?x t:next* ?y }")), f"with recursive {_TREE_SQL}, r as (select c_custkey as a, c_custkey as b from customer where c_custkey < 40 union select r.a, e.b from r join e on r.b = e.a) select a as x, b as y from r")
+plain("path_star_tree", lambda s, d: _numbers(_edges(s, d, *_TREE).dataframe("SELECT ?x ?y WHERE { ?x t:id ?i . ?x t:next* ?y }")), f"with recursive {_TREE_SQL}, r as (select c_custkey as a, c_custkey as b from customer union select r.a, e.b from r join e on r.b = e.a) select a as x, b as y from r")
+add("path_star_free", "SELECT ?x ?y WHERE { ?x t:region* ?y }", f"with n as (select '{DATA}nation/' || n_nationkey as x from nation union select '{DATA}region/' || n_regionkey from nation union select n_nationkey::varchar from nation union select n_regionkey::varchar from nation union select n_name from nation union select '{T.Nation}') select x, x as y from n union all select '{DATA}nation/' || n_nationkey, '{DATA}region/' || n_regionkey from nation", after=lambda df: df.select(F.col("x.lex").alias("x"), F.col("y.lex").alias("y")), only=["nation"])
 plain("path_plus_cycle", lambda s, d: _numbers(_edges(s, d, *_CYCLE).dataframe("SELECT ?x ?y WHERE { ?x t:next+ ?y }")), "with recursive e as (select n_nationkey::bigint as a, ((7 * n_nationkey + 1) % 25)::bigint as b from nation), r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a) select a as x, b as y from r")
 plain("path_plus_to_const", lambda s, d: _numbers(_edges(s, d, *_TREE).dataframe(f"SELECT ?x WHERE {{ ?x t:next+ <{DATA}node/3> }}")), f"with recursive {_TREE_SQL}, r as (select a from e where b = 3 union select e.a from r join e on e.b = r.a) select a as x from r")
 
@@ -229,11 +239,10 @@ def _load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements written as N-Triples in the shared folder, loaded into a graph, read back."""
     from uuid import uuid4
 
-    from tessera.operators.lineage import checkpoint
+    from tessera.operators.lineage import folder
     from tessera.sources.rdf import write_ntriples
 
-    checkpoint(spark.range(1))  # names the folder where the session doesn't
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/triples-{uuid4().hex}"
+    path = f"{folder(spark)}/triples-{uuid4().hex}"
     write_ntriples(quads_of_tables(spark, sf_dir).select("s", "p", "o"), path)
     e = Engine(Catalog(spark), PREFIXES)
     e.update(p_load(path))
@@ -280,6 +289,7 @@ add("ask_false", "ASK { ?c t:c_acctbal ?b FILTER(?b > 1e12) }", "select false as
 add("construct_blank", "CONSTRUCT { ?n t:place [ t:inside ?r ] } WHERE { ?n t:region ?r }", "select 2 * count(*) as n, count(*) as nodes from nation", after=lambda df: df.agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("s.kind") == 0, F.col("s.lex"))).alias("nodes")))
 add("describe_var", "DESCRIBE ?r WHERE { ?r t:r_regionkey 1 }", f"select '{DATA}region/1' as s, p, o from (select 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' as p, 'http://example.org/tables#Region' as o union all select 'http://example.org/tables#r_regionkey', '1' union all select 'http://example.org/tables#r_name', (select r_name from region where r_regionkey = 1) union all select 'http://www.w3.org/2000/01/rdf-schema#label', (select r_name from region where r_regionkey = 1))", after=_spo)
 plain("quoted_triple", _updated("INSERT { << ?n t:region ?r >> t:certainty ?k } WHERE { ?n t:region ?r ; t:n_nationkey ?k }", "SELECT ?n ?k WHERE { << ?n t:region <http://example.org/data/region/2> >> t:certainty ?k }"), f"select '{DATA}nation/' || n_nationkey as n, n_nationkey::varchar as k from nation where n_regionkey = 2")
+plain("rel_properties", _updated("INSERT { ?n t:region ?r . _:e a rdf:Statement ; rdf:subject ?n ; rdf:predicate t:region ; rdf:object ?r ; t:weight ?k ; t:kind 'edge' } WHERE { ?n t:region ?r ; t:n_nationkey ?k }", select(["?n", "?k"]).where(p.match(p.rel(p.node("n"), "t:region", p.node("r").prop("t:r_name", "ASIA")).with_.props({"t:weight": v("k")}).and_.prop("t:kind", "edge")))), f"select '{DATA}nation/' || n_nationkey as n, n_nationkey::varchar as k from nation join region on n_regionkey = r_regionkey where r_name = 'ASIA'")
 plain("rdf_list", _updated("INSERT DATA { d:x t:items (10 20 30) }", f"SELECT ?i WHERE {{ <{DATA}x> t:items/rdf:rest*/rdf:first ?i }}"), "select unnest(['10', '20', '30']) as i")
 plain("update_using", _updated(_G + "INSERT { ?s t:seen ?n } USING d:g1 USING d:g2 WHERE { ?s t:n_name ?n }", "SELECT ?s ?n WHERE { ?s t:seen ?n }"), f"{_N} where n_regionkey in (1, 2)")
 plain("path_both_ways", lambda s, d: _numbers(_edges(s, d, *_CYCLE).dataframe(f"SELECT ?y WHERE {{ <{DATA}node/3> (t:next|^t:next)* ?y }}")), "with recursive e as (select n_nationkey::bigint as a, ((7 * n_nationkey + 1) % 25)::bigint as b from nation), f as (select a, b from e union select b, a from e), r as (select 3::bigint as y union select f.b from r join f on r.y = f.a) select y from r")

@@ -31,12 +31,14 @@ NATIVE = {XSD.string: "string", XSD.integer: "bigint", XSD.decimal: "decimal(38,
 
 @dataclass(frozen=True)
 class Info:
-    """What is known of a variable: kind lit, iri, bnode or term; datatype of lit; prefix of an IRI kept as a key."""
+    """What is known of a variable: kind lit, iri, bnode or term; datatype of lit; prefix of an IRI kept as a key; whether it
+    names a row by its number in one scan, which no other scan gives again."""
 
     kind: str
     dt: str | None = None
     prefix: str | None = None
     nullable: bool = False
+    row: bool = False
 
     @property
     def same(self) -> tuple:
@@ -109,7 +111,7 @@ def lift(v: Val) -> Val:
     if i.kind == "term":
         return v
     kind = {"iri": IRI_KIND, "bnode": BLANK, "lit": LITERAL}[i.kind]
-    return Val(term(kind, lexical(v), F.lit(i.dt) if i.kind == "lit" else None), Info("term", nullable=i.nullable))
+    return Val(term(kind, lexical(v), F.lit(i.dt) if i.kind == "lit" else None), Info("term", nullable=i.nullable, row=i.row))
 
 
 def constant(x: t.Expr) -> Val:
@@ -200,7 +202,8 @@ def arithmetic(op: str, a: Val, b: Val) -> Val:
                 x, y = x.cast("double"), y.cast("double")
                 out = F.when(y != 0, x / F.when(y != 0, y)).when(F.isnan(x) | (x == 0), F.lit(float("nan"))).when(x > 0, F.lit(float("inf"))).when(x < 0, F.lit(float("-inf")))
                 return Val(out, Info("lit", dt, nullable=True))
-            return Val(F.try_divide(x.cast("decimal(38,10)"), y.cast("decimal(38,10)")).cast("decimal(38,18)"), Info("lit", XSD.decimal, nullable=True))
+            kind = "decimal(20,0)" if dt == XSD.integer else "decimal(38,10)"  # a quotient of integers has 18 digits after the point
+            return Val(F.try_divide(x.cast(kind), y.cast(kind)).cast("decimal(38,18)"), Info("lit", XSD.decimal, nullable=True))
         f = {"add": F.try_add, "sub": F.try_subtract, "mul": F.try_multiply, "mod": F.try_mod}[op]
         if dt == XSD.decimal:
             # operands at a scale that keeps the result's digits
@@ -221,6 +224,11 @@ def arithmetic(op: str, a: Val, b: Val) -> Val:
     return Val(number_term(out, r), replace(TERM_INFO, nullable=True))
 
 
+def quotient(total: Column, n: Column) -> Column:
+    """A sum of integers or decimals by their number, to 18 digits after the point."""
+    return F.try_divide(total.cast("decimal(38,18)"), n.cast("decimal(19,0)")).cast("decimal(38,18)")
+
+
 def unary(op: str, a: Val) -> Val:
     f = {
         "abs": F.abs,

@@ -1,7 +1,9 @@
 """Property paths: sequences, alternatives and inverses become joins and unions; closures a semi-naive loop.
 
-Each round joins only the pairs found last to the edges, drops known pairs with an anti-join, and cuts the lineage.  A
-bound end seeds the loop, so only what is reachable from it is explored.
+Each round joins only the pairs found last, drops known pairs with an anti-join, and checkpoints what is new (what was
+known stays where it was written).  A bound end seeds the loop, so only what is reachable from it is explored, an edge a
+round; where no end is bound, new pairs are joined to all pairs, so a round doubles the length and their number is
+logarithmic.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ from typing import TYPE_CHECKING
 from pyspark.sql import functions as F
 
 from tessera import terms as t
-from tessera.errors import QueryError
 from tessera.functions import columns as c
 from tessera.functions.columns import Val
 from tessera.operators.lineage import checkpoint
@@ -100,17 +101,16 @@ def closure(z: Compiler, s: object, p: a.Path, o: object, active: Active, bound:
     pairs = first
     if p.op in ("plus", "star"):
         step = checkpoint(step)
-        known = front = checkpoint(first)
+        known = front = step if start is None else checkpoint(first)
         while not front.isEmpty():
-            ahead = front.select(F.col("a").alias("from"), F.col("b").alias("mid")).join(step, F.col("mid") == F.col("a")).select(F.col("from").alias("a"), "b").distinct()
+            more = known if start is None else step
+            ahead = front.select(F.col("a").alias("from"), F.col("b").alias("mid")).join(more, F.col("mid") == F.col("a")).select(F.col("from").alias("a"), "b").distinct()
             front = checkpoint(ahead.join(known.select(F.col("a").alias("ka"), F.col("b").alias("kb")), (F.col("a") == F.col("ka")) & (F.col("b") == F.col("kb")), "left_anti"))
-            known = checkpoint(known.union(front))
+            known = known.union(front)
         pairs = known
     if p.op in ("star", "opt"):
         if start is None:
-            nodes = _all_nodes(z, active, info)
-            if nodes is None:
-                raise QueryError("analysis", "a path that may have length zero needs a bound end on mapped tables")
+            nodes = _all_nodes(z, active)
             if info.kind != "term":
                 pairs = pairs.select(c.lift(Val(F.col("a"), info)).col.alias("a"), c.lift(Val(F.col("b"), info)).col.alias("b"))
                 info = c.TERM_INFO
@@ -132,8 +132,9 @@ def closure(z: Compiler, s: object, p: a.Path, o: object, active: Active, bound:
     return Rel(out.select(*[F.col(vars[n]).alias(names[n][0]) for n in vars]).distinct() if len(vars) < 2 else out.select(*[F.col(vars[n]).alias(names[n][0]) for n in vars]), names)
 
 
-def _all_nodes(z: Compiler, active: Active, info):
-    quads = z.quads(active)
-    if quads is None or z.maps(active):
-        return None
-    return quads.select(F.col("s").alias("n")).union(quads.select(F.col("o").alias("n"))).distinct()
+def _all_nodes(z: Compiler, active: Active):
+    """Subjects and objects of all statements, of quads and mapped tables."""
+    x, q, y = (t.Var(_hidden()) for _ in range(3))
+    every = z.bgp([a.Triple(x, q, y)], active)
+    ends = [every.df.select(c.lift(every.val(v.name)).col.alias("n")) for v in (x, y)]
+    return ends[0].union(ends[1]).distinct()

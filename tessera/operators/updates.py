@@ -1,4 +1,8 @@
-"""Updates on immutable snapshots of the quad table: every operation gives a new catalog, lineage cut by a checkpoint.
+"""Updates on immutable snapshots of the quad table: every operation gives a new catalog.
+
+An operation writes what it changes, not the table: insertions are checkpointed and added to the plan of the table,
+deletions are an anti-join on it (by broadcast where a count shows that they are few); after `PENDING` operations the
+whole table is checkpointed, which cuts the lineage.  The table is a set, so only new statements are compared with it.
 
 WHERE is evaluated once, on the old state; deletions come before insertions.  Statements of mapped tables can be matched
 but not changed, and an insertion that they already make is still stored.
@@ -23,16 +27,31 @@ from tessera.plans.compiler import Active, Compiler, Rel
 from tessera.sources.catalog import Catalog
 
 _KEYS = ["g", "s", "p", "o"]
+#: Operations after which the table is written again, and statements that are broadcast at most.
+PENDING, FEW = 8, 100_000
+
+
+def _few(y: DataFrame) -> DataFrame:
+    """y, of checkpointed rows, to be broadcast if it is small."""
+    return F.broadcast(y) if y.limit(FEW + 1).count() <= FEW else y
+
+
+def _same() -> Any:
+    return reduce(lambda m, n: m & n, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in _KEYS])
+
+
+def _renamed(y: DataFrame) -> DataFrame:
+    return y.select(*[F.col(k).alias(f"{k}_") for k in _KEYS])
 
 
 def _unite(x: DataFrame, y: DataFrame) -> DataFrame:
-    return x.unionByName(y).distinct()
+    y = checkpoint(y.distinct())
+    there = x.join(_few(_renamed(y)), _same(), "left_semi")
+    return x.unionByName(checkpoint(y.join(_renamed(there), _same(), "left_anti")))
 
 
 def _without(x: DataFrame, y: DataFrame) -> DataFrame:
-    y = y.select(*[F.col(k).alias(f"{k}_") for k in _KEYS])
-    on = reduce(lambda m, n: m & n, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in _KEYS])
-    return x.join(y, on, "left_anti")
+    return x.join(_few(_renamed(checkpoint(y.distinct()))), _same(), "left_anti")
 
 
 def _of_graph(q: DataFrame, g: str | None) -> DataFrame:
@@ -52,7 +71,9 @@ def run_update(catalog: Catalog, op: a.Update, prefixes: dict[str, str] | None =
             return catalog
         raise
     if out.quads is not None and out.quads is not catalog.quads:
-        out.quads = checkpoint(out.quads)
+        out.pending = catalog.pending + 1
+        if out.pending >= PENDING:
+            out.quads, out.pending = checkpoint(out.quads), 0
     return out
 
 

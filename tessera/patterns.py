@@ -148,22 +148,37 @@ def node(name: Any, type_: Any = None, props: dict | None = None) -> Node:
 class Rel:
     """An edge; with properties also a reified statement."""
 
-    def __init__(self, source: Any, p: Any, target: Any, props: tuple = ()):
-        self.source, self.p, self.target, self.props = source, p, target, props
+    def __init__(self, source: Any, p: Any, target: Any, facts: tuple = ()):
+        self.source, self.p, self.target, self.facts = source, p, target, facts
 
     def prop(self, p: Any, *values: Any) -> Rel:
-        return Rel(self.source, self.p, self.target, (*self.props, *((p, x) for x in values)))
+        return Rel(self.source, self.p, self.target, (*self.facts, *((p, x) for x in values)))
+
+    def props(self, facts: dict) -> Rel:
+        more = tuple((p, x) for p, o in facts.items() for x in (o if isinstance(o, list | tuple) else [o]))
+        return Rel(self.source, self.p, self.target, (*self.facts, *more))
+
+    properties = props
+
+    @property
+    def is_(self) -> Rel:
+        return self
+
+    with_ = and_ = that = has = is_
 
     def elements(self) -> list[a.Triple]:
         s, o = (x.term if isinstance(x, Node) else resource(x) for x in (self.source, self.target))
         p = predicate(self.p)
         out = [a.Triple(s, p, o)]
-        if self.props:
+        for x in (self.source, self.target):
+            if isinstance(x, Node):
+                out += x.elements()
+        if self.facts:
             statement = t.BNode(f"rel{zlib.crc32(repr((s, p, o)).encode()):08x}")
             out += [a.Triple(statement, t.IRI(RDF.type), t.IRI(RDF.Statement)), a.Triple(statement, t.IRI(RDF.subject), s), a.Triple(statement, t.IRI(RDF.predicate), p), a.Triple(statement, t.IRI(RDF.object), o)]
-            for q, x in self.props:
+            for q, x in self.facts:
                 out += triple(statement, q, x)
-        return out
+        return list(dict.fromkeys(out))
 
 
 def rel(source: Any, p: Any, target: Any) -> Rel:

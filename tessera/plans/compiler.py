@@ -199,7 +199,7 @@ class Compiler:
         out: dict[str, Val] = {}
         where: list[Column] = []
         if m.key is None:
-            key = Val(F.monotonically_increasing_id(), Info("iri", prefix=m.subject))
+            key = Val(F.monotonically_increasing_id(), Info("iri", prefix=m.subject, row=True))
         elif isinstance(m.key, str):
             got = native(df, m.key)
             key = Val(got.col, Info("iri", prefix=m.subject))
@@ -403,6 +403,8 @@ class Compiler:
         """Both with the named variables in one form (term identity is then column equality)."""
         names = list(names)
         for n in names:
+            if x.vars[n][1].row and y.vars[n][1].row:
+                raise QueryError("analysis", f"?{n} names rows of a class without a key, which two patterns can't share")
             if x.vars[n][1].same != y.vars[n][1].same:
                 x, y = self.lifted(x, n), self.lifted(y, n)
         return x, y
@@ -458,59 +460,76 @@ class Compiler:
         df = left.join(right, on).drop(*renamed.values())
         return Rel(df, {**y.vars, **x.vars}, small=x.small and y.small)
 
-    def _condition(self, x: Rel, y: Rel, shared: list[str], cols: dict[str, str]) -> Column | None:
-        parts = []
-        for n in shared:
-            p, q = F.col(x.vars[n][0]), F.col(cols[n])
-            k = p == q
-            if not (x.certain(n) and y.certain(n)):
-                k = k | p.isNull() | q.isNull()
-            parts.append(k)
+    @staticmethod
+    def _condition(x: Rel, shared: list[str], cols: dict[str, str]) -> Column | None:
+        parts = [F.col(x.vars[n][0]) == F.col(cols[n]) for n in shared]
         return reduce(lambda p, q: p & q, parts) if parts else None
 
-    def left_join(self, x: Rel, y: Rel, exprs: list[t.Expr], active: Active | None = None) -> Rel:
+    @staticmethod
+    def loose(x: Rel, y: Rel) -> str | None:
+        """A shared variable that may be unbound on a side."""
+        return next((n for n in x.vars if n in y.vars and not (x.certain(n) and y.certain(n))), None)
+
+    def left_join(self, x: Rel, y: Rel, exprs: list[t.Expr]) -> Rel:
+        """Rows of x with their compatible rows of y, or alone. A variable that may be unbound splits both sides, so that
+        every join has equal keys."""
         shared = [n for n in x.vars if n in y.vars]
         x, y = self.aligned(x, y, shared)
+        if n := self.loose(x, y):
+            parts = []
+            for xs in self.split(x, n):
+                ys = self.split(y, n) if n in xs.vars else [y]
+                if len(ys) == 1:
+                    parts.append(self.left_join(xs, ys[0], exprs))
+                    continue
+                for part in ys:
+                    both = self.join(xs, part)
+                    for e in exprs:
+                        both = Rel(both.df.filter(c.ebv(both.scope().value(self.expr(e)))), both.vars)
+                    parts.append(both)
+                parts.append(reduce(lambda r, part: self.anti(r, part, "left_anti", minus=False, exprs=exprs), ys, xs))
+            return reduce(self.union, parts)
         right = F.broadcast(y.df) if y.small else y.df
         cols = {n: fresh() for n in shared}
         for n in shared:
             right = right.withColumnRenamed(y.vars[n][0], cols[n])
-        on = self._condition(x, y, shared, cols)
-        scope = Scope({**{n: Val(F.col(col), i) for n, (col, i) in y.vars.items() if n not in cols}, **{n: Val(F.coalesce(F.col(x.vars[n][0]), F.col(cols[n])), x.vars[n][1]) if n in cols else x.val(n) for n in x.vars}})
+        on = self._condition(x, shared, cols)
+        scope = Scope({**{n: Val(F.col(col), i) for n, (col, i) in y.vars.items() if n not in cols}, **{n: x.val(n) for n in x.vars}})
         for e in exprs:
             k = c.ebv(scope.value(self.expr(e)))
             on = k if on is None else on & k
         df = x.df.join(right, on if on is not None else F.lit(True), "left")
         vars = {n: (col, replace(i, nullable=True)) for n, (col, i) in y.vars.items() if n not in cols}
-        for n, (col, i) in x.vars.items():
-            if n in cols and i.nullable:
-                new = fresh()
-                df = df.withColumn(new, F.coalesce(F.col(col), F.col(cols[n])))
-                vars[n] = (new, i)
-            else:
-                vars[n] = (col, i)
-        return Rel(df.drop(*cols.values()), vars)
+        return Rel(df.drop(*cols.values()), {**vars, **x.vars})
 
     def anti(self, x: Rel, y: Rel, how: str, minus: bool, exprs: list[t.Expr] = ()) -> Rel:
-        """Rows of x without (or, semi, with) a compatible row of y."""
+        """Rows of x without (or, semi, with) a compatible row of y; split like those of left_join."""
         shared = [n for n in x.vars if n in y.vars]
         if minus and not shared:
             return x
         x, y = self.aligned(x, y, shared)
+        if n := self.loose(x, y):
+            parts = []
+            for rest in self.split(x, n):
+                for part in self.split(y, n) if n in rest.vars else [y]:
+                    if how == "left_semi":
+                        parts.append(self.anti(rest, part, how, minus, exprs))
+                    rest = self.anti(rest, part, "left_anti", minus, exprs)
+                if how == "left_anti":
+                    parts.append(rest)
+            out = reduce(self.union, parts)
+            return Rel(out.df, {n: out.vars[n] for n in x.vars})
         cols = {n: fresh() for n in shared}
         right = y.df
         for n in shared:
             right = right.withColumnRenamed(y.vars[n][0], cols[n])
-        on = self._condition(x, y, shared, cols)
-        if minus and not any(x.certain(n) and y.certain(n) for n in shared):
-            both = reduce(lambda p, q: p | q, [F.col(x.vars[n][0]).isNotNull() & F.col(cols[n]).isNotNull() for n in shared])
-            on = on & both
+        on = self._condition(x, shared, cols)
         if exprs:
             scope = Scope({**{n: Val(F.col(cols.get(n, col)), i) for n, (col, i) in y.vars.items()}, **{n: x.val(n) for n in x.vars}})
             for e in exprs:
                 k = c.ebv(scope.value(self.expr(e)))
                 on = k if on is None else on & k
-        if not exprs and shared and all(y.certain(n) for n in shared):
+        if not exprs and shared:
             right = right.select(*cols.values())
         df = x.df.join(right, on if on is not None else F.lit(True), how)
         return Rel(df, x.vars)
@@ -732,7 +751,8 @@ class Compiler:
         hidden: dict[object, Val] = {}
         for e in {x for y in exprs for x in t.walk(y) if isinstance(x, t.Exists)}:
             row, mark = fresh(), fresh()
-            marked = Rel(rel.df.withColumn(row, F.monotonically_increasing_id()), rel.vars)
+            name = HIDDEN + row
+            marked = Rel(rel.df.withColumn(row, F.monotonically_increasing_id()), {**rel.vars, name: (row, c.INTEGER)})
             inner, outer = self._inner(rel, e, active)
             shared = [n for n in rel.vars if n in inner.vars]
             if not outer and shared and all(rel.certain(n) and inner.certain(n) for n in shared):
@@ -742,8 +762,9 @@ class Compiler:
                 on = reduce(lambda p, q: p & q, [F.col(x.vars[n][0]) == F.col(keys[n]) for n in shared])
                 rel = Rel(x.df.join(right, on, "left").drop(*keys.values()), x.vars)
             else:
-                marked = Rel(checkpoint(marked.df), rel.vars)
-                kept = self.anti(marked, inner, "left_semi", minus=False, exprs=outer).df.select(F.col(row).alias(row + "r"), F.lit(True).alias(mark))
+                marked = Rel(checkpoint(marked.df), marked.vars)
+                found = self.anti(marked, inner, "left_semi", minus=False, exprs=outer)
+                kept = found.df.select(F.col(found.vars[name][0]).alias(row + "r"), F.lit(True).alias(mark))
                 rel = Rel(marked.df.join(kept, F.col(row) == F.col(row + "r"), "left").drop(row, row + "r"), rel.vars)
             found = F.coalesce(F.col(mark), F.lit(False))
             hidden[e] = Val(~found if e.negated else found, c.BOOLEAN)
@@ -865,12 +886,17 @@ class Compiler:
                 zero = F.lit(0)
                 if v.info.dt == XSD.integer:
                     total = F.try_sum(n) if not x.distinct else total
+                    if x.op == "avg":  # the sum may be wider than the numbers
+                        wide = n.cast("decimal(20,0)")
+                        total = F.sum_distinct(wide) if x.distinct else F.sum(wide)
                 if x.op == "sum":
                     kind = c.NATIVE[v.info.dt]
                     return [total, bad, number], lambda s, b, n: Val(F.when(b == 0, F.when(n == 0, zero).otherwise(s)).cast(kind), maybe(v.info))
                 info = c.DECIMAL if v.info.dt in (XSD.integer, XSD.decimal) else c.DOUBLE
                 kind = c.NATIVE[info.dt]
-                mean = F.avg(n.cast("decimal(38,10)") if info is c.DECIMAL else n) if not x.distinct else F.sum_distinct(n) / F.when(number != 0, number)
+                if info is c.DECIMAL:
+                    return [total, bad, number], lambda s, b, n: Val(F.when(b == 0, F.when(n == 0, zero.cast(kind)).otherwise(c.quotient(s, n))), maybe(info))
+                mean = F.avg(n) if not x.distinct else F.sum_distinct(n) / F.when(number != 0, number)
                 return [mean, bad, number], lambda s, b, n: Val(F.when(b == 0, F.when(n == 0, zero).otherwise(s)).cast(kind), maybe(info))
             top = F.max(c.rank(v))
             if x.op == "sum":

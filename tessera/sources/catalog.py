@@ -26,7 +26,8 @@ class ClassMap:
     """A table as a class.
 
     subject: IRI prefix; key: column, tuple of columns (joined by "/"), or None if the subject is the row itself.
-    predicates: IRI -> column name or Ref.  A NULL gives no statement.  The key must be unique.
+    predicates: IRI -> column name or Ref.  A NULL gives no statement.  The key must be unique.  Rows without a key have
+    no identity beyond one scan: a query that would compare them with those of another scan is refused.
     """
 
     cls: str
@@ -45,6 +46,8 @@ class Catalog:
     quads: DataFrame | None = None
     graphs: set[str] = field(default_factory=set)
     endpoints: dict[str, Catalog] = field(default_factory=dict)
+    #: Updates since the quads were last written.
+    pending: int = 0
 
     def table(self, name: str) -> DataFrame:
         got = self.tables[name]

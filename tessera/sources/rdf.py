@@ -21,6 +21,7 @@ from tessera.namespaces import PREFIXES, RDF, XSD
 TRIPLES = f"s {TERM}, p string, o {TERM}"
 _NODE = r'(<[^>]*>|_:[^\s]+|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[A-Za-z]+(?:-[A-Za-z0-9]+)*)?)'
 _LINE = rf"^\s*(<[^>]*>|_:[^\s]+)\s+<([^>]*)>\s+{_NODE}\s*\.\s*(?:#.*)?$"
+_BLANK = r"^\s*(?:#.*)?$"
 _LITERAL = r'^"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?$'
 
 
@@ -45,13 +46,26 @@ def _term(x: Column, doc: str) -> Column:
     )
 
 
-def parse_ntriples(lines: DataFrame, doc: str = "d", column: str = "value") -> DataFrame:
-    """(s, p, o) of a column of N-Triples lines, by columns only; comments and blank lines are left out."""
+def parse_ntriples(lines: DataFrame, doc: str = "d", column: str = "value", strict: bool = True) -> DataFrame:
+    """(s, p, o) of a column of N-Triples lines, by columns only; comments and blank lines are left out.
+
+    Another line that is no statement is an error; where strict is false it is left out (a stream goes on).
+    """
     x = F.col(column)
-    ok = lines.filter(x.rlike(_LINE))
+    if strict:
+        wrong = F.raise_error(F.concat(F.lit("not a statement of N-Triples: "), F.substring(column, 1, 200)))
+        ok = lines.withColumn(column, F.when(x.rlike(_LINE), x).when(~x.rlike(_BLANK), wrong)).filter(x.isNotNull())
+    else:
+        ok = lines.filter(x.rlike(_LINE))
     return ok.select(_term(F.regexp_extract(x, _LINE, 1), doc).alias("s"), F.regexp_extract(x, _LINE, 2).alias("p"), _term(F.regexp_extract(x, _LINE, 3), doc).alias("o"))
 
 
+def not_ntriples(lines: DataFrame, column: str = "value") -> DataFrame:
+    """The lines that are neither statements, comments nor blank."""
+    x = F.col(column)
+    return lines.filter(~x.rlike(_LINE) & ~x.rlike(_BLANK)).select(column)
+
+
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     return parse_ntriples(spark.read.text(path), doc_id(path)).distinct()
 
@@ -65,13 +79,13 @@ def turtle_triples(text: str, doc: str = "d") -> list[tuple]:
     from tessera.parser import Parser
     from tessera.plans import algebra as a
 
-    z = Parser(text.replace("@prefix", "PREFIX_").replace("@base", "BASE_"))
+    z = Parser(text)
     out: list[a.Triple] = []
     while z.peek()[0] != "end":
         kind, x = z.peek()
-        if kind == "word" and x in ("PREFIX_", "BASE_") or kind == "word" and x.lower() in ("prefix", "base"):
+        if kind == "lang" and x in ("@prefix", "@base") or kind == "word" and x.lower() in ("prefix", "base"):
             z.at += 1
-            if x.lower().startswith("prefix"):
+            if x.lower().endswith("prefix"):
                 name = z.next()[1]
                 z.prefixes[name[:-1]] = z.absolute(z.next()[1][1:-1])
             else:

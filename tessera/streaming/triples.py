@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.sources.rdf import parse_ntriples
+from tessera.sources.rdf import not_ntriples, parse_ntriples
 
 
 def ntriples_stream(spark: SparkSession, path: str, doc: str = "stream") -> DataFrame:
-    """(s, p, o) of lines of new files in a folder; parsed by columns only."""
-    return parse_ntriples(spark.readStream.text(path), doc)
+    """(s, p, o) of lines of new files in a folder; parsed by columns only. Lines that are no statements are left out:
+    `rejected` has them."""
+    return parse_ntriples(spark.readStream.text(path), doc, strict=False)
+
+
+def rejected(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of new files in a folder that are neither statements, comments nor blank, for a sink of their own."""
+    return not_ntriples(spark.readStream.text(path))
 
 
 def append_quads(triples: DataFrame, path: str, checkpoint: str, graph: str | None = None, once: bool = False) -> StreamingQuery:

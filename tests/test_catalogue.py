@@ -47,6 +47,6 @@ def test_plans(spark):
     assert star.count("FileScan") == 1 and "l_tax" not in star
     assert "EqualTo(c_mktsegment,BUILDING)" in plan_of(spark, "bgp_const_object")
     assert plan_of(spark, "optional_same_row").count("FileScan") == 1
-    for name in ("flagship_revenue", "fk_path_join", "optional_label", "exists", "not_exists", "minus_labels", "subquery_topk"):
+    for name in ("minus_lineitem", "not_exists_lineitem", "minus_on_optional", "optional_chain", "flagship_revenue", "fk_path_join", "optional_label", "exists", "not_exists", "minus_labels", "subquery_topk"):
         plan = plan_of(spark, name)
         assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan and "Arrow" not in plan
