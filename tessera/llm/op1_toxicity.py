@@ -3,7 +3,8 @@
 1. A character trigram model is counted over the whole corpus (one bincount a task, summed by code).
 2. Words that look disguised become lattices: leetspeak characters stand for letters, separators between single
    letters and repeats in a run may be dropped, runs of four or more one-character words are read as one word.
-   Viterbi decoding under noise costs plus the character model restores the word.
+   Viterbi decoding, exact, under noise costs plus the character model restores the word.  Words without a letter,
+   shorter runs, and words with only doubled letters stay as they are.
 3. Restored texts are scored by logistic regression on the set of their words and word stems, hashed.
 
 Model labels come from at most `linear.SAMPLE` labelled rows that are not held out; every row is scored.  Labels,
@@ -11,7 +12,8 @@ lang, source and doc_id are no inputs of a score.  Letters are A-Z lower-cased,
 
 Defined cases: null and empty texts have the score of the bias alone; a null doc_id is scored and not held out;
 repeated rows get equal scores; very long words are decoded whole (time linear in their length); without labels
-every score is 0.5; an empty table gives an empty result; other columns play no part.
+every score is 0.5; a score at the threshold counts as toxic; an empty table gives an empty result; other columns
+play no part.
 """
 
 from __future__ import annotations
@@ -93,8 +95,9 @@ def character_costs(counts: np.ndarray) -> np.ndarray:
 
 
 def decode(span: str, cost: list) -> str:
-    """The likeliest restored word. Viterbi over states of the last two letters; cost[a][b][c] is a nested list."""
-    beam: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+    """The likeliest restored word. Viterbi over all states of the last two letters (27 x 27 at most, a few in most words);
+    cost[a][b][c] is a nested list."""
+    best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     run = 0
     for i, ch in enumerate(span):
         run = run + 1 if i and span[i - 1] == ch else 1
@@ -108,7 +111,7 @@ def decode(span: str, cost: list) -> str:
         else:
             options, skip = [], SEPARATOR
         new: dict[tuple[int, int], tuple[float, tuple]] = {}
-        for (a, b), (c0, path) in beam.items():
+        for (a, b), (c0, path) in best.items():
             row = cost[a][b]
             for c, extra in options:
                 total = c0 + extra + row[c]
@@ -120,10 +123,8 @@ def decode(span: str, cost: list) -> str:
                 have = new.get((a, b))
                 if have is None or total < have[0]:
                     new[a, b] = (total, path)
-        if len(new) > 24:
-            new = dict(sorted(new.items(), key=lambda x: x[1][0])[:24])
-        beam = new
-    _, path = min(((c + cost[a][b][0], p) for (a, b), (c, p) in beam.items()), key=lambda x: x[0])
+        best = new
+    _, path = min(((c + cost[a][b][0], p) for (a, b), (c, p) in best.items()), key=lambda x: x[0])
     out = []
     while path:
         path, c = path
