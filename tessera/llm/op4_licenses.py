@@ -1,7 +1,6 @@
 """License scans with DataFrame functions only: sparse TF-IDF cosine to templates, then directory inheritance.
 
-1. Lines of every text are candidates where they hold at least two different terms of the templates: by definition, as in
-   the query's SQL, a line of one such term is none, whatever its cosine.  Terms are
+1. Lines of every text are candidates where they hold a term of the templates (the cosine of all others is zero).  Terms are
    runs of letters and digits, A-Z lower-cased, without `STOP` words.  Document frequencies of the
    templates' terms are counted over all documents; a term outside the templates counts as one that occurs in no
    document, so its weight needs no table.
@@ -16,7 +15,8 @@ level of distinct directories.  The only data on the driver are frequencies of t
 
 Defined cases: null and empty texts have no own licence; a null path has no directory and inherits nothing; a path
 without a slash lies in the root directory ""; repeated rows are scanned alike; very long lines and texts are scanned
-whole; an empty table gives an empty result; other columns are passed on untouched by `scan`.
+whole; an empty table gives an empty result; other columns, whatever their names, are passed on untouched by `scan`, but
+for such as have the name of one that it adds, which are replaced.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ def own_license(docs: DataFrame, text: str = "text", templates: dict[str, str] =
             best.append(F.struct(F.round(dot / (norm * size), 6).alias("cosine"), F.lit(name).alias("name")))
         return F.when(F.size(shared) > 0, F.array(*best))
 
-    candidate = F.filter(_lines(F.col(text)), lambda line: F.size(F.array_intersect(_terms(line), anchors)) > 1)
+    candidate = F.filter(_lines(F.col(text)), lambda line: F.arrays_overlap(_terms(line), anchors))
     scored = F.flatten(F.transform(candidate, cosines))
     enough = F.filter(scored, lambda s: s["cosine"] >= THRESHOLD)
     return F.aggregate(enough, F.lit(None).cast("struct<cosine:double,name:string>"), lambda a, s: F.when(a.isNull() | (s["cosine"] > a["cosine"]) | ((s["cosine"] == a["cosine"]) & (s["name"] < a["name"])), s).otherwise(a))
@@ -103,8 +103,10 @@ def directory(path: Column) -> Column:
 
 def scan(docs: DataFrame, path: str = "path", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (default: all but the text) with own_license, cosine, license_dir and license."""
-    names = keep or [c for c in docs.columns if c != text]
-    found = docs.select(*[F.col(f"`{c}`") for c in names], F.col(path).alias("_l_path"), own_license(docs, text).alias("_l_own"))
+    made = ("own_license", "cosine", "license_dir", "license")
+    names = [c for c in (keep or docs.columns) if c.lower() not in made and (keep or c != text)]
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in names] or [F.lit(0)]).alias("_l_row"), F.col(path).alias("_l_path"), F.col(text).alias("_l_text"))
+    found = docs.select("_l_row", "_l_path", own_license(docs, "_l_text").alias("_l_own"))
     found = found.withColumn("_l_dir", F.when(F.col("_l_path").isNotNull(), directory(F.col("_l_path"))))
     votes = found.filter("_l_own is not null and _l_dir is not null").groupBy("_l_dir", F.col("_l_own.name").alias("name")).count()
     # most files first, then the lesser name
@@ -115,7 +117,7 @@ def scan(docs: DataFrame, path: str = "path", text: str = "text", keep: list[str
     near = above.join(licensed, "at").groupBy("_l_dir").agg(F.max(F.struct("depth", "at", "name")).alias("near"))
     out = found.join(near.select(F.col("_l_dir").alias("_l_key"), "near"), F.col("_l_dir") == F.col("_l_key"), "left")
     own = F.col("_l_own.name")
-    return out.select(*[F.col(f"`{c}`") for c in names], own.alias("own_license"), F.col("_l_own.cosine").alias("cosine"), F.when(own.isNull(), F.col("near.at")).alias("license_dir"), F.coalesce(own, F.col("near.name")).alias("license"))
+    return out.select(*[F.col("_l_row")[c].alias(c) for c in names], own.alias("own_license"), F.col("_l_own.cosine").alias("cosine"), F.when(own.isNull(), F.col("near.at")).alias("license_dir"), F.coalesce(own, F.col("near.name")).alias("license"))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +142,7 @@ tok as (select rid, no, term, count(*) as tf from (
 n as (select count(*) as n from docs),
 df as (select term, count(distinct rid) as df from tok where term in (select term from vocab) group by term),
 idf as (select term, ln((select n from n) + 1.0) - ln(coalesce(df, 0) + 1.0) + 1 as w from vocab left join df using (term)),
-cand as (select rid, no from tok where term in (select term from vocab) group by all having count(*) > 1),
+cand as (select rid, no from tok where term in (select term from vocab) group by all),
 wt as (select rid, no, term, tf * coalesce(w, ln((select n from n) + 1.0) + 1) as x from tok semi join cand using (rid, no) left join idf using (term)),
 norm as (select rid, no, sqrt(sum(x * x)) as size from wt group by all),
 tw as (select name, term, tf * w as y from tpl join idf using (term)),
