@@ -8,12 +8,14 @@ the longest fitting rule wins, and no rule means allow.  The method:
 2. expressions meet the rules in an equi-join on the first `SHORT` hex digits of their SHA-256;
 3. survivors are confirmed by the full digest and ordered by rule length (a tie: the longer host, then block).
 
-Distinct urls are combined before the shuffle, so a hot url is one row a task; the join back to pages is an
-equi-join that adaptive execution can split.  The rules are broadcast when a count shows that they are few.
+Distinct urls are combined before the shuffle, so a hot url is one row a task; the join back to pages has a second key
+that gives both sides an exchange of their own, so that adaptive execution can split the rows of a hot url.  Urls that
+no rule can fit (null, or without host and path) pass by the join.  The rules are broadcast when a count shows that
+they are few.
 
 Defined cases: a null url, or one without "://", has empty host and path and is allowed; hosts keep ports and
-user info as they stand; repeated rows are judged alike; an empty table gives an empty result; other columns of
-pages are ignored.
+user info as they stand; very long urls are judged whole; where rules of equal length fit, the longer host wins, then
+block; repeated rows are judged alike; an empty table gives an empty result; other columns of pages are ignored.
 """
 
 from __future__ import annotations
@@ -73,8 +75,12 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", id_col: str = "p
     )
     hits = expanded.join(broadcast_if_small(rules), F.col("short") == F.col("r_short")).filter(F.col("digest") == F.col("r_digest"))
     best = hits.groupBy("url").agg(F.max("r_rank").alias("best")).select(F.col("url").alias("b_url"), F.col("best.rule").alias("b_rule"), F.col("best.action").alias("b_action"))
-    out = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url")).join(best, F.col("url") == F.col("b_url"), "left")
-    return out.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("b_rule").alias("rule"), F.coalesce("b_action", F.lit(DEFAULT)).alias("verdict"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"))
+    judged = F.coalesce(F.col("url").contains("://"), F.lit(False))
+    out = rows.filter(judged).join(best, (F.col("url") == F.col("b_url")) & (F.hash("url") == F.hash("b_url")), "left")
+    out = out.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("b_rule").alias("rule"), F.coalesce("b_action", F.lit(DEFAULT)).alias("verdict"))
+    empty, none = F.lit(""), F.lit(None).cast("string")
+    return out.unionByName(rows.filter(~judged).select("page_id", empty.alias("host"), empty.alias("path"), none.alias("rule"), F.lit(DEFAULT).alias("verdict")))
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
