@@ -7,13 +7,15 @@ in groups of two or more:
 2. rows whose length occurs twice are grouped by (length, hash of the first `PREFIX` characters);
 3. rows whose (length, prefix hash) occurs twice are read in full and grouped by their SHA-256.
 
-The keys that survive a step go to the scan of the next as a broadcast only when a bounded count shows that they
-are few; otherwise the next hash is taken of every row, which gives the same groups.  Texts never move: shuffles
-carry a length, hashes and an id.  A group with a third of all rows is one pre-aggregated row a task.
+The keys that survive a step go to the scan of the next: as a broadcast where a bounded count shows that they are few,
+else as a bitmap of their hashes of at most 64 MB, which lets a few other rows pass (they are alone in their group
+after the next hash).  Texts never move: shuffles carry a length, hashes and an id.  A group with a third of all
+rows is one pre-aggregated row a task.
 
 Defined cases: null text counts as empty, and all such rows are one group; a null doc_id ranks below every
 number, and a group of nulls only keeps one of them with keep_id null; rows that repeat both doc_id and text keep
-one of them; an empty table gives an empty result; extra columns are ignored or, in `exact_dedup`, passed on.
+one of them (which of their copies is not defined where other columns differ); very long texts are hashed whole; an
+empty table gives an empty result; extra columns, whatever their names, are ignored or, in `exact_dedup`, passed on.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import broadcast_if_small, checkpoint, is_small, lower_az, table
+from tessera.llm.tables import broadcast_if_small, checkpoint, fresh, is_small, key_filter, lower_az, may_hold, table
 
 PREFIX = 256
-#: Keys of a step that are broadcast at most; a key is 12 bytes.
+#: Keys of a step that are broadcast at most (a key is 12 bytes); beyond it a bitmap is.
 MAX_KEYS = 200_000
 
 
@@ -43,18 +45,12 @@ def refine(docs: DataFrame, text: str = "text", id_col: str = "doc_id", digest_a
     head = F.xxhash64(lower_az(F.substring("t", 1, PREFIX)))
     full = F.unhex(F.sha2(lower_az(F.col("t")), 256))
 
-    twice = rows.groupBy("len").count().filter("count > 1").select("len", F.lit(True).alias("l2"))
-    if is_small(twice, MAX_KEYS):
-        rows = rows.join(F.broadcast(twice), "len", "left")
-    else:
-        rows = rows.withColumn("l2", F.lit(True))
+    twice = rows.groupBy("len").count().filter("count > 1").select("len")
+    rows = _surviving(rows, twice, ["len"], "l2")
     rows = rows.withColumn("prefix", F.when(F.col("l2"), head))
 
-    pairs = rows.filter("prefix is not null").groupBy("len", "prefix").count().filter("count > 1").select("len", "prefix", F.lit(True).alias("p2"))
-    if is_small(pairs, MAX_KEYS):
-        rows = rows.join(F.broadcast(pairs), ["len", "prefix"], "left")
-    else:
-        rows = rows.withColumn("p2", F.col("l2"))
+    pairs = rows.filter("prefix is not null").groupBy("len", "prefix").count().filter("count > 1").select("len", "prefix")
+    rows = _surviving(rows, pairs, ["len", "prefix"], "p2")
     if digest_all:
         rows = rows.withColumn("digest", full).withColumn("full", F.when(F.col("p2"), F.col("digest")))
     else:
@@ -63,6 +59,13 @@ def refine(docs: DataFrame, text: str = "text", id_col: str = "doc_id", digest_a
     return rows.groupBy("id", "len", "prefix", "full", "digest").agg(F.count("*").alias("n")).drop("len", "prefix")
 
 
+def _surviving(rows: DataFrame, keys: DataFrame, names: list[str], flag: str) -> DataFrame:
+    """rows with a flag that is true where their key is among the keys (or, with a bitmap, may be)."""
+    if is_small(keys, MAX_KEYS):
+        return rows.join(F.broadcast(keys.withColumn(flag, F.lit(True))), names, "left")
+    return may_hold(rows, key_filter(keys, names), names, flag).withColumn(flag, F.col(flag) & F.col(names[-1]).isNotNull())
+
+
 def decide(docs: DataFrame, text: str = "text", id_col: str = "doc_id", digest_all: bool = False) -> DataFrame:
     """`refine` with keep_id and group_size; the text of (id) stays if id is keep_id."""
     rows = refine(docs, text, id_col, digest_all)
@@ -81,17 +84,30 @@ def groups_of(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Da
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows that stay, with all their columns."""
+    """The rows that stay, with all their columns.
+
+    Rows that go are found by their id first; only the texts of such ids are hashed again (those of rows without an id
+    all are).
+    """
     d = decide(docs, text, id_col)
+    x_id, x_full, x_stays, x_hash = fresh(docs, "x_id", "x_full", "x_stays", "x_hash")
     stays = F.col("id").eqNullSafe(F.col("keep_id"))
-    moved = checkpoint(d.filter(~stays | (F.col("n") > 1)).select(F.col("id").alias("_x_id"), F.col("full").alias("_x_full"), stays.alias("_x_stays")))
-    keyed = docs.withColumn("_x_t", F.unhex(F.sha2(_norm(text), 256)))
-    same = keyed[id_col].eqNullSafe(F.col("_x_id")) & (keyed["_x_t"] == F.col("_x_full"))
-    out = keyed.join(broadcast_if_small(moved), same, "left_anti").drop("_x_t")
-    repeated = moved.filter("_x_stays")
+    moved = checkpoint(d.filter(~stays | (F.col("n") > 1)).select(F.col("id").alias(x_id), F.col("full").alias(x_full), stays.alias(x_stays)))
+    digest = F.unhex(F.sha2(_norm(text), 256))
+
+    def matched(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        # not written as an equality, which would make the hash a key that is computed for every row
+        with_id, without = keys.filter(F.col(x_id).isNotNull()), keys.filter(F.col(x_id).isNull())
+        same = (rows[id_col] == F.col(x_id)) & (digest >= F.col(x_full)) & (digest <= F.col(x_full))
+        known = rows.filter(F.col(id_col).isNotNull()).join(broadcast_if_small(with_id), same, how)
+        unknown = rows.filter(F.col(id_col).isNull()).join(broadcast_if_small(without), digest == F.col(x_full), how)
+        return known.unionByName(unknown)
+
+    out = matched(docs, moved, "left_anti")
+    repeated = moved.filter(x_stays)
     if not repeated.isEmpty():  # rows that repeat both id and text: one of each stays
-        again = keyed.join(broadcast_if_small(repeated), same, "left_semi").withColumn("_x_i", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-        out = out.unionByName(again.dropDuplicates(["_x_i", "_x_t"]).drop("_x_i", "_x_t"))
+        again = matched(docs, repeated, "left_semi").withColumn(x_hash, digest)
+        out = out.unionByName(again.dropDuplicates([id_col, x_hash]).drop(x_hash))
     return out
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.lineage import checkpoint
+from tessera.operators.lineage import checkpoint, folder
 
 #: Rows of a side that may be broadcast after its size was counted; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
@@ -47,10 +47,7 @@ def stored(df: DataFrame) -> DataFrame:
     are read more than once."""
     from uuid import uuid4
 
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        checkpoint(df.sparkSession.range(1))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/stored-{uuid4().hex}"
+    path = f"{folder(df.sparkSession)}/stored-{uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -60,6 +57,31 @@ def lower_az(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
+#: Positions of a `key_filter`: 2**29 bits, so that what is broadcast has at most 64 MB.
+POSITIONS, _PAGE = 1 << 29, 1 << 15
+
+
+def key_filter(keys: DataFrame, names: list[str]) -> DataFrame:
+    """Pages of a bitmap of the keys' hashes (page, bits), of bounded size, by built-in functions only."""
+    at = _position(names)
+    pages = keys.select(F.shiftright(at, 15).alias("page"), (at.bitwiseAND(_PAGE - 1)).alias("bit"))
+    return pages.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def _position(names: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*names), F.lit(POSITIONS))
+
+
+def may_hold(df: DataFrame, pages: DataFrame, names: list[str], flag: str) -> DataFrame:
+    """df with a boolean column: false proves that the row's key is not among those of the filter, true proves nothing."""
+    page, bits, at = fresh(df, "k_page", "k_bits", "k_at")
+    x = df.withColumn(at, _position(names))
+    x = x.join(F.broadcast(pages.select(F.col("page").alias(page), F.col("bits").alias(bits))), F.shiftright(at, 15) == F.col(page), "left")
+    byte = F.conv(F.hex(F.substring(bits, (F.shiftright(at, 3).bitwiseAND(_PAGE // 8 - 1) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, F.col(at).bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
+    return x.withColumn(flag, F.coalesce(hit, F.lit(False))).drop(page, bits, at)
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most so many rows; reads no more than that."""
     return df.limit(rows + 1).count() <= rows
