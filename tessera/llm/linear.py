@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import text as tx
-from tessera.llm.tables import bounded_batches
+from tessera.llm.tables import bounded_batches, fresh
 
 #: Labelled rows that training reads at most.
 SAMPLE = 6000
@@ -58,6 +58,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, features: Features, bi
     Without a labelled row all weights are zero, so every score is 0.5.
     """
     bounded_batches(docs.sparkSession)
+    # labels of one id are one row, and so are rows of one id (the text with the least hash), so that both are bounded
     chosen = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label).cast("double").alias("_y"))
     chosen = chosen.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64(F.col("_id"), F.lit(1)), "_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id")
@@ -84,16 +85,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str, features: Features, bi
         w = ftrl(rows, np.array([y for _, y, _, _ in got]), bits, **options)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["w"])
 
-    made = rows.mapInArrow(extract, "id bigint, y double, idx binary, val binary").repartition(1).mapInArrow(fit, "w binary").collect()
+    made = rows.mapInArrow(extract, "id bigint, y double, idx binary, val binary")
+    made = made.groupBy("id").agg(F.min("y").alias("y"), F.min("idx").alias("idx"), F.min_by("val", "idx").alias("val"))
+    made = made.repartition(1).mapInArrow(fit, "w binary").collect()
     return np.frombuffer(bytes(made[0]["w"]), np.float32).copy() if made else np.zeros((1 << bits) + 1, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, features: Features, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Every row with `score`, 0 to 1. keep: columns passed on besides the id (default: the id alone)."""
+def score(docs: DataFrame, weights: np.ndarray, features: Features, id_col: str = "doc_id", text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """Every row with its score, 0 to 1, as the column `name` (which takes the place of one that docs has). keep: columns
+    passed on (default: the id alone)."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
-    names = [c for c in (keep or [id_col])]
-    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text).alias("_score_text"))
-    schema = source.drop("_score_text").schema.add("score", "double")
+    names = [c for c in (keep or [id_col]) if c.lower() != name.lower()]
+    own = fresh(docs, "score_text")[0]
+    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text).alias(own))
+    schema = source.drop(own).schema.add(name, "double")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
@@ -104,6 +109,6 @@ def score(docs: DataFrame, weights: np.ndarray, features: Features, id_col: str
                 row, bucket, value = features(part, at)
                 out[lo:hi] = np.bincount(row, weights=w[bucket] * value, minlength=hi - lo)
             p = 1 / (1 + np.exp(-np.clip(out + w[-1], -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], names=[*batch.schema.names[:-1], name])
 
     return source.mapInArrow(apply, schema)

@@ -6,8 +6,9 @@ a value is the feature's share of the text's words.  Labels come from at most `l
 are not held out; every row is scored.  Labels, lang, source and doc_id are no inputs of a score.
 
 Defined cases: null and empty texts, and texts without a word, have the score of the bias alone; a null doc_id is
-scored and not held out; repeated rows get equal scores; without labels every score is 0.5; an empty table gives
-an empty result; other columns play no part.
+scored and not held out; repeated rows get equal scores (of rows that share a labelled id, training uses the one whose
+features come first); very long texts are scored whole; a score at the threshold is kept; without labels every score
+is 0.5; an empty table gives an empty result; other columns play no part, and one named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import linear
 from tessera.llm import text as tx
-from tessera.llm.tables import table
+from tessera.llm.tables import fresh, table
 
 BITS = 18
 KEEP = 0.3
@@ -68,9 +69,15 @@ def model(docs: DataFrame, labels: DataFrame, **names) -> np.ndarray:
     return linear.train(docs, labels, "quality", sample_features, BITS, **names, **_OPTIONS)
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Rows of docs (the columns `keep`, default doc_id) with their score."""
-    return linear.score(docs, model(docs, labels), features, keep=keep)
+def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """Rows of docs (the columns `keep`, default doc_id) with their score, as the column `name`."""
+    return linear.score(docs, model(docs, labels), features, keep=keep, name=name)
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that the classifier doesn't reject, with all their columns."""
+    name = fresh(docs, "quality")[0]
+    return classify(docs, labels, docs.columns, name).filter(F.col(name) >= KEEP).drop(name)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,16 +15,19 @@ hot spot.  Leaf facts are broadcast when a count shows that they are few, else j
 Defined cases: null language or source is the leaf part ""; null and empty texts have no tokens and follow their
 place in the order; a null doc_id is ordered as ""; rows with the same doc_id share a place and are taken or left
 together; nodes without a weight have `DEFAULT_WEIGHT`; weight zero takes nothing; an empty table gives an empty
-result; `mix` passes on all columns and adds `epoch`.
+result; very long texts count whole; `mix` passes on all columns, whatever their names, and adds `epoch` (in place of a
+column of that name).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import broadcast_if_small, checkpoint, table
+from tessera.llm.tables import broadcast_if_small, checkpoint, fresh, table
 
 #: Share of all tokens that the mixture has, epochs at most, and the seed.
 SHARE, EPOCHS, SEED = 0.5, 2, 17
@@ -111,27 +114,35 @@ def plan(narrow: DataFrame, weights: dict[str, float] = WEIGHTS, share: float =
     facts = facts.withColumn("whole", F.when(F.col("tokens") > 0, F.floor(F.col("alloc") / F.col("tokens"))).otherwise(0).cast("int"))
     facts = facts.withColumn("rest", F.col("alloc") - F.col("whole") * F.col("tokens")).withColumn("buckets", F.ceil(F.sqrt("docs")).cast("bigint"))
     facts = checkpoint(facts.select(*LEAF, "tokens", "alloc", "whole", "rest", "buckets"))
-    rows = narrow.join(broadcast_if_small(facts.drop("tokens")), LEAF).withColumn("bucket", bucket_of(place(F.col("whole"), F.col("id"), seed)))
+    rows = narrow.join(broadcast_if_small(facts.drop("tokens")), LEAF).withColumn("bucket", bucket_of(place(F.col("whole"), F.col("id"), seed), F.col("buckets")))
     sums = rows.groupBy(*LEAF, "bucket", "rest").agg(F.sum("tokens").alias("t"))
     run = W.partitionBy(*LEAF).orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
     ends = sums.withColumn("upto", F.sum("t").over(run)).filter("upto > rest").groupBy(*LEAF).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("t")).alias("before"))).alias("cut"))
     return facts.join(ends, LEAF, "left").select(*LEAF, "tokens", "alloc", "whole", "rest", "buckets", F.col("cut.bucket").alias("cut"), F.col("cut.before").alias("before"))
 
 
-def bucket_of(p: Column) -> Column:
-    return F.floor(p / F.lit(SPAN) * F.col("buckets")).cast("bigint")
-
-
-def take(docs: DataFrame, facts: DataFrame, id_col: str, tokens: Column, seed: int = SEED) -> DataFrame:
-    """docs (with LEAF) once for each epoch that takes the row, numbered in `epoch`."""
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in LEAF]
-    x = docs.join(broadcast_if_small(facts.drop("tokens", "alloc").withColumnRenamed("before", "_m_before")), LEAF)
-    whole = x.filter("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)))
-    last = x.withColumn("epoch", F.col("whole")).withColumn("_m_place", place(F.col("whole"), F.col(id_col), seed)).withColumn("_m_bucket", bucket_of(F.col("_m_place")))
-    inside = last.filter((F.col("rest") > 0) & (F.col("cut").isNull() | (F.col("_m_bucket") < F.col("cut"))))
-    run = W.partitionBy(*LEAF).orderBy("_m_place").rangeBetween(W.unboundedPreceding, W.currentRow)
-    edge = last.filter((F.col("rest") > 0) & (F.col("_m_bucket") == F.col("cut"))).withColumn("_m_run", F.sum(tokens).over(run) + F.col("_m_before")).filter(F.col("_m_run") <= F.col("rest"))
-    parts = [y.select(*own, F.col("epoch").cast("int").alias("epoch")) for y in (whole, inside, edge)]
+def bucket_of(p: Column, buckets: Column) -> Column:
+    return F.floor(p / F.lit(SPAN) * buckets).cast("bigint")
+
+
+def take(docs: DataFrame, leaves: list[Column], facts: DataFrame, id_col: str, tokens: Column, seed: int = SEED) -> DataFrame:
+    """docs (leaves give their LEAF) once for each epoch that takes the row, numbered in `epoch`."""
+    names = [*LEAF, "whole", "rest", "buckets", "cut", "before"]
+    named = dict(zip(names, fresh(docs, *[f"m_{n}" for n in names]), strict=True))
+    facts = facts.select(*[F.col(n).alias(named[n]) for n in names])
+    epoch, at, bucket, run = fresh(docs, "m_epoch", "m_place", "m_bucket", "m_run")
+    col = lambda n: F.col(named[n])
+    mine = fresh(docs, *[f"mine{n}" for n in LEAF])
+    x = docs.select("*", *[c.alias(n) for c, n in zip(leaves, mine, strict=True)])
+    same = reduce(lambda p, q: p & q, [F.col(n) == col(m) for n, m in zip(mine, LEAF, strict=True)])
+    x = x.join(broadcast_if_small(facts), same)
+    whole = x.filter(col("whole") > 0).withColumn(epoch, F.explode(F.sequence(F.lit(0), col("whole") - 1)))
+    last = x.withColumn(epoch, col("whole")).withColumn(at, place(col("whole"), F.col(id_col), seed)).withColumn(bucket, bucket_of(F.col(at), col("buckets")))
+    inside = last.filter((col("rest") > 0) & (col("cut").isNull() | (F.col(bucket) < col("cut"))))
+    before = W.partitionBy(*mine).orderBy(at).rangeBetween(W.unboundedPreceding, W.currentRow)
+    edge = last.filter((col("rest") > 0) & (F.col(bucket) == col("cut"))).withColumn(run, F.sum(tokens).over(before) + col("before")).filter(F.col(run) <= col("rest"))
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "epoch"]
+    parts = [y.select(*own, F.col(epoch).cast("int").alias("epoch")) for y in (whole, inside, edge)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -142,14 +153,15 @@ def narrow_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
 def mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with all their columns, repeated by epochs, and the column `epoch`."""
     facts = plan(narrow_of(docs, id_col, text), weights, share, epochs, seed)
-    return take(docs.select("*", *leaves_of(docs)), facts, id_col, tokens_of(F.col(text)), seed)
+    return take(docs, leaves_of(docs), facts, id_col, tokens_of(F.col(text)), seed)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, domain, lang, source, tokens, epoch of every row that the mixture takes."""
     narrow = narrow_of(table(spark, sf_dir, "documents"))
-    rows = narrow.withColumns({"domain": F.col(LEAF[0]), "lang": F.col(LEAF[1]), "source": F.col(LEAF[2])})
-    return take(rows, plan(narrow), "id", F.col("tokens")).withColumnRenamed("id", "doc_id")
+    rows = narrow.select("id", "tokens", *[F.col(n).alias(m) for n, m in zip(LEAF, ("domain", "lang", "source"), strict=True)])
+    out = take(rows, [F.col(n) for n in ("domain", "lang", "source")], plan(narrow), "id", F.col("tokens"))
+    return out.withColumnRenamed("id", "doc_id")
 
 
 def oracle() -> str:

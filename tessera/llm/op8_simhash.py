@@ -14,8 +14,9 @@ Each bucket sends a spanning forest of its links, never all its pairs.
 
 Defined cases: null and empty texts, and texts without a word, have fingerprint zero and link like any other;
 fewer than three words are one shingle; repeated rows give repeated results; a null doc_id never
-becomes a component id unless its whole component has none; an empty table gives an empty result; other columns
-are ignored.
+becomes a component id unless its whole component has none; very long texts are read whole; a bit that is set in exactly
+half of the hashes is 0; an empty table gives an empty result; other columns are ignored or, in `near_dedup`,
+passed on whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from tessera.llm import op5_substrings
 from tessera.llm import text as tx
 from tessera.llm.components import components
 from tessera.llm.setjoin import sized, verified
-from tessera.llm.tables import bounded_batches, broadcast_if_small, cells, checkpoint, grouped, stored, table
+from tessera.llm.tables import bounded_batches, broadcast_if_small, cells, checkpoint, fresh, grouped, stored, table
 
 SHINGLE = 3
 SEED = 42
@@ -299,8 +300,9 @@ def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> D
 
     Rows with a null id are kept; rows that share an id are one document.
     """
-    drop = checkpoint(near_groups(docs, text, id_col).filter("node <> component").select(F.col("node").alias("_x_node")))
-    return docs.join(broadcast_if_small(drop), docs[id_col] == drop["_x_node"], "left_anti")
+    x_node = fresh(docs, "x_node")[0]
+    drop = checkpoint(near_groups(docs, text, id_col).filter("node <> component").select(F.col("node").alias(x_node)))
+    return docs.join(broadcast_if_small(drop), docs[id_col] == drop[x_node], "left_anti")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

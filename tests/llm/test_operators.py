@@ -562,6 +562,72 @@ def test_toxicity_restores_and_scores(spark):
     assert all((got[i] >= 0.5) == bool(y) for i, y in marks)
 
 
+def test_decoder_equals_all_paths():
+    """Viterbi against the cheapest of every reading of the lattice."""
+    rng = np.random.default_rng(2)
+    cost = op1_toxicity.character_costs(rng.integers(0, 50, (27, 27, 27)).astype(float))
+    table = cost.tolist()
+
+    def readings(span):
+        out = [((), 0.0)]
+        run = 0
+        for i, ch in enumerate(span):
+            run = run + 1 if i and span[i - 1] == ch else 1
+            if "a" <= ch <= "z":
+                take, pay = ch, 0.0
+                skip = None if run < 2 else op1_toxicity.REPEATED if run > 2 or span[i + 1 : i + 2] == ch else op1_toxicity.DOUBLED
+            elif ch in op1_toxicity.LEET:
+                take, pay = op1_toxicity.LEET[ch], op1_toxicity.SUBSTITUTED
+                skip = op1_toxicity.REPEATED if run > 1 else op1_toxicity.DROPPED
+            else:
+                take, pay, skip = "", 0.0, op1_toxicity.SEPARATOR
+            out = [((*r, ord(c) - 96), p + pay) for r, p in out for c in take] + ([(r, p + skip) for r, p in out] if skip is not None else [])
+        return out
+
+    def price(reading):
+        letters, paid = reading
+        at = (0, 0, *letters, 0)
+        return paid + sum(table[a][b][c] for a, b, c in zip(at, at[1:], at[2:], strict=False))
+
+    pick = random.Random(3)
+    for _ in range(300):
+        span = "".join(pick.choice("abesst1!$**0.-") for _ in range(pick.randrange(1, 8)))
+        best = min(map(price, readings(span)))
+        word = op1_toxicity.decode(span, table)
+        same = [price(r) for r in readings(span) if "".join(chr(96 + c) for c in r[0]) == word]
+        assert min(same) == pytest.approx(best), span
+
+
+def test_training_equals_plain_follow_the_leader():
+    """The vectorised trainer against one that keeps a dict and goes a coordinate at a time."""
+    import math
+
+    rng = np.random.default_rng(5)
+    rows, labels = [], rng.integers(0, 2, 80).astype(float)
+    for y in labels:
+        at = np.unique(rng.integers(0, 60, 12) + int(y) * 20)
+        rows.append((at, rng.random(len(at))))
+    got = linear.ftrl(rows, labels, 7, alpha=0.4, beta=1.0, l1=0.2, l2=0.05, epochs=3, seed=4)
+    z, n = {}, {}
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= 0.2 else -(zi - math.copysign(0.2, zi)) / ((1.0 + math.sqrt(n.get(i, 0.0))) / 0.4 + 0.05)
+
+    order = np.random.default_rng(4)
+    for _ in range(3):
+        for k in order.permutation(len(rows)):
+            x = {**dict(zip(rows[k][0].tolist(), rows[k][1].tolist(), strict=True)), 128: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - labels[k]) * v
+                s = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / 0.4
+                z[i] = z.get(i, 0.0) + g - s * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    assert np.allclose(got, [weight(i) for i in range(129)], atol=1e-6)
+
+
 def test_held_out_rule(spark):
     import zlib
 
@@ -587,6 +653,55 @@ def test_license_inheritance(spark):
     assert got[None, "MIT"][0] == "MIT" and got[None, None] == (None, None)
 
 
+def test_license_of_one_term(spark):
+    """Where its other terms are frequent, one rare term is most of a template."""
+    rows = [("a", "MIT"), ("b", "some words"), ("c", "we use it here for the code")] + [(f"r{k}", "released\nunder\nlicense") for k in range(60)]
+    df = spark.createDataFrame(rows, "path string, text string")
+    got = {r["path"]: r["own_license"] for r in op4_licenses.scan(df).collect()}
+    assert (got["a"], got["b"], got["c"]) == ("MIT", None, None)
+
+
+CLASHES = ("_x_id _x_lines _x_spans _x_full _x_stays _x_hash _x_node _m_domain _m_lang _m_source _m_whole _m_place whole rest cut buckets before alloc tokens epoch "
+           "license own_license cosine license_dir _l_own _l_path _l_dir _l_row score _score_text _quality size leader node coarse bucket _id _y text_ at c n k key_ full digest len prefix l2 p2 _mine_m_lang").split()
+
+
+def test_clashing_columns(spark, docs):
+    """Columns named like any that an operator makes are passed on as they are."""
+    few = docs.filter("doc_id is null or doc_id not in (311, 312)").limit(60)
+    wide = few.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHES]).withColumn("path", F.concat(F.lit("a/"), F.coalesce("text", F.lit(""))))
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "nothing like this anywhere at all")], "item_id long, text string")
+    made = {"epoch", "score", "license", "own_license", "cosine", "license_dir"}
+    for name, out in {
+        "exact": op10_exact.exact_dedup(wide), "near": op8_simhash.near_dedup(wide), "passages": op5_substrings.cut(wide), "lines": op9_lines.cut(wide),
+        "decontaminate": op2_decontaminate.decontaminate(wide, bench), "quality": op3_quality.accepted(wide, labels), "score": op3_quality.classify(wide, labels, wide.columns),
+        "toxic": op1_toxicity.classify(wide, labels, wide.columns), "license": op4_licenses.scan(wide), "mix": op7_mixing.mix(wide),
+    }.items():
+        assert len({c.lower() for c in out.columns}) == len(out.columns), name
+        gone = {"license": {"text"}}.get(name, set())
+        assert set(wide.columns) - gone <= set(out.columns), name
+        rows = out.collect()
+        assert rows, name
+        for c in set(CLASHES) & set(out.columns) - (made if name in ("score", "toxic", "license", "mix") else set()):
+            assert all(r[c] == f"own {c}" for r in rows), (name, c)
+
+
+def test_rows_that_share_a_labelled_id(spark):
+    """They are one training row, whatever their number."""
+    rows = [(i, f"plain words number {i}") for i in range(40)] + [(7, f"copy {k}") for k in range(300)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert op3_quality.classify(df, labels).count() == len(rows)
+    assert np.array_equal(op3_quality.model(df, labels), op3_quality.model(df.repartition(2), labels))
+
+
+def test_exact_dedup_of_rows_without_ids(spark):
+    rows = [(None, "a", k) for k in range(50)] + [(None, "b", 1), (3, "A", 2), (3, "A", 3), (4, "c", 4), (4, "d", 5), (5, None, 6), (None, "", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(4)
+    got = sorted((str(r["doc_id"]), r["text"]) for r in op10_exact.exact_dedup(df).collect())
+    assert got == sorted([("3", "A"), ("None", "b"), ("4", "c"), ("4", "d"), ("5", None)], key=str) or got == [("3", "A"), ("4", "c"), ("4", "d"), ("5", None), ("None", "b")]
+
+
 def test_url_rules(spark):
     urls = ["http://X.Example.COM/en/7a?b", "http://com/en/", "http://xcom/en/1", "https://a.com/EN/1", "no scheme", None, "http://example.net/de/8", "http://b.net/de/8#x", "http://a.org/es/x", "://org/es/", "http://a.com?/en/"]
     got = {r["page_id"]: r for r in op6_urls.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), op6_urls.rules_table(spark)).collect()}
