@@ -1,6 +1,8 @@
 """License scans with DataFrame functions only: sparse TF-IDF cosine to templates, then directory inheritance.
 
-1. Lines of every text are candidates where they hold a term of the templates (the cosine of all others is zero).  Terms are
+1. Lines of every text are candidates where they hold a term of the templates (the cosine of all others is zero).  A line
+   with one such term can't have a larger cosine than that term's share of a template, so it is scored only where the
+   share reaches `THRESHOLD`; this bound loses nothing, and the SQL has no such rule.  Terms are
    runs of letters and digits, A-Z lower-cased, without `STOP` words.  Document frequencies of the
    templates' terms are counted over all documents; a term outside the templates counts as one that occurs in no
    document, so its weight needs no table.
@@ -91,7 +93,10 @@ def own_license(docs: DataFrame, text: str = "text", templates: dict[str, str] =
             best.append(F.struct(F.round(dot / (norm * size), 6).alias("cosine"), F.lit(name).alias("name")))
         return F.when(F.size(shared) > 0, F.array(*best))
 
-    candidate = F.filter(_lines(F.col(text)), lambda line: F.arrays_overlap(_terms(line), anchors))
+    sizes = {name: math.sqrt(sum((bag.count(t) * idf[t]) ** 2 for t in set(bag))) for name, bag in bags.items()}
+    strong = sorted({t for name, bag in bags.items() for t in bag if bag.count(t) * idf[t] >= (THRESHOLD - 1e-5) * sizes[name]})
+    alone = F.array(*map(F.lit, strong)) if strong else F.array().cast("array<string>")
+    candidate = F.filter(_lines(F.col(text)), lambda line: (F.size(F.array_intersect(_terms(line), anchors)) > 1) | F.arrays_overlap(_terms(line), alone))
     scored = F.flatten(F.transform(candidate, cosines))
     enough = F.filter(scored, lambda s: s["cosine"] >= THRESHOLD)
     return F.aggregate(enough, F.lit(None).cast("struct<cosine:double,name:string>"), lambda a, s: F.when(a.isNull() | (s["cosine"] > a["cosine"]) | ((s["cosine"] == a["cosine"]) & (s["name"] < a["name"])), s).otherwise(a))
