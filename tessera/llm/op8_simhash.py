@@ -34,6 +34,7 @@ from tessera.llm import text as tx
 from tessera.llm.components import components
 from tessera.llm.setjoin import sized, verified
 from tessera.llm.tables import bounded_batches, broadcast_if_small, cells, checkpoint, fresh, grouped, stored, table
+from tessera.llm.xxh import xxh64
 
 SHINGLE = 3
 SEED = 42
@@ -41,54 +42,59 @@ RADIUS = 3
 CELL = 1024
 
 
-def fingerprint_of(joined: bytes, words: list[bytes], shingle: int = SHINGLE, size: int = 1) -> list[int]:
-    """Of one text (its words, and the words joined by single spaces): `size` words of 64 bits, the first from the
-    shingles' XXH64 itself, further ones from a mix of it."""
-    import xxhash
-
-    if not words:
-        return [0] * size
-    n = max(len(words) - shingle + 1, 1)
-    spans = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-    ends = np.cumsum(spans) - 1
-    starts = ends - spans + 1
-    last = ends[shingle - 1 :] if len(words) > shingle else ends[-1:]
-    digest, view = xxhash.xxh64_intdigest, memoryview(joined)
-    ones = np.zeros((size, 64), dtype=np.int64)
-    for at in range(0, n, 1 << 16):
-        stop = min(at + (1 << 16), n)
-        h = np.fromiter((digest(view[a:b], SEED) for a, b in zip(starts[at:stop].tolist(), last[at:stop].tolist(), strict=True)), dtype=np.uint64, count=stop - at)
-        for k in range(size):
-            ones[k] += _set_bits(h)
-            h = tx.mix64(h + np.uint64(0x9E3779B97F4A7C15)) if k + 1 < size else h
-    return [int(np.bitwise_or.reduce(np.where(2 * x > n, np.uint64(1) << np.arange(64, dtype=np.uint64), np.uint64(0)))) for x in ones]
-
-
-def _set_bits(h: np.ndarray) -> np.ndarray:
-    """How many of the hashes have each bit (0 is the least)."""
-    return np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-
-
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int, size: int) -> Iterator[pa.RecordBatch]:
+#: Shingles whose bits are counted at a time.
+_RUN = 1 << 16
+
+
+def shingle_spans(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the words of all rows, single spaces between them, and start, end and row of every shingle there."""
+    starts, ends, first = tx.words(data, offsets)
+    space = tx.SPACE[data]
+    kept = ~space
+    kept[ends[ends < len(data)]] = True
+    to = np.concatenate(([0], np.cumsum(kept)))
+    joined = np.where(space, np.uint8(32), tx.LOWER[data])[kept]
+    many = np.diff(first)
+    count = np.where(many > 0, np.maximum(many - (shingle - 1), 1), 0)
+    row = np.repeat(np.arange(len(many)), count)
+    one = np.arange(len(row)) + np.repeat(first[:-1] - (np.cumsum(count) - count), count)
+    last = np.minimum(one + shingle - 1, first[1:][row] - 1)
+    return joined, to[starts[one]], to[ends[last]], row
+
+
+def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """The fingerprint of each row."""
+    joined, start, end, row = shingle_spans(data, offsets, shingle)
+    rows = len(offsets) - 1
+    ones = np.zeros((rows, 64), dtype=np.int64)
+    for at in range(0, len(row), _RUN):
+        own = row[at : at + _RUN]
+        lo, hi = int(start[at]), int(end[at + len(own) - 1])  # spans are in order
+        h = xxh64(joined[lo:hi], start[at : at + _RUN] - lo, end[at : at + _RUN] - lo, SEED)
+        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        new = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        ones[own[new]] += np.add.reduceat(bits, new, axis=0, dtype=np.int32)
+    set_ = 2 * ones > np.bincount(row, minlength=rows)[:, None]
+    return np.packbits(set_, axis=1, bitorder="little").view("<u8").ravel() if rows else np.zeros(0, np.uint64)
+
+
+def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = tx.strings(batch.column("text"))
-        raw = tx.LOWER[data].tobytes()
-        out = np.zeros((size, batch.num_rows), dtype=np.uint64)
-        for i in range(batch.num_rows):
-            words = raw[offsets[i] : offsets[i + 1]].split()
-            out[:, i] = fingerprint_of(b" ".join(words), words, shingle, size)
-        tx.trim()
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x.view(np.int64)) for x in out)], names=["id", *_WORDS[:size]])
+        out = [fingerprints_of(part, at, shingle) for _, _, part, at in tx.pieces(data, offsets)]
+        fp = np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp)], names=["id", "fp"])
 
 
+#: Columns of fingerprints; `links` takes wider ones too.
 _WORDS = ["fp", "fp2", "fp3", "fp4"]
 
 
-def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, size: int = 1) -> DataFrame:
-    """(id, fp, ...): each word of the fingerprint holds 64 bits as a signed number."""
+def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
+    """(id, fp): the 64 bits as a signed number."""
     bounded_batches(docs.sparkSession)
-    make = lambda batches: _fingerprint_batches(batches, shingle, size)
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(make, ", ".join(["id bigint", *(f"{w} bigint" for w in _WORDS[:size])]))
+    make = lambda batches: _fingerprint_batches(batches, shingle)
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(make, "id bigint, fp bigint")
 
 
 def block_masks(n: int, radius: int = RADIUS) -> list[int]:

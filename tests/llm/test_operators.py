@@ -117,6 +117,35 @@ def test_simhash_matches_brute_force(docs):
     assert sorted((str(a), b, str(c)) for a, b, c in got) == want
 
 
+def test_hashes_of_spans_are_the_published_ones():
+    from tessera.llm.xxh import xxh64
+
+    rng = random.Random(17)
+    raw = bytes(rng.randrange(256) for _ in range(5000))
+    start = np.array([rng.randrange(4000) for _ in range(600)])
+    end = start + np.array([rng.choice([0, 1, 3, 4, 7, 8, 12, 31, 32, 33, 63, 64, 65, 200, 999]) for _ in range(600)])
+    for seed in (0, 42):
+        want = [xxhash.xxh64_intdigest(raw[a:b], seed) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        assert xxh64(np.frombuffer(raw, np.uint8), start, end, seed).tolist() == want
+    assert len(xxh64(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), 1)) == 0
+
+
+def test_fingerprints_in_runs(monkeypatch):
+    """Rows that span runs, white space of all kinds at their ends, empty rows."""
+    import pyarrow as pa
+
+    from tessera.llm import text as tx
+
+    rng = random.Random(18)
+    rows = ["", " ", "a", "\ta b\n", "Ä ö\x0b c", None, *("".join(rng.choice("Ab é\n\t\r  zz") for _ in range(rng.randrange(60))) for _ in range(80)), "x" * 100]
+    want = [fingerprint(t) for t in rows]
+    for run in (1, 3, 1 << 16):
+        monkeypatch.setattr(op8_simhash, "_RUN", run)
+        data, offsets = tx.strings(pa.array(rows, pa.string()))
+        assert op8_simhash.fingerprints_of(data, offsets).tolist() == want
+        assert [op8_simhash.fingerprints_of(p, at).tolist() for _, _, p, at in tx.pieces(data, offsets, 50)] != []
+
+
 def test_bit_sliced_distances():
     rng = np.random.default_rng(1)
     for size, radius in ((1, 3), (1, 0), (2, 30)):
