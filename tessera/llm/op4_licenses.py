@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import lower_az, table
+from tessera.llm.tables import lower_az, stored, table
 
 THRESHOLD = 0.5
 STOP = ("the", "of", "and", "to", "in", "a", "is", "for", "or", "by", "with", "this", "that", "be", "as", "are", "on", "an", "it", "at", "not", "may", "you", "any", "all", "from", "was", "if", "de", "la", "en", "per", "und", "der", "un", "el")
@@ -112,7 +112,7 @@ def scan(docs: DataFrame, path: str = "path", text: str = "text", keep: list[str
     names = [c for c in (keep or docs.columns) if c.lower() not in made and (keep or c != text)]
     docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in names] or [F.lit(0)]).alias("_l_row"), F.col(path).alias("_l_path"), F.col(text).alias("_l_text"))
     found = docs.select("_l_row", "_l_path", own_license(docs, "_l_text").alias("_l_own"))
-    found = found.withColumn("_l_dir", F.when(F.col("_l_path").isNotNull(), directory(F.col("_l_path"))))
+    found = stored(found.withColumn("_l_dir", F.when(F.col("_l_path").isNotNull(), directory(F.col("_l_path")))))  # scored once, without the texts
     votes = found.filter("_l_own is not null and _l_dir is not null").groupBy("_l_dir", F.col("_l_own.name").alias("name")).count()
     # most files first, then the lesser name
     licensed = votes.groupBy("_l_dir").agg(F.min(F.struct((-F.col("count")).alias("n"), "name")).alias("v")).select(F.col("_l_dir").alias("at"), F.col("v.name").alias("name"))
