@@ -20,8 +20,8 @@ number of items); every block scans all documents, whole.  There is no shuffle.
 Very long texts are scanned whole, in steps of bounded memory.  Texts are compared with A-Z lower-cased and white space collapsed.  Defined cases: null and empty texts hold no
 passage; items with fewer than `SHORTEST` bytes after that are found where they stand unedited as whole words; null ids are
 passed on; repeated rows are judged alike; an item may be found in any number of documents and a document hold any number
-of items, the best place of each (of equally good ones the first that the samples give); equal items are used as one and
-reported each; empty tables give an empty result; other columns are ignored or, in `decontaminate`, passed on.
+of items, the best place of each (of equally good ones the first that the samples give); items that repeat id and
+text are one, equal texts of different ids are reported each; empty tables give an empty result; other columns are ignored or, in `decontaminate`, passed on.
 """
 
 from __future__ import annotations
@@ -446,9 +446,10 @@ def least_edits(eq: dict[str, int], m: int, window: str) -> int:
 
 def blocks(items: DataFrame, text: str = "text", id_col: str = "item_id") -> Iterator[Items]:
     """Blocks of items in turn; each is a bounded part of the table."""
+    items = items.select(F.col(id_col).cast("bigint").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).distinct()
     n = -(-items.count() // BLOCK)
     for b in range(n):
-        part = items.filter(F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(n)) == b).select(F.col(id_col).cast("bigint").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).orderBy("i", "t").collect()
+        part = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).orderBy("i", "t").collect()
         yield Items([r["i"] for r in part], [r["t"] for r in part])
 
 

@@ -19,8 +19,9 @@ from tessera.llm import text as tx
 from tessera.llm.components import components
 from tessera.llm.tables import bitmap, cells, checkpoint, grouped, in_bitmap, stored
 
-#: Members of a cell's chunk at most.
-CELL = 256
+#: Members of a cell's chunk at most: where links are counted, and where the rest of a group is verified (small, as the
+#: cells of one large group should be dealt evenly).
+CELL, SMALL = 256, 128
 SHINGLE = 5
 
 
@@ -140,7 +141,7 @@ def verified(members: DataFrame, threshold: float, shingle: int = SHINGLE) -> Da
     # the rest: members that the leader did not reach, where there is anyone else to compare them with
     rest = near.filter("size > 2").groupBy("coarse").agg(F.count_if(~F.col("ok")).alias("open"), F.count_if("ok").alias("done")).filter("open > 0 and open + done > 1")
     todo = near.join(rest.withColumnRenamed("coarse", "c"), same_coarse())
-    opens, dones = (F.ceil(F.col(k) / F.lit(float(CELL))).cast("int") for k in ("open", "done"))
+    opens, dones = (F.ceil(F.col(k) / F.lit(float(SMALL))).cast("int") for k in ("open", "done"))
     todo = todo.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("ok"), dones).otherwise(opens)).cast("int"))
     # cells (i, j >= 0) pair open chunks, cells (i, -1 - j) an open chunk with a chunk of followers
     with_open = F.transform(F.sequence(F.lit(0), opens - 1), lambda k: F.struct(F.least(F.col("chunk"), k).alias("cell_a"), F.greatest(F.col("chunk"), k).alias("cell_b")))

@@ -239,7 +239,7 @@ def test_verified_components(spark, monkeypatch, cell):
     """Coarse groups of many shapes: copies of a leader, chains that avoid it, strangers."""
     from tessera.llm import setjoin
 
-    monkeypatch.setattr(setjoin, "CELL", cell)
+    monkeypatch.setattr(setjoin, "SMALL", cell)
     rng = random.Random(9)
     rows, sets = [], {}
     node = 0
