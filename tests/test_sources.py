@@ -1,9 +1,11 @@
 import json
 
+import pytest
 from pyspark.sql import types as T
 
 from tessera.engine import Engine
-from tessera.namespaces import RDFS, XSD, Namespace, namespace_iri, prefixes
+from tessera.errors import ValidationError
+from tessera.namespaces import RDF, RDFS, XSD, Namespace, namespace_iri, prefixes
 from tessera.ontology import read_ontology, records
 from tessera.sources.catalog import Catalog, quads_of
 from tessera.sources.json_etl import Entity, insert_blocks, read_json
@@ -76,4 +78,7 @@ def test_stream(spark, tmp_path):
 
 def test_namespaces():
     assert namespace_iri("foaf") == "http://xmlns.com/foaf/0.1/" and prefixes("xsd") == {"xsd": str(XSD)}
+    with pytest.raises(ValidationError):
+        XSD.interger  # noqa: B018
+    assert RDF["_12"].endswith("#_12") and RDFS.label.endswith("#label")
     assert XSD.integer == "http://www.w3.org/2001/XMLSchema#integer" and XSD.integer in XSD and N["a b"].endswith("a b")
