@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.tables import lower_az, stored, table
+from tessera.llm.tables import broadcast_if_small, lower_az, stored, table
 
 THRESHOLD = 0.5
 STOP = ("the", "of", "and", "to", "in", "a", "is", "for", "or", "by", "with", "this", "that", "be", "as", "are", "on", "an", "it", "at", "not", "may", "you", "any", "all", "from", "was", "if", "de", "la", "en", "per", "und", "der", "un", "el")
@@ -120,7 +120,9 @@ def scan(docs: DataFrame, path: str = "path", text: str = "text", keep: list[str
     parts = F.split("_l_dir", "/")
     above = dirs.select("_l_dir", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth")).withColumn("at", F.array_join(F.slice(F.split("_l_dir", "/"), F.lit(1), F.col("depth")), "/"))
     near = above.join(licensed, "at").groupBy("_l_dir").agg(F.max(F.struct("depth", "at", "name")).alias("near"))
-    out = found.join(near.select(F.col("_l_dir").alias("_l_key"), "near"), F.col("_l_dir") == F.col("_l_key"), "left")
+    near = broadcast_if_small(near.select(F.col("_l_dir").alias("_l_key"), "near"))
+    # the second key gives both sides an exchange of their own where they are shuffled, so that a large directory can be split
+    out = found.join(near, (F.col("_l_dir") == F.col("_l_key")) & (F.hash("_l_dir") == F.hash("_l_key")), "left")
     own = F.col("_l_own.name")
     return out.select(*[F.col("_l_row")[c].alias(c) for c in names], own.alias("own_license"), F.col("_l_own.cosine").alias("cosine"), F.when(own.isNull(), F.col("near.at")).alias("license_dir"), F.coalesce(own, F.col("near.name")).alias("license"))
 
