@@ -31,9 +31,14 @@ _KEYS = ["g", "s", "p", "o"]
 PENDING, FEW = 8, 100_000
 
 
-def _few(y: DataFrame) -> DataFrame:
-    """y, of checkpointed rows, to be broadcast if it is small."""
-    return F.broadcast(y) if y.limit(FEW + 1).count() <= FEW else y
+def _size(quads: tuple[a.Quads, ...], solutions: int) -> int:
+    """Statements that templates make of so many solutions at most."""
+    return sum(5 * len(q.triples) for q in quads) * solutions  # a quoted one makes more
+
+
+def _stable(quads: tuple[a.Quads, ...]) -> bool:
+    """Whether templates give the same statements again: they make no new nodes."""
+    return not any(isinstance(x, t.BNode | t.Quoted) for q in quads for tr in q.triples for x in (tr.s, tr.p, tr.o))
 
 
 def _same() -> Any:
@@ -44,14 +49,19 @@ def _renamed(y: DataFrame) -> DataFrame:
     return y.select(*[F.col(k).alias(f"{k}_") for k in _KEYS])
 
 
-def _unite(x: DataFrame, y: DataFrame) -> DataFrame:
-    y = checkpoint(y.distinct())
-    there = x.join(_few(_renamed(y)), _same(), "left_semi")
-    return x.unionByName(checkpoint(y.join(_renamed(there), _same(), "left_anti")))
+def _unite(x: DataFrame, y: DataFrame, most: int | None = None, stable: bool = False) -> DataFrame:
+    """x and the statements of y that it lacks. most: the size of y at most, None to have it counted."""
+    y = y if stable else checkpoint(y)
+    small = most <= FEW if most is not None else y.limit(FEW + 1).count() <= FEW
+    given = F.broadcast if small else (lambda z: z)
+    there = x.join(given(_renamed(y)), _same(), "left_semi").distinct()  # no more rows than y
+    return x.unionByName(checkpoint(y.distinct().join(given(_renamed(there)), _same(), "left_anti")))
 
 
-def _without(x: DataFrame, y: DataFrame) -> DataFrame:
-    return x.join(_few(_renamed(checkpoint(y.distinct()))), _same(), "left_anti")
+def _without(x: DataFrame, y: DataFrame, most: int) -> DataFrame:
+    """y: what templates, which can't make new nodes in deletions, give of checkpointed solutions."""
+    y = _renamed(y)
+    return x.join(F.broadcast(y) if most <= FEW else y, _same(), "left_anti")
 
 
 def _of_graph(q: DataFrame, g: str | None) -> DataFrame:
@@ -139,11 +149,11 @@ def _apply(catalog: Catalog, op: a.Update, z: Compiler) -> Catalog:
     unit = z.unit(Active(catalog))
     out = Catalog(catalog.spark, catalog.tables, catalog.maps, old, set(catalog.graphs), catalog.endpoints)
     if op.kind == "insert_data":
-        out.quads = _unite(old, _quads_of(z, op.insert, unit, None))
+        out.quads = _unite(old, _quads_of(z, op.insert, unit, None), _size(op.insert, 1), _stable(op.insert))
         out.graphs |= _names(catalog, op.insert, z)
         return out
     if op.kind == "delete_data":
-        out.quads = _without(old, _quads_of(z, op.delete, unit, None))
+        out.quads = _without(old, _quads_of(z, op.delete, unit, None), _size(op.delete, 1))
         return out
     if op.kind in ("modify", "delete_where"):
         with_ = _ref(z, op.with_) if op.with_ is not None else None
@@ -154,11 +164,11 @@ def _apply(catalog: Catalog, op: a.Update, z: Compiler) -> Catalog:
             active = replace(active, from_=(with_,))
         rel = z.group(op.where, active)
         rel = Rel(checkpoint(rel.df), rel.vars)  # evaluated once, on the old state
-        quads = old
+        quads, solutions = old, rel.df.count()
         if op.delete:
-            quads = _without(quads, _quads_of(z, op.delete, rel, with_))
+            quads = _without(quads, _quads_of(z, op.delete, rel, with_), _size(op.delete, solutions))
         if op.insert:
-            quads = _unite(quads, _quads_of(z, op.insert, rel, with_))
+            quads = _unite(quads, _quads_of(z, op.insert, rel, with_), _size(op.insert, solutions), _stable(op.insert))
             out.graphs |= _names(catalog, op.insert, z, with_)
         out.quads = quads
         return out
