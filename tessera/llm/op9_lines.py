@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 from tessera.llm import text as tx
 from tessera.llm.components import components, solve
 from tessera.llm.setjoin import lines_at, linked, sized
-from tessera.llm.tables import bounded_batches, broadcast_if_small, cells, checkpoint, fresh, grouped, stored, table
+from tessera.llm.tables import bounded_batches, broadcast_if_small, cells, checkpoint, fresh, grouped, released, stored, table
 
 SIMILARITY = 0.8
-CELL = 2048
+#: Postings of a word that go to one cell: a thousandth of all, but CELL at least and MOST at most (some 50 bytes each).
+#: A word beyond that is cut into k chunks, and each of its postings is written k times.
+CELL, MOST = 2048, 1 << 14
 #: Lines of at most so many words have their 128 parity bits folded into 64.
 FOLDED = 96
 LAST = (1 << 63) - 1
@@ -278,34 +280,44 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return least[own], node[own]
 
 
+def cell_size(postings: int) -> int:
+    return max(CELL, min(postings >> 10, MOST))
+
+
 def judged(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Every line with a word (and line -1 for each row): id, line, keep_id, keep_line, links, removed."""
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     counts = count_words(docs, text)
     levels = np.minimum(np.round(8 * np.log2(counts + 1)), 255).astype(np.uint8)
     rows = stored(posted(docs, levels, text, id_col))
     real = rows.filter("line >= 0")
     posted_rows = real.filter("octet_length(prefix) > 0")
+    most = cell_size((posted_rows.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) // 4)
     # only how cells are cut depends on this estimate, by an eighth of the keys; every posting is compared whatever it says
     eighth = posted_rows.filter(F.pmod("key", F.lit(8)) == 0).select("prefix").mapInArrow(_explode, "w int")
-    hot = checkpoint(eighth.groupBy("w").agg((8 * F.count("*")).alias("size")).filter(F.col("size") > CELL))
+    hot = checkpoint(eighth.groupBy("w").agg((8 * F.count("*")).alias("size")).filter(F.col("size") > most))
     words = posted_rows.select("key", "n", "parity_a", "parity_b", "prefix").repartition("key").sortWithinPartitions("key").mapInArrow(_post_batches, "word int, key bigint, meta bigint, parity_a bigint, parity_b bigint")
     dealt = words.join(broadcast_if_small(hot), F.col("word") == F.col("w"), "left").withColumn("size", F.coalesce("size", F.lit(1)))
-    dealt = cells(dealt, "word", "size", "key", CELL)
+    dealt = cells(dealt, "word", "size", "key", most)
     # a cell of a word that is cut gets a hash: two cells that share one are compared as one, which loses no pair
-    cell = F.when(F.col("size") > CELL, F.xxhash64("word", "cell_a", "cell_b")).otherwise(F.col("word").cast("bigint"))
+    cell = F.when(F.col("size") > most, F.xxhash64("word", "cell_a", "cell_b")).otherwise(F.col("word").cast("bigint"))
     side = F.when(F.col("cell_a") == F.col("cell_b"), 0).when(F.col("chunk") == F.col("cell_b"), 2).otherwise(1).cast("byte")
     dealt = dealt.select(cell.alias("cell"), "key", "meta", "parity_a", "parity_b", side.alias("side"))
     met = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_meet_batches, "a bigint, b bigint")
-    coarse = checkpoint(components(met).select(F.col("node").alias("c_key"), F.col("component").alias("coarse")))
+    with released(spark):  # the postings are most of what this writes
+        coarse = checkpoint(components(met).select(F.col("node").alias("c_key"), F.col("component").alias("coarse")))
     place = F.struct(F.coalesce("id", F.lit(LAST)).alias("id"), F.col("line").cast("bigint").alias("line"))
     distinct = real.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("rows"))
     wanted = distinct.join(coarse, F.col("key") == F.col("c_key")).select(F.col("first.id").alias("at_id"), F.col("first.line").cast("int").alias("at_line"), F.col("key").alias("node"), "coarse", F.col("first.id").alias("rank_id"), F.col("first.line").alias("rank_line"))
-    links = linked(lines_at(docs, checkpoint(sized(wanted)), id_col, text, key_of), SIMILARITY, 1)
+    with released(spark):
+        wanted = checkpoint(sized(wanted))
+    links = linked(lines_at(docs, wanted, id_col, text, key_of), SIMILARITY, 1)
     facts = distinct.join(links, F.col("key") == F.col("node"), "left").filter("rows > 1 or links is not null")
     low = F.struct(F.col("low.low_id").alias("id"), F.col("low.low_line").alias("line"))
     keep = F.when(F.col("links").isNull(), F.col("first")).otherwise(F.least("first", low))
-    facts = checkpoint(facts.select(F.col("key").alias("k"), keep.alias("keep"), F.coalesce("links", F.lit(0)).alias("links")))
+    with released(spark):
+        facts = checkpoint(facts.select(F.col("key").alias("k"), keep.alias("keep"), F.coalesce("links", F.lit(0)).alias("links")))
     out = rows.select("id", "line", "key").join(broadcast_if_small(facts), (F.col("key") == F.col("k")) & (F.col("line") >= 0), "left")
     here = F.struct(F.coalesce("id", F.lit(LAST)).alias("id"), F.col("line").cast("bigint").alias("line"))
     gone = F.coalesce(here > F.col("keep"), F.lit(False))
