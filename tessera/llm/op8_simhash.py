@@ -12,6 +12,10 @@ bucket the bit planes are stored vertically (one word holds one bit of 64 finger
 counted at once by a saturating carry-save counter; a block of lanes is abandoned once all exceed the radius.
 Each bucket sends a spanning forest of its links, never all its pairs.
 
+The pipeline's near-duplicate stage asks for a similarity, 0.8, at which far more bits differ than blocks allow.  There the
+fingerprints are of the set of five-word shingles and have 512 bits, buckets are samples of those bits (see `sampled_masks`),
+members of a bucket are compared by the same bit planes, and exact Jaccard decides inside what the links connect.
+
 Defined cases: null and empty texts, and texts without a word, have fingerprint zero and link like any other;
 fewer than three words are one shingle; repeated rows give repeated results; a null doc_id never
 becomes a component id unless its whole component has none; very long texts are read whole; a bit that is set in exactly
@@ -29,11 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import op5_substrings
 from tessera.llm import text as tx
 from tessera.llm.components import components
 from tessera.llm.setjoin import sized, verified
-from tessera.llm.tables import bounded_batches, broadcast_if_small, cells, checkpoint, fresh, grouped, stored, table
+from tessera.llm.tables import bounded_batches, broadcast_if_small, cells, checkpoint, fresh, grouped, released, stored, table
 from tessera.llm.xxh import xxh64
 
 SHINGLE = 3
@@ -87,7 +90,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Ite
 
 
 #: Columns of fingerprints; `links` takes wider ones too.
-_WORDS = ["fp", "fp2", "fp3", "fp4"]
+_WORDS = ["fp", *(f"fp{k}" for k in range(2, 9))]
 
 
 def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
@@ -205,26 +208,38 @@ def _forest(fp: np.ndarray, chunk: np.ndarray | None, radius: int) -> tuple[np.n
     return np.array(out_a, dtype=np.int64), np.array(out_b, dtype=np.int64)
 
 
-def _compare_batches(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+def _compare_batches(batches: Iterator[pa.RecordBatch], radius: int, node: str) -> Iterator[pa.RecordBatch]:
     for t, bounds in grouped(batches, ["bucket", "cell_a", "cell_b"]):
         fp = np.stack([t.column(w).to_numpy().view(np.uint64) for w in _WORDS if w in t.column_names], axis=1)
         chunk = t.column("chunk").to_numpy()
         cross = (t.column("cell_a").to_numpy() != t.column("cell_b").to_numpy())[bounds[:-1]]
         a, b = pairs_within(fp, bounds, chunk, cross, radius)
-        yield pa.RecordBatch.from_arrays([pa.array(fp[a, 0].view(np.int64)), pa.array(fp[b, 0].view(np.int64))], names=["a", "b"])
+        name = t.column(node).to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(name[a]), pa.array(name[b])], names=["a", "b"])
+
 
+def links(fps: DataFrame, masks: list[int], radius: int = RADIUS, compared: int = 1, eighth: bool = False) -> DataFrame:
+    """(a, b): links between fingerprints (distinct by key, or by fp where there is no key) that connect what the radius connects in the masks' buckets.
 
-def links(fps: DataFrame, masks: list[int], radius: int = RADIUS) -> DataFrame:
-    """(a, b): links between fingerprints (distinct by fp; further words count in distances) that connect what the radius connects in the masks' buckets."""
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    Masks are over all words; the first `compared` words count in distances.  With `eighth`, how large buckets are cut is
+    planned from an eighth of the fingerprints; every one is compared.
+    """
     words = [w for w in _WORDS if w in fps.columns]
-    spread = fps.select(*words, F.posexplode(F.array(*[F.lit(m).cast("bigint") for m in signed])).alias("mask", "m"))
-    spread = spread.select(*words, F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("m"))).alias("bucket"))
-    hot = checkpoint(spread.groupBy("bucket").count().filter(F.col("count") > CELL).select(F.col("bucket").alias("b"), "count"))
-    sizes = spread.join(broadcast_if_small(hot), F.col("bucket") == F.col("b"), "left").withColumn("count", F.coalesce("count", F.lit(1)))
+    node = "key" if "key" in fps.columns else "fp"
+    cols = list(dict.fromkeys([node, *words[:compared]]))
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint")
+    parts = [F.array(*[signed(m >> 64 * k & (1 << 64) - 1) for k in range(len(words))]) for m in masks]
+
+    def spread(rows: DataFrame) -> DataFrame:
+        x = rows.select(*dict.fromkeys([node, *words]), F.posexplode(F.array(*parts)).alias("mask", "m"))
+        return x.select(*cols, F.xxhash64("mask", *[F.col(w).bitwiseAND(F.col("m")[k]) for k, w in enumerate(words)]).alias("bucket"))
+
+    some, times = (fps.filter(F.pmod(F.xxhash64(node), F.lit(8)) == 0), 8) if eighth else (fps, 1)
+    hot = checkpoint(spread(some).groupBy("bucket").agg((times * F.count("*")).alias("count")).filter(F.col("count") > CELL).select(F.col("bucket").alias("b"), "count"))
+    sizes = spread(fps).join(broadcast_if_small(hot), F.col("bucket") == F.col("b"), "left").withColumn("count", F.coalesce("count", F.lit(1)))
     keys = ["bucket", "cell_a", "cell_b"]
-    dealt = cells(sizes.select(*words, "bucket", "count"), "bucket", "count", "fp", CELL).select(*keys, "chunk", *words)
-    compare = lambda batches: _compare_batches(batches, radius)
+    dealt = cells(sizes.select(*cols, "bucket", "count"), "bucket", "count", node, CELL).select(*keys, "chunk", *cols)
+    compare = lambda batches: _compare_batches(batches, radius, node)
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a bigint, b bigint")
 
 
@@ -240,60 +255,135 @@ def group(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFr
     return prints.join(label, prints["fp"] == label["f"], "left").select("id", "fp", "component")
 
 
-#: Near-duplicate stages: five-word shingles, similarity 0.8 or more, the recall of a pair just there, and MinHashes in a band.
-STAGE_SHINGLE, SIMILARITY, RECALL, STAGE_ROWS = 5, 0.8, 0.96, 6
+#: Near-duplicate stages: five-word shingles, similarity 0.8 or more, the recall of a pair just there, words of 64 bits in
+#: a fingerprint, and how many of them count in distances.
+STAGE_SHINGLE, SIMILARITY, RECALL, STAGE_WORDS, COMPARED = 5, 0.8, 0.96, 8, 2
+#: Share of bits that differ in a pair of that similarity: 0.1515 (angle / pi) in large sets, up to 0.1612 in sets of 6 to 30
+#: shingles; a set of 5 and one of its subsets of 4, which differ in 0.1875, are linked exactly.
+DIFFER = 0.1615
+#: Of 128 bits, four deviations above the mean.
+STAGE_RADIUS = int(np.ceil(64 * COMPARED * DIFFER + 4 * np.sqrt(64 * COMPARED * DIFFER * (1 - DIFFER))))
+#: Shingles whose bits are counted in one byte.
+_BYTE = 255
 
 
-def minhash_bands(column: pa.Array | pa.ChunkedArray, bands: int) -> tuple[np.ndarray, np.ndarray]:
-    """Key of each text's word sequence, and (texts, bands) hashes of the MinHashes of its set of shingles.
+def sample_recall(k: int, bits: int = 64 * STAGE_WORDS, differ: float = DIFFER) -> tuple[np.ndarray, np.ndarray]:
+    """Over the distances d of a pair: the probability of d, and that k sampled bits all agree at d.
 
-    Texts of fewer words than a shingle can only be similar to equal ones; their bands are made from the key.
+    The distance differs from pair to pair and decides for all samples, so recall is averaged over it, not over samples.
+    """
+    d = np.arange(bits + 1)
+    logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, bits + 1)))))
+    chance = np.exp(logs[bits] - logs[d] - logs[bits - d] + d * np.log(differ) + (bits - d) * np.log(1 - differ))
+    left = np.maximum(bits - d, k)
+    agree = np.where(bits - d >= k, np.exp(logs[left] - logs[left - k] - logs[bits] + logs[bits - k]), 0.0)
+    return chance, agree
+
+
+def sampled_masks(n: int, recall: float = RECALL, seed: int = 5) -> list[int]:
+    """Samples of bits of n fingerprints that bring a pair of SIMILARITY together with the recall.
+
+    A sample has log2(n) - 2 bits, so that a bucket holds about four unrelated fingerprints at every size.
+    """
+    bits = 64 * STAGE_WORDS
+    k = int(max(np.ceil(np.log2(max(n, 2))) - 2, 8))
+    chance, agree = sample_recall(k)
+    tables = 1
+    while (chance * (1 - (1 - agree) ** tables)).sum() < recall:
+        tables += 1 + tables // 64
+    rng = np.random.default_rng(seed)
+    return [sum(1 << int(i) for i in rng.choice(bits, k, replace=False)) for _ in range(tables)]
+
+
+#: For a set of five, the places of each subset of four.
+_FOURS = np.array([list(x) for x in combinations(range(5), 4)])
+
+
+def set_fingerprints(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(texts, STAGE_WORDS): fingerprints of the sets of five-word shingles; fewer words are one shingle, none has zero.
+
+    Then the rows of the sets of five, each five times, and the fingerprints of their subsets of four: more bits than
+    DIFFER says differ between such a set and such a subset, but the subset's own fingerprint meets it exactly.
     """
-    multipliers = op5_substrings._multipliers(bands * STAGE_ROWS)
     data, offsets = tx.strings(column)
-    keys, out = [np.zeros(0, np.uint64)], [np.zeros((0, bands), np.uint64)]
-    for _, _, part, at in tx.pieces(data, offsets):
+    out, of, fours = [np.zeros((0, STAGE_WORDS), np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, STAGE_WORDS), np.uint64)]
+    for lo, _, part, at in tx.pieces(data, offsets):
         part = tx.LOWER[part]
         starts, ends, first = tx.words(part, at)
         h = tx.span_hashes(part, starts, ends)
-        key = tx.sequence_hashes(h, first)
         grams, bounds = tx.ngrams(h, first, STAGE_SHINGLE)
-        has = np.flatnonzero(np.diff(bounds) > 0)
-        made = np.empty((len(key), bands), dtype=np.uint64)
+        many = np.diff(first)
+        few = np.flatnonzero((many > 0) & (many < STAGE_SHINGLE))
+        row = np.concatenate((np.repeat(np.arange(len(many)), np.diff(bounds)), few)).astype(np.uint64)
+        grams = np.concatenate((grams, tx.sequence_hashes_at(h, first[few], first[few + 1])))
+        packed = np.sort(row << np.uint64(48) | grams >> np.uint64(16))  # a piece has 2**16 rows at most
+        packed = packed[np.concatenate(([True], packed[1:] != packed[:-1]))] if len(packed) else packed
+        row, h = (packed >> np.uint64(48)).astype(np.int64), packed << np.uint64(16)
+        out.append(_majorities(row, h, len(many)))
+        begin = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, np.int64)
+        begin = begin[np.diff(np.concatenate((begin, [len(row)]))) == 5]
+        of.append(np.repeat(row[begin] + lo, 5))
+        fours.append(_majorities(np.repeat(np.arange(5 * len(begin)), 4), h[(begin[:, None, None] + _FOURS).ravel()], 5 * len(begin)))
+    return np.concatenate(out), np.concatenate(of), np.concatenate(fours)
+
+
+def _majorities(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
+    """Bits that are set in over half of the hashes of a row; rows ascend.
+
+    Eight bits at a time are counted in the bytes of a word, over runs of at most 255 hashes.
+    """
+    out = np.zeros((rows, STAGE_WORDS), dtype=np.uint64)
+    if not len(row):
+        return out
+    begin = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+    size = np.diff(np.concatenate((begin, [len(row)])))
+    runs = -(-size // _BYTE)
+    of = np.cumsum(runs) - runs
+    at = np.repeat(begin, runs) + _BYTE * (np.arange(int(runs.sum())) - np.repeat(of, runs))
+    ones = np.empty((len(begin), 8, 8), dtype=np.int64)
+    every = np.uint64(0x0101010101010101)
+    for w in range(STAGE_WORDS):
         with np.errstate(over="ignore"):
-            for b in range(bands):
-                made[:, b] = tx.mix64(key + np.uint64(b + 1))
-                if len(has):
-                    mixed = np.full(len(has), b + 1, dtype=np.uint64)
-                    for k in range(STAGE_ROWS):
-                        low = np.minimum.reduceat(grams * multipliers[b * STAGE_ROWS + k], bounds[has])
-                        mixed = tx.mix64(mixed * np.uint64(tx.BASE) + low)
-                    made[has, b] = mixed
-        keys.append(key)
-        out.append(made)
-    return np.concatenate(keys), np.concatenate(out)
+            x = tx.mix64(h + np.uint64((w + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        for bit in range(8):
+            sums = np.add.reduceat(x >> np.uint64(bit) & every, at)
+            ones[:, :, bit] = np.add.reduceat(sums.astype("<u8").view(np.uint8).reshape(-1, 8), of, axis=0, dtype=np.int64)
+        out[row[begin], w] = np.packbits(2 * ones > size[:, None, None], axis=2, bitorder="little").reshape(-1, 8).view("<u8").ravel()
+    return out
+
+
+def _keys(fp: np.ndarray) -> np.ndarray:
+    key = np.zeros(len(fp), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for w in range(STAGE_WORDS):
+            key = tx.mix64(key * np.uint64(tx.BASE) + fp[:, w])
+    return key.view(np.int64)
 
 
 def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(node, component) of the documents that have a near copy; component is the smallest id of the group.
 
-    Candidates share a band of the MinHash of their five-word shingles, as a set, like the similarity that is asked
-    for: a pair of Jaccard j shares a band with probability 1 - (1 - j ** STAGE_ROWS) ** bands, whatever the number of
-    documents.  What the bands connect is a coarse component, in which exact Jaccard decides.
+    Fingerprints of the sets of five-word shingles meet in buckets of sampled bits and are compared there, bit-sliced, within
+    the radius that a similarity of 0.8 has.  What that connects is a coarse component, in which exact Jaccard decides.
     """
-    bounded_batches(docs.sparkSession)
-    bands = op5_substrings.bands_for(SIMILARITY, RECALL, STAGE_ROWS)
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    words = _WORDS[:STAGE_WORDS]
 
     def hash_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, made = minhash_bands(batch.column(1), bands)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, made.size + 1, bands), pa.int32()), pa.array(made.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key.view(np.int64)), lists], names=["id", "key", "bands"])
+            fp, of, four = set_fingerprints(batch.column(1))
+            edges = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(fp)))))
+            lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(_keys(four)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_keys(fp)), lists, *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in fp.T)], names=["id", "key", "fours", *words])
 
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("node"), F.col(text).alias("text"))
-    prints = stored(texts.mapInArrow(hash_all, "id bigint, key bigint, bands array<bigint>"))
-    found = components(op5_substrings.bucket_links(prints))
-    nodes = prints.groupBy("key").agg(F.count("*").alias("rows"))
+    prints = stored(texts.mapInArrow(hash_all, ", ".join(["id bigint, key bigint, fours array<bigint>", *(f"{w} bigint" for w in words)])))
+    with released(spark):
+        nodes = stored(prints.groupBy("key").agg(F.count("*").alias("rows"), *[F.min(w).alias(w) for w in words]))
+        near = links(nodes.drop("rows"), sampled_masks(nodes.count()), STAGE_RADIUS, COMPARED, eighth=True)
+        subsets = prints.select("key", F.explode("fours").alias("four")).distinct().join(nodes.select(F.col("key").alias("b")), F.col("four") == F.col("b"))
+        found = components(near.unionByName(subsets.select(F.col("key").alias("a"), "b")))
     coarse = nodes.join(found, nodes["key"] == found["node"], "left").filter("component is not null or rows > 1")
     coarse = coarse.select(F.col("key").alias("k"), F.coalesce("component", "key").alias("coarse"))
     inside = checkpoint(sized(prints.select("id", "key").join(coarse, F.col("key") == F.col("k")).select(F.col("id").alias("node"), "coarse").distinct()).withColumnRenamed("node", "i"))

@@ -205,6 +205,74 @@ def test_near_stage_reaches_recall(spark):
     assert op8_simhash.near_groups(df).count() >= 0.96 * len(rows)
 
 
+def test_near_stage_finds_by_fingerprints(docs, monkeypatch):
+    """Candidates come from the bit-sliced comparison of fingerprints alone: without it, only equal texts are found."""
+    compared = []
+    links = op8_simhash.links
+
+    def none(fps, masks, radius, *more, **named):
+        compared.append((len(masks), radius))
+        return links(fps, masks, radius, *more, **named).limit(0)
+
+    before = {r["node"] for r in op8_simhash.near_groups(docs).collect()}
+    monkeypatch.setattr(op8_simhash, "links", none)
+    alone = {r["node"] for r in op8_simhash.near_groups(docs).collect()}
+    assert alone < before
+    assert compared[0][1] == op8_simhash.STAGE_RADIUS
+
+
+def test_set_fingerprints(monkeypatch):
+    """Bits of the set of shingles by plain counting, whatever the runs that bytes count."""
+    import pyarrow as pa
+
+    from tessera.llm import text as tx
+
+    rng = random.Random(8)
+    texts = [None, "", " ", "one", "one two three four", " ".join(words(rng, 900, 5000)), "x " * 40, " ".join(words(rng, 30))]
+    column = pa.array(texts, pa.string())
+    got, _, _ = op8_simhash.set_fingerprints(column)
+    data, offsets = tx.strings(column)
+    starts, ends, first = tx.words(data, offsets)
+    h = tx.span_hashes(data, starts, ends)
+    grams, bounds = tx.ngrams(h, first, 5)
+    for i in range(len(texts)):
+        own = set((grams[bounds[i] : bounds[i + 1]] >> np.uint64(16)).tolist())
+        if not own and first[i + 1] > first[i]:
+            own = {int(tx.sequence_hashes(h, first)[i]) >> 16}
+        for w in range(op8_simhash.STAGE_WORDS):
+            step = (w + 1) * 0x9E3779B97F4A7C15
+            mixed = tx.mix64(np.array([((x << 16) + step) % (1 << 64) for x in own], dtype=np.uint64)).tolist()
+            assert int(got[i, w]) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > len(mixed))
+    monkeypatch.setattr(op8_simhash, "_BYTE", 7)
+    assert (op8_simhash.set_fingerprints(column)[0] == got).all()
+
+
+def test_near_stage_groups_all_short_texts(spark):
+    """Eight and nine words that share four shingles, Jaccard 0.8: all are grouped, whichever word is missing."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(400):
+        ws = [f"s{i}_{rng.random()}" for _ in range(9)]
+        rows += [(2 * i, " ".join(ws)), (2 * i + 1, " ".join(ws[1:] if i % 2 else ws[:-1]).upper())]
+    assert jaccard(*(shingles(t) for _, t in rows[:2])) == 0.8
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {(r["node"], r["component"]) for r in op8_simhash.near_groups(df).collect()} == {(i, i - i % 2) for i in range(800)}
+
+
+@pytest.mark.parametrize("n", [1000, 200_000, 10_000_000])
+def test_sampled_masks_reach_recall(n):
+    """Simulated pairs at the share of bits that Jaccard 0.8 leaves different meet in a sample and within the radius."""
+    rng = np.random.default_rng(2)
+    bits = rng.random((4000, 64 * op8_simhash.STAGE_WORDS)) < op8_simhash.DIFFER
+    masks = op8_simhash.sampled_masks(n)
+    picks = [[b for b in range(bits.shape[1]) if m >> b & 1] for m in masks]
+    met = np.zeros(len(bits), bool)
+    for pick in picks:
+        met |= ~bits[:, pick].any(axis=1)
+    near = bits[:, : 64 * op8_simhash.COMPARED].sum(axis=1) <= op8_simhash.STAGE_RADIUS
+    assert (met & near).mean() >= op8_simhash.RECALL - 0.01
+
+
 def test_near_stage_sees_past_repeated_lines(spark):
     """One line repeated many times hardly changes the set of shingles."""
     rows, line = [], " ".join(f"r{k}" for k in range(12))
