@@ -83,6 +83,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, features: Features, bi
         got.sort()
         rows = [(np.frombuffer(i, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(np.float64)) for _, _, i, v in got]
         w = ftrl(rows, np.array([y for _, y, _, _ in got]), bits, **options)
+        del got, rows
+        tx.trim()
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["w"])
 
     made = rows.mapInArrow(extract, "id bigint, y double, idx binary, val binary")

@@ -70,15 +70,15 @@ WORD, SAMPLED = _walks()
 def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A-Z lower-cased, runs of white space as one space, none at the start of a row."""
     n = len(data)
-    space = tx.SPACE[data]
+    space = tx.looked_up(tx.SPACE, data)
     before = np.ones(n, dtype=bool)
     before[1:] = space[:-1]
     starts = offsets[:-1]
     before[starts[starts < n]] = True
     kept = ~(space & before)
-    out = tx.LOWER[data]
+    out = tx.looked_up(tx.LOWER, data)
     out[space] = 32
-    return out[kept], np.concatenate(([0], np.cumsum(kept)))[offsets]
+    return out[kept], tx.counts(kept)[offsets].astype(np.int64)
 
 
 def walk(data: np.ndarray, n: int, wanted: dict[int, list[tuple[int, int]]]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -320,10 +320,10 @@ class Items:
         """Least edit distance of each window's item to any part of it (row, item, start, bytes from, to)."""
         if not windows:
             return []
-        before = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-        symbols = self.symbol[np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)]
+        before = tx.counts((data & 0xC0) != 0x80)
+        symbols = tx.looked_up(self.symbol, np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32))
         item = np.array([w[1] for w in windows])
-        lo, hi = before[[w[3] for w in windows]], before[[w[4] for w in windows]]
+        lo, hi = (before[[w[k] for w in windows]].astype(np.int64) for k in (3, 4))
         width = np.array([-(-len(self.text[k]) // 64) for k in item])
         out = np.zeros(len(windows), dtype=np.int64)
         for many in np.unique(width).tolist():

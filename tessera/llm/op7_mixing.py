@@ -81,7 +81,9 @@ def share_out(children: DataFrame, parent: list[str], order: list[str]) -> DataF
 
 
 def weights_table(spark: SparkSession, weights: dict[str, float]) -> DataFrame:
-    return spark.createDataFrame(list(weights.items()) or [("", DEFAULT_WEIGHT)], "node string, w double")
+    """(node, w), made by expressions: rows from Python would start Python workers on the executors."""
+    rows = [F.struct(F.lit(n).alias("node"), F.lit(float(w)).alias("w")) for n, w in (weights or {"": DEFAULT_WEIGHT}).items()]
+    return spark.range(1, numPartitions=1).select(F.inline(F.array(*rows)))
 
 
 def budgets(leaves: DataFrame, weights: dict[str, float] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:

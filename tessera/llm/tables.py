@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import text as tx
 from tessera.operators.lineage import checkpoint, folder
 
 #: Rows of a side that may be broadcast after its size was counted; beyond it the join shuffles.
@@ -123,7 +124,7 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
     """Tables of whole groups with the groups' bounds, from batches in order of the keys.
 
     Many small groups come together in one table; a group that spans batches is joined first.  Memory is bounded
-    by a batch and the largest group.
+    by a batch and the largest group, and what is free at the end goes back to the system.
     """
     held: list[pa.Table] = []
     for now in _larger(batches):
@@ -148,6 +149,8 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
     if held:
         whole = pa.concat_tables(held).combine_chunks()
         yield whole, _bounds(whole, keys)
+    held, whole = [], None
+    tx.trim()
 
 
 def _larger(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16, size: int = 16 << 20) -> Iterator[pa.Table]:

@@ -23,7 +23,9 @@ WORDLIKE[48:58] = WORDLIKE[65:91] = WORDLIKE[97:123] = WORDLIKE[128:] = True
 BASE = 0x100000001B3  # odd, so that it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
-_batches = 0
+#: Bytes of pieces after which a worker gives its free memory back, and the bytes since it last did.
+GIVE_BACK = 1 << 20
+_since = 0
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -62,7 +64,8 @@ def strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
 
 
 def trim() -> None:
-    """Free memory of this process back to the system, where the C library can."""
+    """Free memory of this process back to the system: Arrow's, and the C library's where it can."""
+    pa.default_memory_pool().release_unused()
     give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if give_back:
         give_back(0)
@@ -71,20 +74,40 @@ def trim() -> None:
 def pieces(data: np.ndarray, offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of runs of whole rows with about `size` bytes.
 
-    Every sixteenth time the worker's free memory goes back to the system: workers live on between stages.
+    After `GIVE_BACK` bytes the worker's free memory goes back to the system: workers live on between stages, and all of an
+    executor's count together.
     """
+    global _since
     row, rows = 0, len(offsets) - 1
     while row < rows:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         end = min(end, rows, row + 65536)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
-    global _batches
-    _batches += 1
-    if _batches % 16 == 0:
+    _since += len(data)
+    if _since >= GIVE_BACK:
+        _since = 0
         trim()
 
 
+def looked_up(table: np.ndarray, at: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+    """table[at], a part at a time: numpy turns a whole array of places into 64-bit ones."""
+    out = np.empty(len(at), dtype=table.dtype)
+    for lo in range(0, len(at), step):
+        out[lo : lo + step] = table[at[lo : lo + step]]
+    return out
+
+
+def counts(mask: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+    """How many are set before each place, and the end; a part at a time, too."""
+    out = np.zeros(len(mask) + 1, dtype=np.int32 if len(mask) < 1 << 31 else np.int64)
+    for lo in range(0, len(mask), step):
+        part = out[lo + 1 : lo + 1 + step]
+        np.cumsum(mask[lo : lo + step], dtype=out.dtype, out=part)
+        part += out[lo]
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends, and for each row (and the end) the index of its first word."""
     n = len(data)

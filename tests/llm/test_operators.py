@@ -2,14 +2,20 @@
 
 import hashlib
 import random
+import subprocess
+import sys
 import time
+import tracemalloc
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import linear, op1_toxicity, op2_decontaminate, op3_quality, op4_licenses, op5_substrings, op6_urls, op7_mixing, op8_simhash, op9_lines, op10_exact
+from tessera.llm import text as tx
 from tessera.llm.components import components
 from tessera.llm.tables import checkpoint
 
@@ -858,6 +864,62 @@ def test_mix_handles_odd_rows(docs):
     assert out.count() > 0
 
 
+def test_weights_start_no_python_worker(spark):
+    table = op7_mixing.weights_table(spark, {"d0": 2.0, "d0/en": 1})
+    assert {tuple(r) for r in table.collect()} == {("d0", 2.0), ("d0/en", 1.0)} and table.dtypes == [("node", "string"), ("w", "double")]
+    assert [tuple(r) for r in op7_mixing.weights_table(spark, {}).collect()] == [("", op7_mixing.DEFAULT_WEIGHT)]
+    assert "ExistingRDD" not in table._jdf.queryExecution().executedPlan().toString()
+
+
+# --- memory of workers
+
+_HELD = """
+import re
+from pathlib import Path
+import numpy as np, pyarrow as pa
+from tessera.llm import op2_decontaminate as op2, text as tx
+rng = np.random.default_rng(1)
+words = [bytes(rng.integers(97, 123, n).astype(np.uint8)).decode() for n in rng.integers(2, 9, 5000)]
+items = op2.Items([1], [" ".join(words[:40])])
+items.open()
+held = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+before = held()
+for _ in range(3):
+    data, offsets = tx.strings(pa.array([" ".join(words[k] for k in rng.integers(0, len(words), 400)) for _ in range(2000)]))
+    for _, _, part, at in tx.pieces(data, offsets, op2.PIECE):
+        items.search(part, at)
+    data = offsets = part = at = None
+    print(held() - before)
+"""
+
+
+def test_workers_give_memory_back():
+    out = subprocess.run([sys.executable, "-c", _HELD], capture_output=True, text=True, timeout=120, check=True, cwd=Path(op2_decontaminate.__file__).parents[2])
+    assert max(map(float, out.stdout.split())) < 15
+
+
+def test_decontaminate_search_peak():
+    rng = random.Random(5)
+    data, offsets = tx.strings(pa.array([" ".join(words(rng, 40_000, 5000)) for _ in range(16)]))
+    items = op2_decontaminate.Items([1], [" ".join(words(rng, 40, 5000))])
+    items.open()
+    tracemalloc.start()
+    op2_decontaminate.normalise(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * len(data)
+
+
+def test_counts_and_look_ups():
+    mask = np.array([True, False, True, True])
+    assert tx.counts(mask).tolist() == [0, 1, 1, 2, 3] and tx.counts(mask[:0]).tolist() == [0]
+    assert tx.counts(mask, 2).tolist() == tx.counts(mask, 1).tolist() == [0, 1, 1, 2, 3]
+    at = np.random.default_rng(2).integers(0, 256, 1000).astype(np.uint8)
+    for step in (1, 7, 1000, 5000):
+        assert np.array_equal(tx.looked_up(tx.LOWER, at, step), tx.LOWER[at])
+    assert len(tx.looked_up(tx.SPACE, at[:0])) == 0
+
+
 # --- all of them: an empty table
 
 
