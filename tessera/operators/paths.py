@@ -4,6 +4,9 @@ Each round joins only the pairs found last, drops known pairs with an anti-join,
 known stays where it was written).  A bound end seeds the loop, so only what is reachable from it is explored, an edge a
 round; where no end is bound, new pairs are joined to all pairs, so a round doubles the length and their number is
 logarithmic.
+
+Only tables counted as small are broadcast; the sizes that Catalyst carries on through the rounds say little, and a table
+of edges that it takes for small would go to the driver in each round.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from dataclasses import replace
 from functools import reduce
 from typing import TYPE_CHECKING
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import terms as t
@@ -23,6 +27,9 @@ from tessera.plans import algebra as a
 if TYPE_CHECKING:
     from tessera.plans.compiler import Active, Compiler, Rel
 
+#: Rows of a table that a round may broadcast; beyond it the round's joins shuffle.
+FEW = 20_000
+
 
 def path(z: Compiler, s: object, p: object, o: object, active: Active, bound: Rel | None = None) -> Rel:
     """Solutions of a path between two terms; bound: what is known already of their variables."""
@@ -97,16 +104,20 @@ def closure(z: Compiler, s: object, p: a.Path, o: object, active: Active, bound:
     forward = from_s is not None or from_o is None
     step = e if forward else e.select(F.col("b").alias("a"), F.col("a").alias("b"))
     start = from_s if forward else from_o
-    first = step if start is None else step.join(start, F.col("a") == F.col("n"), "left_semi")
-    pairs = first
-    if p.op in ("plus", "star"):
+    loops = p.op in ("plus", "star")
+    if loops:
         step = checkpoint(step)
+    pairs = first = step if start is None else step.join(start, F.col("a") == F.col("n"), "left_semi")
+    if loops:
         known = front = step if start is None else checkpoint(first)
-        while not front.isEmpty():
-            more = known if start is None else step
-            ahead = front.select(F.col("a").alias("from"), F.col("b").alias("mid")).join(more, F.col("mid") == F.col("a")).select(F.col("from").alias("a"), "b").distinct()
-            front = checkpoint(ahead.join(known.select(F.col("a").alias("ka"), F.col("b").alias("kb")), (F.col("a") == F.col("ka")) & (F.col("b") == F.col("kb")), "left_anti"))
-            known = known.union(front)
+        steps, found = step.count(), front.count()
+        total = found
+        while found:
+            more = _sized(known, total) if start is None else _sized(step, steps)
+            ahead = _sized(front.select(F.col("a").alias("from"), F.col("b").alias("mid")), found).join(more, F.col("mid") == F.col("a")).select(F.col("from").alias("a"), "b").distinct()
+            front = checkpoint(ahead.join(_sized(known.select(F.col("a").alias("ka"), F.col("b").alias("kb")), total), (F.col("a") == F.col("ka")) & (F.col("b") == F.col("kb")), "left_anti"))
+            found = front.count()
+            known, total = known.union(front), total + found
         pairs = known
     if p.op in ("star", "opt"):
         if start is None:
@@ -129,7 +140,14 @@ def closure(z: Compiler, s: object, p: a.Path, o: object, active: Active, bound:
         else:
             vars[end.name] = col
     names = {n: (fresh(), info) for n in vars}
-    return Rel(out.select(*[F.col(vars[n]).alias(names[n][0]) for n in vars]).distinct() if len(vars) < 2 else out.select(*[F.col(vars[n]).alias(names[n][0]) for n in vars]), names)
+    out = out.select(*[F.col(vars[n]).alias(names[n][0]) for n in vars])
+    out = out.distinct() if len(vars) < 2 else out
+    return Rel(out, names)
+
+
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    """A side of a join, broadcast if it has few rows; else it stays where it is unless the other side is broadcast."""
+    return F.broadcast(df) if rows <= FEW else df.hint("merge")
 
 
 def _all_nodes(z: Compiler, active: Active):

@@ -50,3 +50,29 @@ def test_plans(spark):
     for name in ("minus_lineitem", "not_exists_lineitem", "minus_on_optional", "optional_chain", "flagship_revenue", "fk_path_join", "optional_label", "exists", "not_exists", "minus_labels", "subquery_topk"):
         plan = plan_of(spark, name)
         assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("name", ["path_plus_to_const", "path_plus_tree"])
+def test_rounds_broadcast_only_few_rows(spark, monkeypatch, name):
+    """However small Catalyst takes the edges for, a round broadcasts no table of more than FEW rows."""
+    from tessera.operators import paths
+
+    monkeypatch.setattr(paths, "FEW", 0, raising=False)
+    assert "Broadcast" not in " ".join(round_plans(spark, monkeypatch, name))
+
+
+def round_plans(spark, monkeypatch, name):
+    """Plans of what the rounds' joins wrote; the seed of a constant is one row, so plans without the anti-join are left out."""
+    from tessera.operators import paths
+
+    plans, write = [], paths.checkpoint
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(paths, "checkpoint", noted)
+    catalogue.QUERIES[name](spark, SF)
+    out = [x for x in plans if "LeftAnti" in x]
+    assert out
+    return out
