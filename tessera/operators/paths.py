@@ -104,10 +104,13 @@ def closure(z: Compiler, s: object, p: a.Path, o: object, active: Active, bound:
     forward = from_s is not None or from_o is None
     step = e if forward else e.select(F.col("b").alias("a"), F.col("a").alias("b"))
     start = from_s if forward else from_o
-    loops = p.op in ("plus", "star")
+    loops, many_seeds = p.op in ("plus", "star"), False
     if loops:
         step = checkpoint(step)
-    pairs = first = step if start is None else step.join(start, F.col("a") == F.col("n"), "left_semi")
+        if start is not None and isinstance(s if forward else o, t.Var):
+            start = checkpoint(start)
+            many_seeds = start.count() > FEW
+    pairs = first = step if start is None else step.join(start.hint("merge") if many_seeds else start, F.col("a") == F.col("n"), "left_semi")
     if loops:
         known = front = step if start is None else checkpoint(first)
         steps, found = step.count(), front.count()
@@ -142,7 +145,7 @@ def closure(z: Compiler, s: object, p: a.Path, o: object, active: Active, bound:
     names = {n: (fresh(), info) for n in vars}
     out = out.select(*[F.col(vars[n]).alias(names[n][0]) for n in vars])
     out = out.distinct() if len(vars) < 2 else out
-    return Rel(out, names)
+    return Rel(out.hint("merge") if many_seeds else out, names)  # what gave the seeds is joined to it next
 
 
 def _sized(df: DataFrame, rows: int) -> DataFrame:

@@ -76,3 +76,11 @@ def round_plans(spark, monkeypatch, name):
     out = [x for x in plans if "LeftAnti" in x]
     assert out
     return out
+
+
+def test_many_seeds_are_not_broadcast(spark, monkeypatch):
+    """Neither the bound ends that seed a closure nor the table they came from, once they are many."""
+    from tessera.operators import paths
+
+    monkeypatch.setattr(paths, "FEW", 0)
+    assert "Broadcast" not in plan_of(spark, "path_star_tree")
