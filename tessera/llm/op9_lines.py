@@ -8,10 +8,12 @@ n - ceil(t n) + 1 of each; so each distinct line is posted under 32-bit hashes o
 * the length filter (the smaller set has at least t times the words of the larger; cells are sorted by length, so other
   pairs are never formed),
 * the positional filter (the words after the meeting place suffice for the overlap that t asks for),
-* a parity filter (each word flips one of 128 bits, or of 64 in shorter lines; the bits that differ are at most the symmetric difference),
+* a parity filter (each word flips one bit of 64 to 4096, at least 1.3 a word, so that hardly any other pair passes in lines of any
+  length; the bits that differ are at most the symmetric difference),
 
 all of which keep every pair that reaches t.  Words that stand once in the whole corpus are posted nowhere.  What passes links lines into coarse groups, in which Jaccard of every pair
 is verified on the words themselves, in cells of bounded size.  A frequent word's postings are dealt into cells too.
+Cells are compared in passes, each of which writes half of the postings and removes them.
 A line goes if a line of Jaccard t or more (an equal set included) stands earlier by (doc_id, line).
 
 Defined cases: null and empty texts and lines without a word have nothing to remove and their documents still
@@ -22,23 +24,29 @@ table gives an empty result; other columns are passed on by `cut`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import text as tx
 from tessera.llm.components import components, solve
 from tessera.llm.setjoin import lines_at, linked, sized
-from tessera.llm.tables import bounded_batches, broadcast_if_small, cells, checkpoint, fresh, grouped, released, stored, table
+from tessera.llm.tables import bitmap, bounded_batches, broadcast_if_small, cells, checkpoint, fresh, grouped, in_bitmap, lent, released, stored, table
 
 SIMILARITY = 0.8
 #: Postings of a word that go to one cell: a thousandth of all, but CELL at least and MOST at most (some 50 bytes each).
 #: A word beyond that is cut into k chunks, and each of its postings is written k times.
 CELL, MOST = 2048, 1 << 14
+#: A pass writes half of the postings at most, unless they are few.
+PASSES, PASS = 2, 1 << 20
 #: Lines of at most so many words have their 128 parity bits folded into 64.
-FOLDED = 96
+FOLDED = 32
+#: Lines of more words than these have 256, 512, 1024, 2048, 4096 bits.
+WIDE = (96, 192, 384, 768, 1536)
 LAST = (1 << 63) - 1
 _BITS, _BLOCK = 20, 1 << 12
 #: The level of a counter that has counted one word.
@@ -110,7 +118,7 @@ def _order(line: np.ndarray, rank: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def posted(docs: DataFrame, levels: np.ndarray, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, line, key, n, parity_a, parity_b, prefix) of each line with a word; line -1 marks each row of docs.
+    """(id, line, key, n, parity_a, parity_b, wide, prefix) of each line with a word; line -1 marks each row of docs.
 
     prefix holds the 32-bit hashes of the prefix's words, rarest first, without those that stand once in all texts.
     """
@@ -125,7 +133,7 @@ def posted(docs: DataFrame, levels: np.ndarray, text: str = "text", id_col: str
             ids = batch.column(0)
             rows = batch.num_rows
             nothing = pa.array(np.zeros(rows, np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(rows, -1), pa.int32()), nothing, pa.array(np.zeros(rows), pa.int32()), nothing, nothing, pa.array([b""] * rows, pa.binary())], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(rows, -1), pa.int32()), nothing, pa.array(np.zeros(rows), pa.int32()), nothing, nothing, pa.array([b""] * rows, pa.binary()), pa.array([b""] * rows, pa.binary())], names=_NAMES)
             for lo, _, part, at in tx.pieces(data, offsets):
                 edges, row, number = tx.lines(part, at)
                 part = tx.LOWER[part]
@@ -151,6 +159,7 @@ def posted(docs: DataFrame, levels: np.ndarray, text: str = "text", id_col: str
                 folded = np.bitwise_xor.reduceat(bit, begin)
                 parity_b = np.where(n <= FOLDED, np.uint64(0), np.bitwise_xor.reduceat(np.where(high, bit, np.uint64(0)), begin))
                 parity_a = folded ^ parity_b
+                wide = _wide(h, n)
                 p = np.where(n > 3, prefix_sizes(n), 0)  # up to three words, only equal sets reach 0.8
                 # a set that this task has posted is not posted again (what it remembers is bounded)
                 fresh = np.zeros(len(key), dtype=bool)
@@ -165,9 +174,24 @@ def posted(docs: DataFrame, levels: np.ndarray, text: str = "text", id_col: str
                 often = rank[take] > ONCE
                 bounds = np.concatenate(([0], np.cumsum(often)))[bounds]
                 lists = _binary((h[take[often]] >> np.uint64(32)).astype("<u4"), bounds)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[of] + lo)), pa.array(number[of], pa.int32()), pa.array(key.view(np.int64)), pa.array(n, pa.int32()), pa.array(parity_a.view(np.int64)), pa.array(parity_b.view(np.int64)), lists], names=_NAMES)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[of] + lo)), pa.array(number[of], pa.int32()), pa.array(key.view(np.int64)), pa.array(n, pa.int32()), pa.array(parity_a.view(np.int64)), pa.array(parity_b.view(np.int64)), wide, lists], names=_NAMES)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(post, "id bigint, line int, key bigint, n int, parity_a bigint, parity_b bigint, prefix binary")
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(post, "id bigint, line int, key bigint, n int, parity_a bigint, parity_b bigint, wide binary, prefix binary")
+
+
+def _wide(h: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Parity bits of the long ones among lines of n words with hashes h; short ones have none here."""
+    blocks = np.searchsorted(WIDE, n)
+    blocks = np.where(blocks > 0, 2 << blocks, 0)
+    bounds = np.concatenate(([0], np.cumsum(blocks)))
+    out = np.zeros(int(bounds[-1]), dtype=np.uint64)
+    long = np.flatnonzero(blocks)
+    if len(long):
+        many = n[long]
+        at = np.arange(many.sum()) + np.repeat((np.cumsum(n) - n)[long] - (np.cumsum(many) - many), many)
+        h = h[at]
+        np.bitwise_xor.at(out, np.repeat(bounds[long], many) + ((h >> np.uint64(6)).astype(np.int64) & np.repeat(blocks[long] - 1, many)), np.uint64(1) << (h & np.uint64(63)))
+    return _binary(out.view("<u4"), 2 * bounds)
 
 
 def _binary(words: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -187,7 +211,7 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(_words_of(batch.column(0))[0], pa.int32())], names=["w"])
 
 
-_NAMES = ["id", "line", "key", "n", "parity_a", "parity_b", "prefix"]
+_NAMES = ["id", "line", "key", "n", "parity_a", "parity_b", "wide", "prefix"]
 
 
 def passing(n: np.ndarray, at: np.ndarray, pa_: np.ndarray, pb: np.ndarray, i: np.ndarray, j: np.ndarray, t: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
@@ -208,24 +232,60 @@ def passing(n: np.ndarray, at: np.ndarray, pa_: np.ndarray, pb: np.ndarray, i: n
     return i[ok], j[ok]
 
 
-def _post_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, key, meta, parity_a, parity_b) of each prefix word, once for each key, of rows in order of their keys.
+def passing_wide(n: np.ndarray, words: np.ndarray, start: np.ndarray, blocks: np.ndarray, i: np.ndarray, j: np.ndarray, t: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) that pass the parity filter on all bits that both have; blocks of 64 bits from start in words, 0 in short lines."""
+    least = np.minimum(blocks[i], blocks[j])
+    ok = np.ones(len(i), dtype=bool)
+    for w in np.unique(least[least > 0]).tolist():
+        for at in np.array_split(np.flatnonzero(least == w), max(1, int((least == w).sum()) * w >> 20)):
+            total = n[i[at]] + n[j[at]]
+            bits = _folded(words, start, blocks, i[at], w) ^ _folded(words, start, blocks, j[at], w)
+            ok[at] = np.bitwise_count(bits).sum(axis=1, dtype=np.int64) <= total - 2 * np.ceil(t / (1 + t) * total - 1e-9).astype(np.int64)
+    return i[ok], j[ok]
 
-    meta packs the number of words and the place of this one.
-    """
+
+def _folded(words: np.ndarray, start: np.ndarray, blocks: np.ndarray, x: np.ndarray, w: int) -> np.ndarray:
+    """w blocks of each x, whose more blocks are folded."""
+    out = words[start[x][:, None] + np.arange(w)]
+    for k in range(1, int(blocks[x].max(initial=0)) // w):
+        more = np.flatnonzero(blocks[x] > k * w)
+        out[more] ^= words[start[x[more]][:, None] + (k * w + np.arange(w))]
+    return out
+
+
+def _once_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each key, of rows in order of their keys."""
     last = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column(0).to_numpy()
-        new = np.concatenate(([key[0] != last], key[1:] != key[:-1]))
-        last = key[-1]
-        picked = batch.filter(pa.array(new))
-        words, many = _words_of(picked.column(4))
-        row = np.repeat(np.arange(len(many)), many)
-        n = picked.column(1).to_numpy().astype(np.int64)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + (prefix_sizes(n) - many)[row]  # words that stand once come first
-        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(picked.column(0).to_numpy()[row]), pa.array(n[row] << 31 | at), pa.array(picked.column(2).to_numpy()[row]), pa.array(picked.column(3).to_numpy()[row])], names=["word", "key", "meta", "parity_a", "parity_b"])
+        if batch.num_rows:
+            key = batch.column(0).to_numpy()
+            new = np.concatenate(([key[0] != last], key[1:] != key[:-1]))
+            last = key[-1]
+            yield batch.filter(pa.array(new))
+
+
+def _post_batches(part: int, parts: int, hot: Broadcast | None):
+    """(word, key, meta, parity_a, parity_b, wide) of the prefix words of one pass, and of all that may be in hot.
+
+    meta packs the number of words and the place of this one.
+    """
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, many = _words_of(batch.column(5))
+            row = np.repeat(np.arange(len(many)), many)
+            n = batch.column(1).to_numpy().astype(np.int64)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + (prefix_sizes(n) - many)[row]  # words that stand once come first
+            if parts > 1:
+                own = words % parts == part
+                if hot is not None:
+                    own |= in_bitmap(hot.value, words.astype(np.int64).view(np.uint64) << np.uint64(32))
+                words, row, at = words[own], row[own], at[own]
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(batch.column(0).to_numpy()[row]), pa.array(n[row] << 31 | at), pa.array(batch.column(2).to_numpy()[row]), pa.array(batch.column(3).to_numpy()[row]), batch.column(4).take(pa.array(row))], names=["word", "key", "meta", "parity_a", "parity_b", "wide"])
+
+    return post
 
 
 #: Lengths from this on are sorted as equal.
@@ -246,6 +306,9 @@ def _meet_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         at = t.column("meta").to_numpy()[order] & ((1 << 31) - 1)
         key, side = t.column("key").to_numpy()[order], t.column("side").to_numpy()[order]
         a, b = (t.column(c).to_numpy().view(np.uint64)[order] for c in ("parity_a", "parity_b"))
+        bits, blocks = _words_of(t.column("wide").combine_chunks().take(pa.array(order)))
+        bits, blocks = bits.view(np.uint64), blocks // 2
+        begin = np.cumsum(blocks) - blocks
         # partners of i: the rows after it in its cell that are not too long
         end = np.searchsorted(group + np.minimum(n, _LONGEST), group + np.minimum((n / SIMILARITY + 1e-9).astype(np.int64), _LONGEST), "right")
         many = end - np.arange(len(n)) - 1
@@ -258,6 +321,7 @@ def _meet_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             i = np.repeat(np.arange(lo, hi), own)
             j = np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own) + i + 1
             i, j = passing(n, at, a, b, i, j)
+            i, j = passing_wide(n, bits, begin, blocks, i, j)
             ok = (side[i] == 0) | (side[i] != side[j])
             if n[lo:hi].max() >= _LONGEST * SIMILARITY:
                 ok &= np.minimum(n[i], n[j]) >= SIMILARITY * np.maximum(n[i], n[j]) - 1e-9
@@ -284,6 +348,11 @@ def cell_size(postings: int) -> int:
     return max(CELL, min(postings >> 10, MOST))
 
 
+def passes(postings: int, more: int) -> int:
+    """Passes of so many postings, of which frequent words' are written so many times more."""
+    return max(1, -(-(postings + more) // max(PASS, postings // PASSES)))
+
+
 def judged(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Every line with a word (and line -1 for each row): id, line, keep_id, keep_line, links, removed."""
     spark = docs.sparkSession
@@ -293,20 +362,31 @@ def judged(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataF
     rows = stored(posted(docs, levels, text, id_col))
     real = rows.filter("line >= 0")
     posted_rows = real.filter("octet_length(prefix) > 0")
-    most = cell_size((posted_rows.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) // 4)
+    postings = (posted_rows.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) // 4
+    most = cell_size(postings)
     # only how cells are cut depends on this estimate, by an eighth of the keys; every posting is compared whatever it says
     eighth = posted_rows.filter(F.pmod("key", F.lit(8)) == 0).select("prefix").mapInArrow(_explode, "w int")
     hot = checkpoint(eighth.groupBy("w").agg((8 * F.count("*")).alias("size")).filter(F.col("size") > most))
-    words = posted_rows.select("key", "n", "parity_a", "parity_b", "prefix").repartition("key").sortWithinPartitions("key").mapInArrow(_post_batches, "word int, key bigint, meta bigint, parity_a bigint, parity_b bigint")
-    dealt = words.join(broadcast_if_small(hot), F.col("word") == F.col("w"), "left").withColumn("size", F.coalesce("size", F.lit(1)))
-    dealt = cells(dealt, "word", "size", "key", most)
-    # a cell of a word that is cut gets a hash: two cells that share one are compared as one, which loses no pair
-    cell = F.when(F.col("size") > most, F.xxhash64("word", "cell_a", "cell_b")).otherwise(F.col("word").cast("bigint"))
-    side = F.when(F.col("cell_a") == F.col("cell_b"), 0).when(F.col("chunk") == F.col("cell_b"), 2).otherwise(1).cast("byte")
-    dealt = dealt.select(cell.alias("cell"), "key", "meta", "parity_a", "parity_b", side.alias("side"))
-    met = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_meet_batches, "a bigint, b bigint")
-    with released(spark):  # the postings are most of what this writes
-        coarse = checkpoint(components(met).select(F.col("node").alias("c_key"), F.col("component").alias("coarse")))
+    hot_words, written = hot.agg(F.count("*"), F.coalesce(F.sum(F.col("size") * (F.ceil(F.col("size") / F.lit(float(most))) - 1)), F.lit(0))).first()
+    parts = passes(postings, int(written))
+    sent = spark.sparkContext.broadcast(bitmap(hot.select(F.shiftleft(F.col("w").cast("bigint"), 32).alias("h")), hot_words)) if hot_words and parts > 1 else None
+    hot = broadcast_if_small(hot)
+    met = []
+    with released(spark), lent(posted_rows.select("key", "n", "parity_a", "parity_b", "wide", "prefix").repartition("key").sortWithinPartitions("key").mapInArrow(_once_batches, "key bigint, n int, parity_a bigint, parity_b bigint, wide binary, prefix binary")) as once:
+        for part in range(parts):
+            words = once.mapInArrow(_post_batches(part, parts, sent), "word int, key bigint, meta bigint, parity_a bigint, parity_b bigint, wide binary")
+            cell, side = F.col("word").cast("bigint"), F.lit(0).cast("byte")
+            if hot_words:
+                words = words.join(hot, F.col("word") == F.col("w"), "left").withColumn("size", F.coalesce("size", F.lit(1)))
+                words = cells(words, "word", "size", "key", most)
+                # a cell of a word that is cut gets a hash: two cells that share one are compared as one, which loses no pair
+                cell = F.when(F.col("size") > most, F.xxhash64("word", "cell_a", "cell_b")).otherwise(cell)
+                side = F.when(F.col("cell_a") == F.col("cell_b"), 0).when(F.col("chunk") == F.col("cell_b"), 2).otherwise(1).cast("byte")
+            dealt = words.select(cell.alias("cell"), "key", "meta", "parity_a", "parity_b", "wide", side.alias("side"))
+            dealt = dealt.filter(F.pmod("cell", F.lit(parts)) == part) if hot_words else dealt
+            met.append(checkpoint(dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_meet_batches, "a bigint, b bigint").distinct()))
+    with released(spark):
+        coarse = checkpoint(components(reduce(DataFrame.union, met)).select(F.col("node").alias("c_key"), F.col("component").alias("coarse")))
     place = F.struct(F.coalesce("id", F.lit(LAST)).alias("id"), F.col("line").cast("bigint").alias("line"))
     distinct = real.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("rows"))
     wanted = distinct.join(coarse, F.col("key") == F.col("c_key")).select(F.col("first.id").alias("at_id"), F.col("first.line").cast("int").alias("at_line"), F.col("key").alias("node"), "coarse", F.col("first.id").alias("rank_id"), F.col("first.line").alias("rank_line"))

@@ -500,6 +500,33 @@ def test_lines_of_frequent_words_are_written_once():
     assert 738 * 12 <= op9_lines.cell_size(20_282_041 * 12)
 
 
+def test_lines_of_any_length_stay_apart(spark, monkeypatch):
+    """Lines that share words but are far from similar are not put in one group, however long they are; similar ones are."""
+    rng = random.Random(4)
+    groups = []
+    write = op9_lines.sized
+    monkeypatch.setattr(op9_lines, "sized", lambda x: (groups.append(write(x).select("node", "size").collect()), write(x))[1])
+    words = [f"w{k}" for k in range(6000)]
+    rows = []
+    for n in (90, 180, 300, 600):
+        made = [rng.sample(words, n) for _ in range(100)]
+        rows += [" ".join(x) for x in made] + [" ".join(made[0][: n - n // 12])]
+    out = op9_lines.judged(spark.createDataFrame(list(enumerate(rows)), "id long, text string").withColumnRenamed("id", "doc_id").repartition(4))
+    assert out.filter("links > 0").count() == 8
+    assert sorted(r["size"] for r in groups[0]) == [2] * 8
+
+
+def test_lines_in_passes(spark, monkeypatch):
+    """A pass holds no more than its share, those that frequent words write several times counted; every pair is still found."""
+    assert op9_lines.passes(100, 0) == 1
+    for more in (0, 1 << 24, 1 << 32):
+        assert ((1 << 24) + more) / op9_lines.passes(1 << 24, more) <= 1 << 23
+    monkeypatch.setattr(op9_lines, "PASS", 1)
+    monkeypatch.setattr(op9_lines, "PASSES", 3)
+    test_lines_match_brute_force(spark)
+    test_lines_in_small_cells(spark, monkeypatch)
+
+
 # --- decontamination
 
 
